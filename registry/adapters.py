@@ -77,7 +77,7 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("LI").alias("symbol"),
         F.col("l_shipdate").alias("ts_event"),
         F.col("l_shipdate").alias("ts_recv"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("qty"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import naming
 from tidemark.functions.timeaxis import bucket_date, bucket_start, floor_div
-from tidemark.operators.ordered import with_previous, with_row_number, with_running_sum
+from tidemark.operators.ordered import with_row_number, with_run_number
 
 # Symbols are compared lower-cased and kept as given.
 CLUSTER_KEYS = ("exchange", "symbol_key", "direction", "is_ambiguous")
@@ -20,43 +18,39 @@ def _keyed(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"exchange": F.lower("exchange"), "symbol_key": F.lower("symbol")})
 
 
-def _islands(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFrame:
+def _runs(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFrame:
     """Number the runs of candidates whose starts follow each other within ``horizon``.
 
     Intervals [start, start + horizon] of one length touch or overlap exactly when consecutive
     starts are at most ``horizon`` apart.
     """
-    chunk = floor_div(F.col("start_bucket"), chunk_buckets)
-    order = ["start_bucket", "end_bucket"]
-    linked = with_previous(
-        candidates, keys=CLUSTER_KEYS, chunk=chunk, order=order, values={"start_bucket": "previous_start"}
+    return with_run_number(
+        candidates,
+        keys=CLUSTER_KEYS,
+        chunk=floor_div(F.col("start_bucket"), chunk_buckets),
+        position="start_bucket",
+        ties=["end_bucket"],
+        gap=horizon,
+        out="run",
     )
-    gap = F.col("start_bucket") - F.col("previous_start")
-    opens = F.when(F.col("previous_start").isNull() | (gap > horizon), 1).otherwise(0)
-    numbered = with_running_sum(linked, keys=CLUSTER_KEYS, chunk=chunk, order=order, value=opens, out="island")
-    return numbered.drop("previous_start")
 
 
 def _first(column: str) -> Column:
     return F.min_by(column, F.struct("start_bucket", "end_bucket"))
 
 
-def _numbered(events: DataFrame, scope: str, bucket_seconds: float) -> DataFrame:
-    dated = events.withColumn("selected_date", bucket_date(F.col("event_start_bucket"), bucket_seconds))
+def _dated(clusters: DataFrame, bucket_seconds: float) -> DataFrame:
+    return clusters.withColumn("selected_date", bucket_date(F.col("event_start_bucket"), bucket_seconds))
+
+
+def _numbered(clusters: DataFrame, scope: str) -> DataFrame:
+    """``group_number`` from ``run``, which counts per key over the whole range; restarted each date if asked."""
+    if scope == "range":
+        return clusters.withColumn("group_number", F.col("run"))
     if scope == "date":
-        # Resets each date; a date holds at most one start per bucket of each key.
-        order = Window.partitionBy("selected_date", *CLUSTER_KEYS).orderBy("event_start_bucket")
-        return dated.withColumn("group_number", F.row_number().over(order).cast("long"))
-    if scope != "range":
-        raise ValueError(f"unknown numbering scope {scope!r}")
-    # Over the whole range: continue the count from date to date.
-    return with_row_number(
-        dated,
-        keys=CLUSTER_KEYS,
-        chunk=F.col("selected_date"),
-        order=[F.col("event_start_bucket")],
-        out="group_number",
-    )
+        first = F.min("run").over(Window.partitionBy("selected_date", *CLUSTER_KEYS))
+        return clusters.withColumn("group_number", F.col("run") - first + 1)
+    raise ValueError(f"unknown numbering scope {scope!r}")
 
 
 def rank_events(events: DataFrame) -> DataFrame:
@@ -67,9 +61,8 @@ def rank_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _as_events(clusters: DataFrame, scope: str, bucket_seconds: float) -> DataFrame:
-    numbered = _numbered(clusters, scope, bucket_seconds)
-    identified = numbered.withColumn(
+def _as_events(dated: DataFrame, scope: str, bucket_seconds: float) -> DataFrame:
+    identified = _numbered(dated, scope).withColumn(
         "event_id",
         naming.event_id(
             F.col("exchange"),
@@ -117,12 +110,12 @@ def cluster_chained(
 
     ``scope`` restarts the group numbers never ("range") or each date ("date").
     """
-    islands = _islands(_keyed(candidates), horizon, chunk_buckets)
+    runs = _runs(_keyed(candidates), horizon, chunk_buckets)
     # Strongest move, the earliest of equals; ambiguous candidates have no move and never win.
     strength = F.when(
         F.col("move_pct").isNotNull(), F.struct(F.abs("move_pct"), -F.col("start_bucket"), -F.col("end_bucket"))
     )
-    clusters = islands.groupBy("island", *CLUSTER_KEYS).agg(
+    clusters = runs.groupBy("run", *CLUSTER_KEYS).agg(
         _first("symbol").alias("symbol"),
         F.min("start_bucket").alias("event_start_bucket"),
         F.max("end_bucket").alias("event_end_bucket"),
@@ -133,55 +126,89 @@ def cluster_chained(
         F.min("start_bucket").alias("candidate_group_start_bucket"),
         F.max("start_bucket").alias("candidate_group_end_bucket"),
     )
-    return _as_events(clusters, scope, bucket_seconds)
+    return _as_events(_dated(clusters, bucket_seconds), scope, bucket_seconds)
 
 
-def _anchor_starts(starts: Column, horizon: int) -> Column:
-    """Cluster starts of one sorted run of starts: each is the first start past the previous one + horizon."""
-    empty = F.array().cast("array<bigint>")
+def _walk(starts: Column, first: Column, horizon: int) -> Column:
+    """Cluster starts from ``first`` on: each is the first start more than ``horizon`` after the one before."""
     return F.aggregate(
         starts,
-        empty,
+        F.array(first),
         lambda opened, start: F.when(
-            (F.size(opened) == 0) | (start - F.element_at(opened, -1) > horizon),
-            F.concat(opened, F.array(start)),
+            start > F.element_at(opened, -1) + horizon, F.concat(opened, F.array(start))
         ).otherwise(opened),
     )
 
 
+def _anchors(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFrame:
+    """The starts that open a cluster, per key.
+
+    Where a cluster starts depends on the one before, along the whole key. To keep that from being
+    one long walk, the axis is cut into chunks wider than the horizon. The last cluster before a
+    chunk reaches at most ``horizon`` into it, so a chunk can be entered at few starts only. Each
+    chunk walks from all of them at once; what is left to do in sequence per key is one look-up per chunk.
+    """
+    width = max(chunk_buckets, horizon + 1)
+    chunked = (
+        candidates.groupBy(floor_div(F.col("start_bucket"), width).alias("chunk"), *CLUSTER_KEYS)
+        .agg(F.array_sort(F.collect_set("start_bucket")).alias("starts"))
+        .withColumn("_reach", F.col("chunk") * F.lit(width) + F.lit(horizon))
+    )
+    within_reach = F.size(F.filter("starts", lambda start: start <= F.col("_reach")))
+    entries = F.slice("starts", F.lit(1), within_reach + 1)
+    paths = chunked.select(
+        "chunk",
+        *CLUSTER_KEYS,
+        F.transform(entries, lambda entry: _walk(F.col("starts"), entry, horizon)).alias("paths"),
+    )
+    ends = F.transform(
+        "paths", lambda path: F.struct(F.element_at(path, 1).alias("entry"), F.element_at(path, -1).alias("last"))
+    )
+    nothing = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("entries"))
+
+    def enter(state: Column, chunk: Column) -> Column:
+        last = state["last"]
+        door = F.get(F.filter(chunk["ends"], lambda end: last.isNull() | (end["entry"] > last + horizon)), F.lit(0))
+        entered = F.struct(
+            door["last"].alias("last"), F.concat(state["entries"], F.array(door["entry"])).alias("entries")
+        )
+        return F.when(door.isNotNull(), entered).otherwise(state)
+
+    entered = (
+        paths.groupBy(*CLUSTER_KEYS)
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", ends.alias("ends")))).alias("chunks"))
+        .select(*CLUSTER_KEYS, F.explode(F.aggregate("chunks", nothing, enter)["entries"]).alias("entry"))
+        .withColumn("chunk", floor_div(F.col("entry"), width))
+    )
+    taken = F.filter("paths", lambda path: F.element_at(path, 1) == F.col("entry"))
+    return paths.join(entered, ["chunk", *CLUSTER_KEYS]).select(
+        *CLUSTER_KEYS, F.explode(F.element_at(taken, 1)).alias("anchor")
+    )
+
+
 def cluster_anchored(
     candidates: DataFrame,
     horizon: int,
     *,
     bucket_seconds: float = 1,
     scope: str = "range",
-    chunk_buckets: int = 86_400,
+    chunk_buckets: int = 4_096,
 ) -> DataFrame:
-    """A cluster spans ``horizon`` from its first candidate and keeps that candidate's values.
-
-    Where the next cluster starts depends on the one before, so this is sequential - but only within
-    a run of starts without a gap above ``horizon``. Runs are found in parallel and folded one by one.
-    """
-    islands = _islands(_keyed(candidates), horizon, chunk_buckets)
-    run = ("island", *CLUSTER_KEYS)
-    opened = (
-        islands.groupBy(*run)
-        .agg(F.array_sort(F.collect_set("start_bucket")).alias("starts"))
-        .select(*run, F.explode(_anchor_starts(F.col("starts"), horizon)).alias("anchor"))
-        .select(*run, "anchor", F.explode(F.array(0, 1)).alias("step"))
+    """A cluster spans ``horizon`` from its first candidate and keeps that candidate's values."""
+    keyed = _keyed(candidates)
+    # Anchors are more than one horizon apart: that of a start lies in its own horizon-wide block or
+    # the one before.
+    own_block = floor_div(F.col("anchor"), horizon + 1)
+    placed = _anchors(keyed, horizon, chunk_buckets).withColumn(
+        "block", F.explode(F.array(own_block, own_block + 1))
     )
-    # Anchors of a run are more than one horizon apart: the anchor of a start lies in its own
-    # horizon-wide block or the one before.
-    block = floor_div(F.col("anchor"), horizon + 1)
-    opened = opened.select(*run, "anchor", (block + F.col("step")).alias("block"))
+    ahead = F.col("start_bucket") - F.col("anchor")
     assigned = (
-        islands.withColumn("block", floor_div(F.col("start_bucket"), horizon + 1))
-        .join(opened, [*run, "block"])
-        .filter(
-            (F.col("start_bucket") >= F.col("anchor")) & (F.col("start_bucket") - F.col("anchor") <= F.lit(horizon))
-        )
+        keyed.withColumn("block", floor_div(F.col("start_bucket"), horizon + 1))
+        .join(placed, ["block", *CLUSTER_KEYS])
+        .filter((ahead >= 0) & (ahead <= horizon))
     )
-    clusters = assigned.groupBy("anchor", *run).agg(
+    clusters = assigned.groupBy("anchor", *CLUSTER_KEYS).agg(
         _first("symbol").alias("symbol"),
         F.min("start_bucket").alias("event_start_bucket"),
         _first("end_bucket").alias("event_end_bucket"),
@@ -192,7 +219,11 @@ def cluster_anchored(
         F.min("start_bucket").alias("candidate_group_start_bucket"),
         F.max("start_bucket").alias("candidate_group_end_bucket"),
     )
-    return _as_events(clusters, scope, bucket_seconds)
+    dated = _dated(clusters, bucket_seconds)
+    counted = with_row_number(
+        dated, keys=CLUSTER_KEYS, chunk=F.col("selected_date"), order=[F.col("event_start_bucket")], out="run"
+    )
+    return _as_events(counted, scope, bucket_seconds)
 
 
 def event_order() -> list[Column]:

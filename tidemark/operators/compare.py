@@ -122,9 +122,8 @@ def event_normal_join(event_profile: DataFrame, control_profile: DataFrame, repo
         carried("_other", "to_bucket_value").alias("normal_to_bucket_value"),
         F.inline(samples),
     )
-    return unfolded.withColumns(
-        {"report_group": F.lit(report.group), "metric_group": metric_group(F.col("metric_name"))}
-    )
+    labels = {"report_group": F.lit(report.group), "metric_group": metric_group(F.col("metric_name"))}
+    return unfolded.withColumns(labels).drop(report.metric_prefix or "")
 
 
 def denominator_flags(metric: Column, normal: Column, event_from: Column, normal_from: Column) -> dict[str, Column]:

@@ -42,28 +42,41 @@ def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
 def with_previous(
     df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequence[str], values: Mapping[str, str]
 ) -> DataFrame:
-    """Add ``out`` = the value of ``column`` on the previous row of the key, for each ``column: out``."""
-    chunked = df.withColumn(CHUNK, chunk)
+    """Add ``out`` = the value of ``column`` on the previous row of the key, for each ``column: out``.
+
+    The last row of each chunk is found by the same sort, so both sides of the join share one exchange.
+    """
+    along = _chunk_window(keys, [F.col(name) for name in order])
     row = F.struct(*[F.col(name) for name in values])
-    lasts = chunked.groupBy(CHUNK, *keys).agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    inside = df.withColumn(CHUNK, chunk).withColumns(
+        {"_prev": F.lag(row).over(along), "_is_last": F.lead(F.lit(True)).over(along).isNull()}
+    )
+    lasts = inside.filter("_is_last").select(CHUNK, *keys, row.alias("_last"))
     carry = lasts.select(CHUNK, *keys, F.lag("_last").over(_key_window(keys)).alias(CARRY))
-    inside = chunked.withColumn("_prev", F.lag(row).over(_chunk_window(keys, [F.col(c) for c in order])))
     joined = _join_carry(inside, carry, keys).withColumn("_prev", F.coalesce("_prev", CARRY))
     return joined.select(*df.columns, *[F.col("_prev")[name].alias(out) for name, out in values.items()])
 
 
-def with_running_sum(
-    df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequence[str], value: Column, out: str
+def with_run_number(
+    df: DataFrame, *, keys: Sequence[str], chunk: Column, position: str, ties: Sequence[str], gap: int, out: str
 ) -> DataFrame:
-    """Add the running sum of ``value`` within the key, current row included."""
-    chunked = df.withColumn(CHUNK, chunk).withColumn("_value", value)
-    totals = chunked.groupBy(CHUNK, *keys).agg(F.sum("_value").alias("_total"))
+    """Number, per key from 1, the runs of rows whose positions are at most ``gap`` apart."""
+    along = _chunk_window(keys, [F.col(name) for name in (position, *ties)])
+    step = F.col(position) - F.lag(position).over(along)
+    opens = F.when(step <= gap, 0).otherwise(1)
+    inside = df.withColumn(CHUNK, chunk).withColumn("_opens", opens)
+    inside = inside.withColumn("_inside", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = inside.groupBy(CHUNK, *keys).agg(
+        F.min(position).alias("_first"), F.max(position).alias("_last"), F.sum("_opens").alias("_opened")
+    )
+    # A chunk that starts within ``gap`` of the end of the one before goes on with its run.
+    goes_on = F.when(F.col("_first") - F.lag("_last").over(_key_window(keys)) <= gap, 1).otherwise(0)
+    linked = summary.withColumn("_goes_on", goes_on)
     before = _key_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(CHUNK, *keys, F.sum("_total").over(before).alias(CARRY))
-    upto = _chunk_window(keys, [F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    inside = chunked.withColumn("_inside", F.sum("_value").over(upto))
+    earlier = F.coalesce(F.sum(F.col("_opened") - F.col("_goes_on")).over(before), F.lit(0))
+    carry = linked.select(CHUNK, *keys, (earlier - F.col("_goes_on")).alias(CARRY))
     joined = _join_carry(inside, carry, keys)
-    return joined.select(*df.columns, (F.col("_inside") + F.coalesce(F.col(CARRY), F.lit(0))).alias(out))
+    return joined.select(*df.columns, (F.col("_inside") + F.col(CARRY)).alias(out))
 
 
 def with_row_number(

@@ -7,12 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: nesting of the manifest document.
-MANIFEST_TYPE = (
-    "struct<schema_version:int, updated_at:string, dates:map<string, struct<exchanges:map<string, "
-    "struct<streams:map<string, struct<symbols:map<string, "
-    "struct<available:boolean, artifacts:map<string,string>>>>>>>>>"
-)
+# Fixed value: nesting of the manifest document, innermost first.
+ENTRY_TYPE = "struct<available:boolean, artifacts:map<string,string>>"
+for _level in ("symbols", "streams", "exchanges"):
+    ENTRY_TYPE = f"struct<{_level}:map<string,{ENTRY_TYPE}>>"
+MANIFEST_TYPE = f"struct<schema_version:int, updated_at:string, dates:map<string,{ENTRY_TYPE}>>"
 # Fixed value: layout of a partition path.
 PATH_PATTERN = r"(?:^|/)exchange=([^/]+)/stream=([^/]+)/symbol=([^/]+)/date=([^/]+)(?:/|$)"
 
