@@ -220,10 +220,12 @@ def scope_recommendation(
         .when(one_sided, F.lit("direction_imbalanced"))
         .otherwise(F.lit("ready_for_phase3a_trial"))
     )
-    # Three one-row aggregates side by side.
+    # Three one-row aggregates side by side, two of them as scalar subqueries.
+    around = covered.select(F.struct("*")).scalar()
     return (
-        covered.crossJoin(counted)
-        .crossJoin(grouped)
+        counted.withColumns({"_covered": around, "grouped_event_count": grouped.scalar()})
+        .select("*", "_covered.*")
+        .drop("_covered")
         .withColumns(
             {
                 "recommended_max_events": F.least(F.lit(max_events).cast("long"), F.col("quality_pass_count")),
