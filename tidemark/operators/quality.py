@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeaxis import bucket_date, bucket_index, floor_div
-from tidemark.operators.ordered import with_previous
+from tidemark.operators.ordered import Step, summarise_steps
 
 ENTITY = ("exchange", "symbol")
 ACCURACY = 10_000
@@ -155,16 +155,16 @@ def seq_order_check(ticks: DataFrame, *, seq_chunk: int = 1_000_000) -> DataFram
 
     One venue may hold most rows, so sequences are checked chunk by chunk and stitched at the edges.
     """
-    linked = with_previous(
-        ticks.filter(F.col("seq").isNotNull()).select(*ENTITY, "seq", "ts_event", "ts_recv"),
+    return summarise_steps(
+        ticks.filter(F.col("seq").isNotNull()),
         keys=ENTITY,
         chunk=floor_div(F.col("seq").cast("long"), seq_chunk),
         order=["seq", "ts_event", "ts_recv"],
-        values={"ts_event": "prev_ts_event", "ts_recv": "prev_ts_recv"},
-    )
-    return linked.groupBy(*ENTITY).agg(
-        F.count_if(F.col("ts_event") < F.col("prev_ts_event")).alias("out_of_order_ts_event_count"),
-        F.count_if(F.col("ts_recv") < F.col("prev_ts_recv")).alias("out_of_order_ts_recv_count"),
+        values=["ts_event", "ts_recv"],
+        counts={
+            "out_of_order_ts_event_count": lambda before, row: row["ts_event"] < before["ts_event"],
+            "out_of_order_ts_recv_count": lambda before, row: row["ts_recv"] < before["ts_recv"],
+        },
     )
 
 
@@ -199,16 +199,20 @@ def gap_profile(
     ticks: DataFrame, bucket_seconds: float = 1, thresholds: Sequence[int] = (1, 5, 10), chunk_buckets: int = 86_400
 ) -> DataFrame:
     """Longest distance between active buckets and how many exceed each threshold (in buckets)."""
-    linked = with_previous(
+    def gap(before: Column, row: Column) -> Column:
+        return row["bucket"] - before["bucket"]
+
+    def exceeds(limit: int) -> Step:
+        return lambda before, row: gap(before, row) > limit
+
+    return summarise_steps(
         _active_buckets(ticks, bucket_seconds),
         keys=ENTITY,
         chunk=floor_div(F.col("bucket"), chunk_buckets),
         order=["bucket"],
-        values={"bucket": "previous_bucket"},
-    ).withColumn("gap", F.col("bucket") - F.col("previous_bucket"))
-    return linked.groupBy(*ENTITY).agg(
-        F.max("gap").alias("max_gap"),
-        *[F.count_if(F.col("gap") > limit).alias(f"gaps_gt_{limit}") for limit in thresholds],
+        values=["bucket"],
+        counts={f"gaps_gt_{limit}": exceeds(limit) for limit in thresholds},
+        maxima={"max_gap": gap},
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import clean_ticks, ohlcv_bars
 from tidemark.operators.clusters import cluster_anchored, cluster_chained
 from tidemark.operators.moves import label_candidates, scan_moves
+from tidemark.sources.stages import Stage, write_stage
 
 
 @dataclass(frozen=True)
@@ -22,27 +23,34 @@ class Detector:
     version: str = "trade_1s_60s_1pct_v1"
 
 
-def detect(ticks: DataFrame, detector: Detector) -> dict[str, DataFrame]:
-    """Bars, labelled candidates (ambiguous ones flagged) and events of one batch of raw ticks."""
-    bars = ohlcv_bars(clean_ticks(ticks), detector.bucket_seconds)
-    candidates = scan_moves(
-        bars, detector.threshold_pct, detector.horizon, bucket_seconds=detector.bucket_seconds
+def detect(ticks: DataFrame, detector: Detector, stage: Stage = write_stage) -> dict[str, DataFrame]:
+    """Bars, labelled candidates (ambiguous ones flagged) of one batch of raw ticks.
+
+    The scan reads bars three times, so they are written once: raw ticks are read and shuffled once.
+    """
+    width = detector.bucket_seconds
+    bars = stage(ohlcv_bars(clean_ticks(ticks), width), "bars")
+    candidates = scan_moves(bars, detector.threshold_pct, detector.horizon, bucket_seconds=width)
+    labelled = label_candidates(
+        candidates,
+        bucket_seconds=width,
+        detection_version=detector.version,
+        threshold_pct=detector.threshold_pct,
+        horizon_buckets=detector.horizon,
+        aggregation_seconds=width,
     )
-    return {
-        "bars": bars,
-        "candidates": label_candidates(
-            candidates,
-            bucket_seconds=detector.bucket_seconds,
-            detection_version=detector.version,
-            threshold_pct=detector.threshold_pct,
-            horizon_buckets=detector.horizon,
-            aggregation_seconds=detector.bucket_seconds,
-        ),
-    }
-
-
-def event_map(ticks: DataFrame, detector: Detector, *, clustering: str = "chained", scope: str = "range") -> DataFrame:
+    return {"bars": bars, "candidates": stage(labelled, "candidates")}
+
+
+def event_map(
+    ticks: DataFrame,
+    detector: Detector,
+    *,
+    clustering: str = "chained",
+    scope: str = "range",
+    stage: Stage = write_stage,
+) -> DataFrame:
     """Events out of raw ticks, ambiguous candidates left out."""
     cluster = {"chained": cluster_chained, "anchored": cluster_anchored}[clustering]
-    clear = detect(ticks, detector)["candidates"].filter(~F.col("is_ambiguous"))
+    clear = detect(ticks, detector, stage)["candidates"].filter(~F.col("is_ambiguous"))
     return cluster(clear, detector.horizon, bucket_seconds=detector.bucket_seconds, scope=scope)

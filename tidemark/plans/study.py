@@ -6,7 +6,6 @@ once, or are results themselves, are written as stage tables; nothing is collect
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,8 +44,7 @@ from tidemark.operators.summaries import (
     status_join,
 )
 from tidemark.operators.windows import control_windows, event_windows
-
-Stage = Callable[[DataFrame, str], DataFrame]
+from tidemark.sources.stages import Stage
 
 
 @dataclass(frozen=True)

@@ -98,8 +98,6 @@ def requested_dates(partitions: DataFrame, first: str = "auto", last: str = "aut
     ends = partitions.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     lo = F.col("lo") if first == "auto" else F.lit(first)
     hi = F.col("hi") if last == "auto" else F.lit(last)
-    day = F.explode(F.sequence(F.to_date(lo, "yyyyMMdd"), F.to_date(hi, "yyyyMMdd"), F.expr("interval 1 day")))
-    ordered = ends.filter(
-        F.when(hi < lo, F.raise_error(F.lit("last date is before first date"))).otherwise(F.lit(True))
-    )
-    return ordered.select(day.alias("day")).select(F.date_format("day", "yyyyMMdd").alias("date"))
+    last_day = F.when(hi < lo, F.raise_error(F.lit("last date is before first date"))).otherwise(hi)
+    days = F.sequence(F.to_date(lo, "yyyyMMdd"), F.to_date(last_day, "yyyyMMdd"), F.expr("interval 1 day"))
+    return ends.select(F.explode(days).alias("day")).select(F.date_format("day", "yyyyMMdd").alias("date"))

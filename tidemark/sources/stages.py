@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# How a plan keeps an intermediate table: it gets the table and a name, and returns the kept table.
+Stage = Callable[[DataFrame, str], DataFrame]
+
 
 def stage_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
