@@ -24,8 +24,13 @@ def _optional(df: DataFrame, name: str, absent_type: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(absent_type).alias(name)
 
 
-def clean_ticks(ticks: DataFrame, *, unit: str = "auto", positive_price: bool = True) -> DataFrame:
-    """Typed ticks: venue lower-cased, rows without time, venue, symbol, price or quantity dropped."""
+def clean_ticks(
+    ticks: DataFrame, *, unit: str = "auto", positive_price: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Typed ticks: venue lower-cased, rows without time, venue, symbol, price or quantity dropped.
+
+    ``keep`` names further columns to carry along, such as a partition date.
+    """
     require_columns(ticks, TICK_REQUIRED, "ticks")
     timed = normalize_ts(ticks, "ts_event", unit=unit)
     if "ts_recv" in ticks.columns:
@@ -37,13 +42,14 @@ def clean_ticks(ticks: DataFrame, *, unit: str = "auto", positive_price: bool =
         F.col("price").try_cast("double").alias("price"),
         F.col("qty").try_cast("double").alias("qty"),
         *[_optional(timed, name, kind) for name, kind in TICK_OPTIONAL.items()],
+        *keep,
     )
     usable = typed.dropna(subset=list(TICK_REQUIRED))
     return usable.filter(F.col("price") > 0) if positive_price else usable
 
 
-def clean_quotes(quotes: DataFrame, *, unit: str = "auto") -> DataFrame:
-    """Typed quotes with mid, spread, spread_bps and book imbalance."""
+def clean_quotes(quotes: DataFrame, *, unit: str = "auto", keep: Sequence[str] = ()) -> DataFrame:
+    """Typed quotes with mid, spread, spread_bps and book imbalance; ``keep`` as for ticks."""
     require_columns(quotes, QUOTE_REQUIRED, "quotes")
     timed = normalize_ts(quotes, "ts_event", unit=unit)
     if "ts_recv" in quotes.columns:
@@ -55,6 +61,7 @@ def clean_quotes(quotes: DataFrame, *, unit: str = "auto") -> DataFrame:
         "ts_event",
         *[F.col(name).try_cast("double").alias(name) for name in sides],
         *[_optional(timed, name, kind) for name, kind in QUOTE_OPTIONAL.items()],
+        *keep,
     ).dropna(subset=["exchange", "symbol", "ts_event"])
     return quote_metrics(typed)
 

@@ -115,6 +115,7 @@ def anchor_activity(
     horizon: int,
     step: int,
     span_buckets: int,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Trade and quote activity in the window before every anchor, per venue and symbol.
 
@@ -133,10 +134,13 @@ def anchor_activity(
     )
     grain = gcd(lookback, step)
     slots_per_step, slots_per_window = step // grain, lookback // grain
+    placed = market.filter(F.col("exchange").isin(*[name.lower() for name in exchanges])).withColumn(
+        "span", floor_div(F.col("bucket"), span_buckets)
+    )
+    if spans is not None:
+        placed = placed.join(spans.select("span").distinct(), "span", "left_semi")
     slotted = (
-        market.filter(F.col("exchange").isin(*[name.lower() for name in exchanges]))
-        .withColumn("span", floor_div(F.col("bucket"), span_buckets))
-        .withColumns({"_first": first, "_last": last})
+        placed.withColumns({"_first": first, "_last": last})
         .filter(F.col("bucket") >= F.col("_first") - lookback)
         .withColumn("_slot", floor_div(F.col("bucket") - F.col("_first"), grain))
         .groupBy("_slot", "span", "exchange", "symbol", "_first", "_last")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeaxis import MICROS, bucket_start, floor_div
+from tidemark.functions.timeaxis import MICROS, bucket_start, floor_div, window_dates
 
 
 def event_windows(events: DataFrame, lookback: int, *, bucket_seconds: float = 1) -> DataFrame:
@@ -88,15 +88,25 @@ def range_join_bucketed(
 
 
 def extract_windows(
-    rows: DataFrame, windows: DataFrame, *, slice_seconds: float, ts: str = "ts_event", salts: int = 8
+    rows: DataFrame,
+    windows: DataFrame,
+    *,
+    slice_seconds: float,
+    ts: str = "ts_event",
+    salts: int = 8,
+    date_column: str | None = None,
 ) -> DataFrame:
     """Raw ticks or quotes inside each window, with the window's fields and the offset to its end.
 
-    A burst can put much of the data into one slice of time, hence the salt over the row itself.
+    A burst can put much of the data into one slice of time, hence the salt over the row itself. If
+    the rows are partitioned by a date key, name it: only the dates the windows touch are then read.
     """
     selected = windows.select(
         "window_id", "event_id", F.col("direction").alias("event_direction"), "window_start_ts", "window_end_ts"
     )
+    if date_column is not None:
+        touched = window_dates(windows, "window_start_ts", "window_end_ts", out=date_column)
+        rows = rows.join(touched.select(date_column).distinct(), date_column, "left_semi")
     joined = range_join_bucketed(
         rows,
         selected,

@@ -130,7 +130,9 @@ def anchor_stage(
         "step": params.anchor_step,
         "span_buckets": params.span,
     }
-    activity = stage(anchor_activity(market, bars, exchanges=params.exchanges, **grid), "anchor_activity")
+    activity = stage(
+        anchor_activity(market, bars, exchanges=params.exchanges, spans=spans, **grid), "anchor_activity"
+    )
     excluded = anchor_exclusion(
         enumerate_anchors(bars, spans=spans, **grid),
         candidates,
