@@ -831,6 +831,30 @@ def _(w):
     return windows.extract_windows(bars.clean_quotes(w.quotes), w.own_windows, slice_seconds=FINE.bucket_seconds * LOOKBACK)
 
 
+@register(
+    "extract_windows",
+    kinds(s="window_id kind", i="row_count", d="nearest farthest"),
+    OWN_BOUNDS,
+    f"""(SELECT window_id, kind, count(*) AS row_count, min(seconds_before_event) AS nearest, max(seconds_before_event) AS farthest
+        FROM (SELECT window_id, 'tick' AS kind, {OFFSET} FROM raw_ticks {INSIDE}
+              UNION ALL SELECT window_id, 'quote', {OFFSET} FROM raw_quotes {INSIDE}) GROUP BY 1, 2)""",
+)
+def _(w):
+    span = FINE.bucket_seconds * LOOKBACK
+    kinds_of_rows = {"tick": bars.clean_ticks(w.ticks), "quote": bars.clean_quotes(w.quotes)}
+    parts = [
+        windows.extract_windows(rows, w.own_windows, slice_seconds=span).select(
+            "window_id", F.lit(kind).alias("kind"), "seconds_before_event"
+        )
+        for kind, rows in kinds_of_rows.items()
+    ]
+    return compare.union_reports(parts).groupBy("window_id", "kind").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("seconds_before_event").alias("nearest"),
+        F.max("seconds_before_event").alias("farthest"),
+    )
+
+
 @register(
     "range_join_bucketed",
     kinds(s="window_id exchange", i="row_count"),
@@ -1727,12 +1751,13 @@ checked(
     kinds(s="event_id report_group metric_group", i="expected_count observed_count"),
     TOPPED,
     f"""(SELECT event_id, report_group, metric_group, e AS expected_count, o AS observed_count
-        FROM (SELECT event_id, report_group, metric_group, 3 * least(count(*), {FINE.top_n}) AS e FROM comparison GROUP BY 1, 2, 3)
+        FROM (SELECT event_id, report_group, metric_group, 3 * least(count(*), {FINE.top_n + 1}) AS e FROM comparison GROUP BY 1, 2, 3)
         FULL OUTER JOIN (SELECT event_id, report_group, metric_group, count(*) AS o FROM tops GROUP BY 1, 2, 3)
         USING (event_id, report_group, metric_group) WHERE coalesce(e, -1) <> coalesce(o, -1))""",
 )
 def _(w):
-    return summaries.top_diff_reconcile(w.comparison, w.final["top_diffs"], FINE.top_n)
+    """Against one rank more than was kept, so that every larger group is reported."""
+    return summaries.top_diff_reconcile(w.comparison, w.final["top_diffs"], FINE.top_n + 1)
 
 
 @register(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -17,8 +18,12 @@ TABLES = (
 
 
 def session() -> SparkSession:
+    """ORACLE_NO_BROADCAST=1 makes every join a shuffle join, as joins of large tables are."""
+    threshold = "-1" if os.environ.get("ORACLE_NO_BROADCAST") else "10MB"
     spark = (
         SparkSession.builder.master("local[8]")
+        .config("spark.sql.autoBroadcastJoinThreshold", threshold)
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

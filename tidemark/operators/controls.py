@@ -227,24 +227,29 @@ def event_activity(entity_profile: DataFrame, window_label: str) -> DataFrame:
     )
 
 
-def activity_distance(events: DataFrame, own: DataFrame, anchors: DataFrame, sums: DataFrame, exchanges: int) -> DataFrame:
+def activity_distance(
+    events: DataFrame, own: DataFrame, anchors: DataFrame, sums: DataFrame, exchanges: int, *, salts: int = 8
+) -> DataFrame:
     """Mean |log1p| distance over venues x measures between each event and each anchor of its span.
 
     Venues are packed into one row per anchor and per event first, so the only pairs formed are
-    (event, anchor of its span). Rows lacking a venue are dropped: the mean needs the full grid.
+    (event, anchor of its span). Rows lacking a venue are dropped: the mean needs the full grid. A
+    span may hold a large share of all events but never more anchors than fit into it, so the
+    anchors are copied ``salts`` times and the events of a span split among the copies.
     """
     by_event = _packed_activity(own, ["event_id"], "_event").filter(F.size("_event") == exchanges)
     by_anchor = _packed_activity(sums, ["span", "anchor_bucket"], "_anchor").filter(F.size("_anchor") == exchanges)
-    eligible = anchors.join(by_anchor, ["span", "anchor_bucket"])
-    pairs = events.select("event_id", "span").join(by_event, "event_id").join(eligible, "span")
-    gaps = F.zip_with(
-        "_event",
-        "_anchor",
-        lambda e, a: sum((F.abs(a[name] - e[name]) for name in ACTIVITY[1:]), F.abs(a[ACTIVITY[0]] - e[ACTIVITY[0]])),
-    )
-    total = F.aggregate(gaps, F.lit(0.0), lambda acc, gap: acc + gap)
+    copies = F.explode(F.array(*[F.lit(n).cast("long") for n in range(salts)]))
+    eligible = anchors.join(by_anchor, ["span", "anchor_bucket"]).withColumn("_salt", copies)
+    salted = events.select("event_id", "span").withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
+    pairs = salted.join(by_event, "event_id").join(eligible, ["span", "_salt"])
+
+    def gap(event: Column, anchor: Column) -> Column:
+        return sum((F.abs(anchor[name] - event[name]) for name in ACTIVITY[1:]), F.abs(anchor[ACTIVITY[0]] - event[ACTIVITY[0]]))
+
+    total = F.aggregate(F.zip_with("_event", "_anchor", gap), F.lit(0.0), lambda acc, one: acc + one)
     return pairs.withColumn("activity_distance", total / F.lit(float(exchanges * len(ACTIVITY)))).drop(
-        "_event", "_anchor"
+        "_event", "_anchor", "_salt"
     )
 
 
