@@ -231,3 +231,26 @@ def test_sequence_regressions_cross_chunks(spark, chunk):
     assert (row.out_of_order_ts_event_count, row.out_of_order_ts_recv_count) == (3, 3)
     gaps = Q.gap_profile(ticks, 1, thresholds=(1, 2), chunk_buckets=chunk).first()
     assert (gaps.max_gap, gaps.gaps_gt_1, gaps.gaps_gt_2) == (3, 2, 1)
+
+
+def test_the_tick_report_equals_its_single_profiles(spark):
+    moments = [at("2026-04-23 00:00:00").replace(second=s) for s in (0, 1, 1, 7, 30)]
+    rows = [(v, "S", t, 1.0 + n, 2.0 * n, n, str(n % 4), side) for n, (t, v, side) in enumerate(zip(moments, "aabab", ("buy", None, "sell", "buy", "buy"), strict=True))]
+    ticks = clean_ticks(
+        spark.createDataFrame(rows, "exchange string, symbol string, ts_event timestamp, price double, qty double, seq long, trade_id string, side string")
+    ).withColumn("ts_recv", F.col("ts_event"))
+    report = Q.profile_ticks(ticks)
+    single = {
+        "counts": Q.count_profile,
+        "latency": Q.latency_profile,
+        "values": Q.value_profile,
+        "nulls": Q.null_profile,
+        "categories": Q.category_profile,
+        "duplicates": Q.duplicate_profile,
+        "sequence": Q.seq_order_check,
+        "density": Q.density_profile,
+        "gaps": Q.gap_profile,
+    }
+    assert list(report) == list(single)
+    for name, profile in single.items():
+        assert sorted(map(repr, report[name].collect())) == sorted(map(repr, profile(ticks).collect())), name

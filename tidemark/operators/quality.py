@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timeaxis import bucket_date, bucket_index, floor_div
 from tidemark.operators.ordered import Step, summarise_steps
+from tidemark.sources.stages import Stage, write_stage
 
 ENTITY = ("exchange", "symbol")
 ACCURACY = 10_000
@@ -28,12 +29,7 @@ def _unpack(values: str) -> list[Column]:
     return [F.col(values)[index].alias(name) for index, name in enumerate(("p50", "p95", "p99"))]
 
 
-def count_profile(ticks: DataFrame) -> DataFrame:
-    """Rows per venue, per venue and symbol, and overall, with distinct counts.
-
-    Everything follows from the counts per venue and symbol, so rows are aggregated once.
-    """
-    base = ticks.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("rows"))
+def _count_levels(base: DataFrame) -> DataFrame:
     return (
         base.groupingSets([["exchange"], ["exchange", "symbol"], []], *ENTITY)
         .agg(
@@ -46,6 +42,14 @@ def count_profile(ticks: DataFrame) -> DataFrame:
     )
 
 
+def count_profile(ticks: DataFrame) -> DataFrame:
+    """Rows per venue, per venue and symbol, and overall, with distinct counts.
+
+    Everything follows from the counts per venue and symbol, so rows are aggregated once.
+    """
+    return _count_levels(ticks.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("rows")))
+
+
 def latency_profile(ticks: DataFrame) -> DataFrame:
     """Time range and receive-minus-event latency in milliseconds."""
     latency = (F.unix_micros("ts_recv") - F.unix_micros("ts_event")) / F.lit(1000.0)
@@ -66,27 +70,25 @@ def latency_profile(ticks: DataFrame) -> DataFrame:
     )
 
 
-def value_profile(ticks: DataFrame, columns: Sequence[str] = ("price", "qty")) -> DataFrame:
-    """Range, mean, nulls and non-positive values per column, overall and per venue.
+VALUES = ("price", "qty")
 
-    Rows are aggregated once, per venue; the overall figures roll up from those few rows.
-    """
 
-    def measured(name: str) -> Column:
-        value = F.col(name).cast("double")
-        return F.struct(
-            F.lit(name).alias("column_name"),
-            F.min(value).alias("lo"),
-            F.max(value).alias("hi"),
-            F.sum(value).alias("total"),
-            F.count(value).alias("present"),
-            F.count_if(value.isNull()).alias("nulls"),
-            F.count_if(value <= 0).alias("non_positive"),
-        )
+def _measured(name: str) -> Column:
+    value = F.col(name).cast("double")
+    return F.struct(
+        F.lit(name).alias("column_name"),
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
+        F.sum(value).alias("total"),
+        F.count(value).alias("present"),
+        F.count_if(value.isNull()).alias("nulls"),
+        F.count_if(value <= 0).alias("non_positive"),
+    )
 
-    per_venue = ticks.groupBy("exchange").agg(F.array(*[measured(name) for name in columns]).alias("_measured"))
+
+def _value_levels(base: DataFrame) -> DataFrame:
     return (
-        per_venue.select("exchange", F.inline("_measured"))
+        base.select("exchange", F.inline("measured"))
         .groupingSets([["column_name"], ["column_name", "exchange"]], "column_name", "exchange")
         .agg(
             F.min("lo").alias("min_value"),
@@ -99,21 +101,29 @@ def value_profile(ticks: DataFrame, columns: Sequence[str] = ("price", "qty")) -
     )
 
 
+def value_profile(ticks: DataFrame, columns: Sequence[str] = VALUES) -> DataFrame:
+    """Range, mean, nulls and non-positive values per column, overall and per venue.
+
+    Rows are aggregated once, per venue; the overall figures roll up from those few rows.
+    """
+    measured = F.array(*[_measured(name) for name in columns]).alias("measured")
+    return _value_levels(ticks.groupBy("exchange").agg(measured))
+
+
+def _null_counts(df: DataFrame, wanted: Sequence[str]) -> list[Column]:
+    return [
+        (F.count_if(F.col(name).isNull()) if name in df.columns else F.lit(-1).cast("long")).alias(name)
+        for name in wanted
+    ]
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null count per column: one aggregate row, unfolded. Columns that do not exist report -1."""
     wanted = list(columns or df.columns)
-    counts = df.agg(
-        *[
-            (F.count_if(F.col(name).isNull()) if name in df.columns else F.lit(-1).cast("long")).alias(name)
-            for name in wanted
-        ]
-    )
-    return counts.unpivot([], wanted, "column_name", "null_count")
+    return df.agg(*_null_counts(df, wanted)).unpivot([], wanted, "column_name", "null_count")
 
 
-def category_profile(ticks: DataFrame, column: str = "side") -> DataFrame:
-    """Counts of a categorical column, overall and per venue."""
-    base = ticks.groupBy("exchange", column).agg(F.count(F.lit(1)).alias("rows"))
+def _category_levels(base: DataFrame, column: str) -> DataFrame:
     return (
         base.groupingSets([[column], ["exchange", column]], "exchange", column)
         .agg(_level(["exchange", column]).alias("profile_level"), F.sum("rows").alias("row_count"))
@@ -121,6 +131,11 @@ def category_profile(ticks: DataFrame, column: str = "side") -> DataFrame:
     )
 
 
+def category_profile(ticks: DataFrame, column: str = "side") -> DataFrame:
+    """Counts of a categorical column, overall and per venue."""
+    return _category_levels(ticks.groupBy("exchange", column).agg(F.count(F.lit(1)).alias("rows")), column)
+
+
 def _duplicates(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ticks.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
 
@@ -176,11 +191,9 @@ def _active_buckets(ticks: DataFrame, bucket_seconds: float) -> DataFrame:
     )
 
 
-def density_profile(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
-    """Ticks per active bucket, per venue and symbol."""
+def _density(active: DataFrame) -> DataFrame:
     return (
-        _active_buckets(ticks, bucket_seconds)
-        .groupBy(*ENTITY)
+        active.groupBy(*ENTITY)
         .agg(
             F.min("trade_count").alias("min_trade_count"),
             F.max("trade_count").alias("max_trade_count"),
@@ -195,10 +208,12 @@ def density_profile(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
     )
 
 
-def gap_profile(
-    ticks: DataFrame, bucket_seconds: float = 1, thresholds: Sequence[int] = (1, 5, 10), chunk_buckets: int = 86_400
-) -> DataFrame:
-    """Longest distance between active buckets and how many exceed each threshold (in buckets)."""
+def density_profile(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
+    """Ticks per active bucket, per venue and symbol."""
+    return _density(_active_buckets(ticks, bucket_seconds))
+
+
+def _gaps(active: DataFrame, thresholds: Sequence[int], chunk_buckets: int) -> DataFrame:
     def gap(before: Column, row: Column) -> Column:
         return row["bucket"] - before["bucket"]
 
@@ -206,7 +221,7 @@ def gap_profile(
         return lambda before, row: gap(before, row) > limit
 
     return summarise_steps(
-        _active_buckets(ticks, bucket_seconds),
+        active,
         keys=ENTITY,
         chunk=floor_div(F.col("bucket"), chunk_buckets),
         order=["bucket"],
@@ -216,18 +231,41 @@ def gap_profile(
     )
 
 
-def profile_ticks(ticks: DataFrame, *, bucket_seconds: float = 1) -> dict[str, DataFrame]:
-    """The data-quality report on ticks."""
+GAP_LIMITS = (1, 5, 10)
+
+
+def gap_profile(
+    ticks: DataFrame, bucket_seconds: float = 1, thresholds: Sequence[int] = GAP_LIMITS, chunk_buckets: int = 86_400
+) -> DataFrame:
+    """Longest distance between active buckets and how many exceed each threshold (in buckets)."""
+    return _gaps(_active_buckets(ticks, bucket_seconds), thresholds, chunk_buckets)
+
+
+def profile_ticks(ticks: DataFrame, *, bucket_seconds: float = 1, stage: Stage = write_stage) -> dict[str, DataFrame]:
+    """The data-quality report on ticks.
+
+    Counts, categories, values and nulls roll up from one aggregate per (venue, symbol, side), density
+    and gaps from the active buckets; both are kept as stage tables, so each costs one pass over ticks.
+    """
+    nulls = F.struct(*_null_counts(ticks, ticks.columns)).alias("nulls")
+    base = stage(
+        ticks.groupBy(*ENTITY, "side").agg(
+            F.count(F.lit(1)).alias("rows"), F.array(*[_measured(name) for name in VALUES]).alias("measured"), nulls
+        ),
+        "tick_base",
+    )
+    null_sums = base.agg(*[F.sum(f"nulls.{name}").alias(name) for name in ticks.columns])
+    active = stage(_active_buckets(ticks, bucket_seconds), "active_buckets")
     return {
-        "counts": count_profile(ticks),
+        "counts": _count_levels(base),
         "latency": latency_profile(ticks),
-        "values": value_profile(ticks),
-        "nulls": null_profile(ticks),
-        "categories": category_profile(ticks),
+        "values": _value_levels(base),
+        "nulls": null_sums.unpivot([], ticks.columns, "column_name", "null_count"),
+        "categories": _category_levels(base, "side"),
         "duplicates": duplicate_profile(ticks),
         "sequence": seq_order_check(ticks),
-        "density": density_profile(ticks, bucket_seconds),
-        "gaps": gap_profile(ticks, bucket_seconds),
+        "density": _density(active),
+        "gaps": _gaps(active, GAP_LIMITS, 86_400),
     }
 
 
