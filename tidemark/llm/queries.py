@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
+from tidemark.llm.language_id import op8_language_id
 from tidemark.llm.packing import op4_packing
+from tidemark.llm.quality_classifier import op5_quality_classifier
+from tidemark.llm.robust_rules import op9_quality_rules
 from tidemark.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
 SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
