@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
 from tidemark.llm.contamination import OP2_SQL, op2_decontamination
 from tidemark.llm.html_text import op6_html_extraction
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL}

@@ -321,6 +321,40 @@ def repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
     return out.drop("d1", "d2", "sha", "copies")
 
 
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """``docs`` with the repeated words cut from ``text`` (and n_chars, if there, counted anew), and ``emptied``.
+
+    Texts without a repeated word stay as they are, white space included; others become the kept words joined by single
+    spaces. ``emptied`` says that a text lost all its words. Two rows equal in all columns stay two rows.
+    """
+    columns = [c for c in docs.columns if c != "emptied"]
+    named, changed = remove_repeats(docs.select("text"), window)
+    several = named.filter("copies IS NOT NULL").select("d1", "d2").distinct()
+    lost = several.select("d1", "d2", F.lit("").alias("kept")).unionByName(changed.select("d1", "d2", "kept"))
+    lost = write_stage(lost, "lost_words")
+    wide = with_digests(docs.select(*columns)).join(lost, ["d1", "d2"], "left")
+    text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
+    out = wide.withColumn("emptied", F.coalesce(F.col("kept") == "", F.lit(False))).withColumn("text", text)
+    if "n_chars" in columns:
+        recount = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", recount.cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns, "emptied")
+
+
+def with_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` with d1 and d2 of the text's word sequence."""
+    wide = docs.drop("d1", "d2").withColumns({"d1": F.lit(0).cast("long"), "d2": F.lit(0).cast("long")})
+    place = wide.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [Windows(batch.column(place).slice(low, high - low), BLOCK).digests() for low, high in slices(batch.column(place))]
+            both = [pa.array(np.concatenate([x[i] for x in d]) if d else np.zeros(0, np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *both], schema=batch.schema)
+
+    return wide.mapInArrow(run, wide.schema)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_words(docs, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")

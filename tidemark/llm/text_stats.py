@@ -46,9 +46,8 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
         breaks = np.flatnonzero(data == 10)
         line_starts = np.union1d(offsets[:-1], breaks + 1)
         line_starts = line_starts[line_starts < len(data)]
-        line_ends = np.append(line_starts[1:], len(data))
-        broken = data[line_ends - 1] == 10 if len(line_ends) else np.zeros(0, bool)
-        line_ends = line_ends - broken
+        line_ends = np.append(line_starts[1:], len(data))[: len(line_starts)]
+        line_ends = line_ends - (data[line_ends - 1] == 10)
         filled = np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends)
         line_starts, line_ends = line_starts[filled], line_ends[filled]
         owner = np.searchsorted(offsets, line_starts, "right") - 1
