@@ -35,10 +35,10 @@ def consume_all(tables: dict[str, DataFrame]) -> None:
 STUDY_STEPS: dict[str, Callable[[Workspace], object]] = {
     "study_01_bucket_build": lambda w: w.market,
     "study_02_candidate_scan_and_clustering": lambda w: w.found,
-    "study_03_event_panel_and_profiles": lambda w: w.own,
+    "study_03_event_activity": lambda w: w.own_activity,
     "study_04_anchor_activity_and_quality": lambda w: w.rated,
     "study_05_control_selection": lambda w: (w.controls, w.selected, w.kept_controls),
-    "study_06_control_panel_and_profiles": lambda w: w.other,
+    "study_06_event_and_control_panels_and_profiles": lambda w: (w.selected_own, w.other),
     "study_07_comparison_build": lambda w: w.comparison,
     "study_08_top_diffs_and_summaries": lambda w: consume_all(w.final),
     "study_09_review_reports": lambda w: consume_all(w.reviewed),

@@ -529,7 +529,7 @@ own_long AS MATERIALIZED ({long_form("o_", "event_value")}),
 other_long AS MATERIALIZED ({long_form("c_", "normal_value")}),
 samples AS MATERIALIZED (
   SELECT e.event_id, e.direction AS event_direction, e.report_group, {GROUP_CASE.replace("metric_name", "e.metric_name")} AS metric_group,
-         e.metric_name, {", ".join(f"e.{d}" for d in DIMENSIONS)}, n.window_id AS sample_id, e.event_value, n.normal_value,
+         e.metric_name, {", ".join(f"e.{d}" for d in DIMENSIONS)}, n.window_id AS sample_id, round(e.event_value, 10) AS event_value, round(n.normal_value, 10) AS normal_value,
          e.from_value AS event_from_bucket_value, n.from_value AS normal_from_bucket_value,
          e.to_value AS event_to_bucket_value, n.to_value AS normal_to_bucket_value
   FROM own_long e JOIN other_long n ON n.event_id = e.event_id AND n.report_group = e.report_group AND n.metric_name = e.metric_name
@@ -553,29 +553,24 @@ def flags(normal: str) -> str:
 COMPARISON = f"""
 spread_of AS (
   SELECT event_id, event_direction, report_group, metric_group, metric_name, {", ".join(DIMENSIONS)}, event_value,
-         event_from_bucket_value, event_to_bucket_value, avg(normal_value) AS normal_mean,
+         event_from_bucket_value, event_to_bucket_value, round(avg(normal_value), 10) AS normal_mean,
          quantile_disc(normal_value, 0.5) AS normal_median, min(normal_value) AS normal_min, max(normal_value) AS normal_max,
          quantile_disc(normal_value, 0.25) AS normal_p25, quantile_disc(normal_value, 0.75) AS normal_p75,
-         stddev_samp(normal_value) AS normal_stddev, count(*) AS normal_sample_count, count(normal_value) AS normal_non_null_count,
+         round(stddev_samp(normal_value), 10) AS normal_stddev, count(*) AS normal_sample_count, count(normal_value) AS normal_non_null_count,
          count(*) FILTER (abs(normal_value) <= 1e-9) AS normal_zero_or_near_zero_count,
          count(*) FILTER (normal_value <= event_value) AS not_above,
          avg(normal_from_bucket_value) AS normal_from_bucket_value, avg(normal_to_bucket_value) AS normal_to_bucket_value
   FROM samples GROUP BY ALL
 ),
 compared AS (
-  SELECT *, event_value - normal_mean AS signed_diff_vs_mean, abs(event_value - normal_mean) AS absolute_diff_vs_mean,
+  SELECT *, round(event_value - normal_mean, 10) AS signed_diff_vs_mean, round(abs(event_value - normal_mean), 10) AS absolute_diff_vs_mean,
          CASE WHEN normal_mean <> 0 THEN event_value / normal_mean END AS ratio_vs_mean,
          CASE WHEN normal_stddev <> 0 THEN (event_value - normal_mean) / normal_stddev END AS z_score_vs_normal,
          CASE WHEN event_value IS NOT NULL AND normal_non_null_count > 0 THEN not_above / normal_non_null_count::DOUBLE END
            AS normal_percentile_rank, {flags("normal_mean")}
   FROM spread_of
 ),
-comparison AS MATERIALIZED (
-  SELECT * REPLACE (CASE WHEN NOT ratio_unstable THEN ratio_vs_mean END AS ratio_vs_mean,
-    round(normal_stddev, 4) AS normal_stddev, {", ".join(f"round({c}, 6) AS {c}" for c in (
-      "event_value", "normal_mean", "signed_diff_vs_mean", "absolute_diff_vs_mean", "z_score_vs_normal", "normal_percentile_rank"))})
-  FROM compared
-)"""
+comparison AS MATERIALIZED (SELECT * FROM compared)"""
 TIES = ("report_group", "metric_name", "exchange", "symbol_key", "exchange_pair", "window_mode", "window_label", "from_bucket", "to_bucket")
 TIE_SQL = ", ".join(f"{c} ASC NULLS LAST" for c in TIES)
 
@@ -590,9 +585,9 @@ def top(order: str, rank_type: str | None, source: str = "comparison", n: int =
 
 TOPS = f"""
 tops AS MATERIALIZED (
-  {top("absolute_diff_vs_mean DESC NULLS LAST", "top_absolute_diff")} UNION ALL
-  {top("signed_diff_vs_mean DESC NULLS LAST", "top_signed_positive")} UNION ALL
-  {top("signed_diff_vs_mean ASC NULLS LAST", "top_signed_negative")}
+  {top("round(absolute_diff_vs_mean, 6) DESC NULLS LAST", "top_absolute_diff")} UNION ALL
+  {top("round(signed_diff_vs_mean, 6) DESC NULLS LAST", "top_signed_positive")} UNION ALL
+  {top("round(signed_diff_vs_mean, 6) ASC NULLS LAST", "top_signed_negative")}
 )"""
 FLAGGED = """
 SELECT *, ratio_unstable OR relative_change_unstable OR small_denominator_flag AS denominator_risk_flag,
@@ -720,10 +715,11 @@ quality AS MATERIALIZED (
 
 
 def select(chain: str, source: str, columns: dict[str, str]) -> str:
-    """``source`` with columns typed: i = bigint, d = double rounded to 6, s = text, b = boolean, t = timestamp."""
+    """``source`` with columns typed: i = bigint, d = double rounded to 6, g = double to six significant digits, s = text, b = boolean, t = timestamp."""
     shapes = {
         "i": 'CAST("{0}" AS BIGINT) AS "{0}"',
         "d": 'round(CAST("{0}" AS DOUBLE), 6) AS "{0}"',
+        "g": """printf('%.5e', CAST("{0}" AS DOUBLE) + 0.0) AS "{0}\"""",
         "s": 'CAST("{0}" AS VARCHAR) AS "{0}"',
         "b": 'CAST("{0}" AS BOOLEAN) AS "{0}"',
         "t": 'CAST("{0}" AS TIMESTAMP) AS "{0}"',

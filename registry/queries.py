@@ -13,7 +13,7 @@ from registry.oracles import BASE, COMPARED, EVENT_COLUMNS, EVENT_PROFILES, FINE
 from registry.oracles import ANCHORS, COVERAGE, IDENTITY, PROBE, RECURRENCE, REVIEWED, STUDY, TOPS
 from registry.oracles import balanced, buckets, clustered, day, flags, ntz, policy, select, us
 from registry.settings import FINE, HOURLY, LOOKBACK, RAW_LOOKBACK
-from registry.workspace import Workspace, settled, workspace
+from registry.workspace import Workspace, workspace
 from tidemark.functions import measures, naming, taxonomy
 from tidemark.functions.timeaxis import bucket_index, normalize_ts, window_dates
 from tidemark.operators import bars, clusters, compare, contracts, controls, coverage, moves, panel, profiles, quality
@@ -56,6 +56,7 @@ def canonical(df: DataFrame, columns: Columns) -> DataFrame:
     shapes = {
         "i": lambda c: c.cast("long"),
         "d": lambda c: F.round(c.cast("double"), 6),
+        "g": lambda c: F.when(c.isNotNull(), F.format_string("%.5e", c.cast("double") + 0.0)),
         "s": lambda c: c.cast("string"),
         "b": lambda c: c.cast("boolean"),
         "t": lambda c: c.cast("timestamp_ntz"),
@@ -187,9 +188,9 @@ def _(w):
 
 @register(
     "normalize_ts",
-    kinds(i="seq", t="from_ns from_us from_ms from_s"),
+    kinds(i="seq", t="from_ns from_us from_ms from_s from_mixed"),
     BASE,
-    "(SELECT seq, ts_event AS from_ns, ts_event AS from_us, date_trunc('millisecond', ts_event) AS from_ms, "
+    "(SELECT seq, CASE WHEN seq % 3 = 0 THEN date_trunc('millisecond', ts_event) ELSE ts_event END AS from_mixed, ts_event AS from_ns, ts_event AS from_us, date_trunc('millisecond', ts_event) AS from_ms, "
     "date_trunc('second', ts_event) AS from_s FROM raw_ticks)",
 )
 def _(w):
@@ -200,8 +201,9 @@ def _(w):
         micros.alias("from_us"),
         F.floor(micros / 1000).alias("from_ms"),
         F.floor(micros / 1_000_000).cast("int").alias("from_s"),
+        F.when(F.col("seq") % 3 == 0, F.floor(micros / 1000)).when(F.col("seq") % 3 == 1, micros).otherwise(micros * 1000).alias("from_mixed"),
     )
-    for column in ("from_ns", "from_us", "from_ms", "from_s"):
+    for column in ("from_ns", "from_us", "from_ms", "from_s", "from_mixed"):
         epochs = normalize_ts(epochs, column)
     return epochs
 
@@ -577,7 +579,7 @@ def _(w):
 )
 def _(w):
     ticks = bars.clean_ticks(adapters.lineitem_ticks(w.spark, w.sf_dir))
-    return quality.seq_order_check(ticks, seq_chunk=10_000)
+    return quality.seq_order_check(ticks, chunk_rows=500)
 
 
 @register(
@@ -1299,8 +1301,9 @@ def _(w):
 SPREAD = kinds(
     s=f"event_id event_direction symbol {PLACE}",
     d="event_value normal_mean normal_median normal_min normal_max normal_p25 normal_p75 normal_stddev signed_diff_vs_mean "
-    "absolute_diff_vs_mean ratio_vs_mean z_score_vs_normal normal_percentile_rank event_from_bucket_value normal_from_bucket_value "
+    "absolute_diff_vs_mean normal_percentile_rank event_from_bucket_value normal_from_bucket_value "
     "event_to_bucket_value normal_to_bucket_value",
+    g="ratio_vs_mean z_score_vs_normal",
     i="normal_sample_count normal_non_null_count normal_zero_or_near_zero_count",
     b=FLAGS,
 )
@@ -1308,7 +1311,7 @@ SPREAD = kinds(
 
 @register("distribution_compare", SPREAD, COMPARED, "comparison")
 def _(w):
-    return settled(compare.union_reports(list(compare.compare_profiles(w.own, w.other).values())))
+    return compare.union_reports(list(compare.compare_profiles(w.own, w.other).values()))
 
 
 @register(
@@ -1324,7 +1327,7 @@ def _(w):
 
 @register(
     "compare_math",
-    kinds(s=f"event_id {PLACE}", d="signed_diff_vs_mean absolute_diff_vs_mean ratio_vs_mean z_score_vs_normal normal_percentile_rank"),
+    kinds(s=f"event_id {PLACE}", d="signed_diff_vs_mean absolute_diff_vs_mean normal_percentile_rank", g="ratio_vs_mean z_score_vs_normal"),
     COMPARED,
     "comparison",
 )
@@ -1426,7 +1429,7 @@ def _(w):
 TRUSTED = "(SELECT * FROM comparison WHERE NOT small_denominator_flag)"
 
 
-@register("top_by_abs_z", RANKED, TOPPED, f"({oracles.top('abs(z_score_vs_normal) DESC NULLS LAST', None, TRUSTED)})")
+@register("top_by_abs_z", RANKED, TOPPED, f"({oracles.top('round(abs(z_score_vs_normal), 6) DESC NULLS LAST', None, TRUSTED)})")
 def _(w):
     return ranking.top_by_abs_z(w.comparison, FINE.top_n)
 
@@ -1438,7 +1441,7 @@ EXTREME = "greatest(normal_percentile_rank, 1.0 - normal_percentile_rank)"
     "top_by_extreme",
     {**RANKED, **kinds(d="percentile_extremity")},
     TOPPED,
-    f"(SELECT *, {EXTREME} AS percentile_extremity FROM ({oracles.top(f'{EXTREME} DESC NULLS LAST', None, TRUSTED)}))",
+    f"(SELECT *, {EXTREME} AS percentile_extremity FROM ({oracles.top(f'round({EXTREME}, 6) DESC NULLS LAST', None, TRUSTED)}))",
 )
 def _(w):
     return ranking.top_by_extreme(w.comparison, FINE.top_n)
@@ -1460,8 +1463,8 @@ TOP_SIZES = f"""SELECT 'top_diffs' AS table_name, count(*) AS row_count FROM top
         UNION ALL SELECT 'status_counts', count(DISTINCT direction) + 1 FROM chosen
         UNION ALL SELECT 'selection_quality', count(DISTINCT event_id) FROM kept_controls
         UNION ALL SELECT 'metric_group_summary', count(DISTINCT row(event_id, report_group, metric_group)) FROM comparison
-        UNION ALL SELECT 'top_by_abs_z', count(*) FROM ({oracles.top('abs(z_score_vs_normal) DESC NULLS LAST', None, TRUSTED)})
-        UNION ALL SELECT 'top_by_extreme', count(*) FROM ({oracles.top(f'{EXTREME} DESC NULLS LAST', None, TRUSTED)})"""
+        UNION ALL SELECT 'top_by_abs_z', count(*) FROM ({oracles.top('round(abs(z_score_vs_normal), 6) DESC NULLS LAST', None, TRUSTED)})
+        UNION ALL SELECT 'top_by_extreme', count(*) FROM ({oracles.top(f'round({EXTREME}, 6) DESC NULLS LAST', None, TRUSTED)})"""
 
 
 @register("finalize", kinds(s="table_name", i="row_count"), TOPPED, f"({TOP_SIZES})")

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from registry import adapters
 from registry.settings import FINE, HOURLY
@@ -22,24 +21,6 @@ from tidemark.plans import study
 from tidemark.sources.catalog import requested_dates, select_partitions
 from tidemark.sources.stages import write_stage
 
-# Values that order or count rows are kept to six digits, so that the order in which a sum was taken
-# cannot turn a tie around. Ratios over a denominator that is only rounding noise are left out.
-RANKED_VALUES = (
-    "event_value",
-    "normal_mean",
-    "signed_diff_vs_mean",
-    "absolute_diff_vs_mean",
-    "z_score_vs_normal",
-    "normal_percentile_rank",
-)
-
-
-def settled(comparison: DataFrame) -> DataFrame:
-    stable = F.when(~F.col("ratio_unstable"), F.col("ratio_vs_mean"))
-    rounded = {name: F.round(name, 6) for name in RANKED_VALUES}
-    return comparison.withColumns({"ratio_vs_mean": stable, "normal_stddev": F.round("normal_stddev", 4), **rounded})
-
-
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, stage: Callable[[DataFrame, str], DataFrame] = write_stage):
         self.spark, self.sf_dir, self.stage = spark, sf_dir, stage
@@ -83,6 +64,16 @@ class Workspace:
     def own(self) -> dict[str, DataFrame]:
         return study.profile_stage(self.market["market"], self.own_windows, FINE, self.stage, "event")
 
+    @cached_property
+    def own_activity(self) -> DataFrame:
+        return study.activity_stage(self.market["market"], self.own_windows, FINE, self.stage)
+
+    @cached_property
+    def selected_own(self) -> dict[str, DataFrame]:
+        """As in a study, profiles of the selected events only; ``own`` holds those of all events."""
+        windows = event_windows(self.selected, FINE.lookback, bucket_seconds=FINE.bucket_seconds)
+        return study.profile_stage(self.market["market"], windows, FINE, self.stage, "selected")
+
     @cached_property
     def rated(self) -> dict[str, DataFrame]:
         return study.anchor_stage(
@@ -91,7 +82,7 @@ class Workspace:
 
     @cached_property
     def controls(self) -> DataFrame:
-        return study.control_stage(self.found["events"], self.own["entity"], self.rated, FINE, self.stage)
+        return study.control_stage(self.found["events"], self.own_activity, self.rated, FINE, self.stage)
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -109,8 +100,8 @@ class Workspace:
 
     @cached_property
     def comparison(self) -> DataFrame:
-        union = union_reports(list(compare_profiles(self.own, self.other).values()))
-        return self.stage(settled(union), "comparison")
+        union = union_reports(list(compare_profiles(self.selected_own, self.other).values()))
+        return self.stage(union, "comparison")
 
     @cached_property
     def final(self) -> dict[str, DataFrame]:

@@ -185,3 +185,19 @@ def test_balanced_selection_fills_up_from_the_rest(spark):
     note = C.balance_note(events, C.balanced_select(events, 4)).first()[0]
     assert note == "direction_balance_best_effort:available_up=1,available_down=3,selected_up=1,selected_down=3"
     assert C.balance_note(events, C.balanced_select(events, 2)).first()[0] == "balanced"
+
+
+def test_anchored_clusters_of_one_long_key(spark):
+    """A key with many runs, one of them longer than several chunks, against a plain walk."""
+    offsets, at_ = [], 0
+    for n in range(6000):
+        at_ += 7 if n % 50 else 500  # runs of 50 starts
+        offsets.append(at_)
+    offsets += [at_ + 10_000 + 9 * n for n in range(3000)]  # one run over several chunks
+    horizon, expected, last = 20, [], None
+    for start in offsets:
+        if last is None or start > last + horizon:
+            expected.append(start)
+            last = start
+    found = C.cluster_anchored(starts_of(spark, offsets), horizon, chunk_buckets=4096)
+    assert [r[0] for r in values(found, "event_start_bucket")] == expected

@@ -55,7 +55,7 @@ def test_ticks_combine_before_the_shuffle(spark):
 
 def test_sequence_check_reads_and_shuffles_rows_once(spark):
     frame = B.clean_ticks(ticks(spark)).withColumn("ts_recv", F.col("ts_event"))
-    text = plan_of(Q.seq_order_check(frame))
+    text = plan_of(Q.seq_order_check(frame, seq_chunk=1000))
     assert "Join" not in text and text.count("Exchange") <= 3
 
 
@@ -80,7 +80,34 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql()) == set(QUERIES)
+    own = [{name for name in names() if name.startswith("q_")} for names in (contract.queries, contract.oracle_sql)]
+    assert own == [set(QUERIES), set(QUERIES)]
+
+
+def test_numeric_epochs_take_one_scan(spark, tmp_path):
+    path = str(tmp_path / "epochs")
+    ticks(spark).withColumns({"ts_event": F.unix_micros("ts_event"), "ts_recv": F.unix_micros("ts_event")}).write.parquet(path)
+    text = plan_of(B.tick_buckets(B.clean_ticks(spark.read.parquet(path))))
+    assert text.count("Location:") == 1 and "Subquery" not in text
+
+
+def test_a_whole_study(spark):
+    from registry import adapters
+    from registry.settings import FINE
+    from tidemark.operators.contracts import raise_on_failure
+    from tidemark.plans.study import run_study
+    from tidemark.sources.stages import StageFolder
+
+    with StageFolder(spark) as stage:
+        frames = adapters.event_ticks(spark, SMALL), adapters.event_quotes(spark, SMALL)
+        study = run_study(*frames, FINE, stage)
+        selected = {r.event_id for r in study["selected_events"].collect()}
+        assert {r.event_id for r in study["processing_status"].filter("selected").collect()} == selected
+        assert study["processing_status"].count() == study["events"].count()
+        assert {r.event_id for r in study["event_profiles"]["entity"].select("event_id").distinct().collect()} == selected
+        raise_on_failure(study["contracts"])
+        with pytest.raises(RuntimeError, match="are needed"):
+            run_study(*frames, FINE, stage, min_events=10_000)
 
 
 @pytest.mark.parametrize(

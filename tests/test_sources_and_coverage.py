@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from helpers import at, bucket, candidates, values
@@ -221,13 +222,28 @@ def test_stage_tables_live_in_the_configured_folder(spark):
     assert table.inputFiles()[0].removeprefix("file://").startswith(stages.stage_root(spark).removeprefix("file:"))
 
 
+def test_sparse_sequences_share_chunks(spark):
+    rows = [("a", "S", at("2026-04-23 00:00:00").replace(second=n % 60), 1.0, 1.0, 10**15 + n * 10**9) for n in range(200)]
+    ticks = clean_ticks(spark.createDataFrame(rows, "exchange string, symbol string, ts_event timestamp, price double, qty double, seq long"))
+    row = Q.seq_order_check(ticks.withColumn("ts_recv", F.col("ts_event")), chunk_rows=50).first()
+    assert row.out_of_order_ts_event_count == 3
+
+
+def test_a_stage_folder_is_removed_as_a_whole(spark):
+    with stages.StageFolder(spark) as stage:
+        table = stage(spark.range(3), "numbers")
+        path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert table.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 @pytest.mark.parametrize("chunk", [2, 1000])
 def test_sequence_regressions_cross_chunks(spark, chunk):
     seconds = [0, 5, 4, 6, 6, 3, 9, 1]
     rows = [("a", "S", at("2026-04-23 00:00:00").replace(second=s), 1.0, 1.0, n * 3) for n, s in enumerate(seconds)]
     ticks = clean_ticks(spark.createDataFrame(rows, "exchange string, symbol string, ts_event timestamp, price double, qty double, seq long"))
     ticks = ticks.withColumn("ts_recv", F.col("ts_event"))
-    row = Q.seq_order_check(ticks, seq_chunk=chunk).first()
+    row = Q.seq_order_check(ticks, chunk_rows=chunk).first()
     assert (row.out_of_order_ts_event_count, row.out_of_order_ts_recv_count) == (3, 3)
     gaps = Q.gap_profile(ticks, 1, thresholds=(1, 2), chunk_buckets=chunk).first()
     assert (gaps.max_gap, gaps.gaps_gt_1, gaps.gaps_gt_2) == (3, 2, 1)

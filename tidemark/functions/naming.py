@@ -28,7 +28,7 @@ def sample_id(owner: Column, rank: Column) -> Column:
 
 def sample_owner(sample: Column) -> Column:
     """The event id inside a control sample id."""
-    return F.regexp_extract(sample, r"^(.*)__normal_[0-9]{3}$", 1)
+    return F.regexp_extract(sample, r"^(.*)__normal_[0-9]{3,}$", 1)
 
 
 def pair_name(a: Column, b: Column) -> Column:

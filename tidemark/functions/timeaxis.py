@@ -75,8 +75,9 @@ _UNIT_PEAK = {"ns": 1e18, "us": 1e15, "ms": 1e12, "s": 1e9}
 def normalize_ts(df: DataFrame, column: str, out: str | None = None, unit: str = "auto") -> DataFrame:
     """Add ``out`` as a timestamp read from a timestamp, timestamp_ntz or numeric epoch column.
 
-    ``unit="auto"`` infers s/ms/us/ns from the largest magnitude of the column through a scalar
-    subquery, so nothing runs until the result is used; name the unit to skip that extra scan.
+    ``unit="auto"`` infers s/ms/us/ns row by row from the magnitude, without a pass over the column. A
+    file with one unit reads as it would by its largest value, as long as its times lie after 1973
+    (seconds before that look like nothing else); a file with mixed units reads right as well.
     """
     out = out or column
     dtype = df.schema[column].dataType
@@ -86,7 +87,7 @@ def normalize_ts(df: DataFrame, column: str, out: str | None = None, unit: str =
     if not isinstance(dtype, T.NumericType):
         raise TypeError(f"{column} is {dtype.simpleString()}; expected a timestamp or a numeric epoch")
     if unit == "auto":
-        peak = df.agg(F.max(F.abs(value.cast("double")))).scalar()
+        peak = F.abs(value.cast("double"))
     elif unit in _UNIT_PEAK:
         peak = F.lit(_UNIT_PEAK[unit])
     else:

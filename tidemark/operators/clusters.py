@@ -143,14 +143,17 @@ def _walk(starts: Column, first: Column, horizon: int) -> Column:
 def _anchors(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFrame:
     """The starts that open a cluster, per key.
 
-    Where a cluster starts depends on the one before, along the whole key. To keep that from being
+    No cluster crosses a gap wider than the horizon, so the runs between such gaps are walked apart from
+    each other. Inside a run, where a cluster starts depends on the one before. To keep that from being
     one long walk, the axis is cut into chunks wider than the horizon. The last cluster before a
     chunk reaches at most ``horizon`` into it, so a chunk can be entered at few starts only. Each
-    chunk walks from all of them at once; what is left to do in sequence per key is one look-up per chunk.
+    chunk walks from all of them at once; what is left to do in sequence per run is one look-up per chunk.
     """
     width = max(chunk_buckets, horizon + 1)
+    walked = ("run", *CLUSTER_KEYS)
     chunked = (
-        candidates.groupBy(floor_div(F.col("start_bucket"), width).alias("chunk"), *CLUSTER_KEYS)
+        _runs(candidates, horizon, width)
+        .groupBy(floor_div(F.col("start_bucket"), width).alias("chunk"), *walked)
         .agg(F.array_sort(F.collect_set("start_bucket")).alias("starts"))
         .withColumn("_reach", F.col("chunk") * F.lit(width) + F.lit(horizon))
     )
@@ -158,7 +161,7 @@ def _anchors(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFra
     entries = F.slice("starts", F.lit(1), within_reach + 1)
     paths = chunked.select(
         "chunk",
-        *CLUSTER_KEYS,
+        *walked,
         F.transform(entries, lambda entry: _walk(F.col("starts"), entry, horizon)).alias("paths"),
     )
     ends = F.transform(
@@ -175,13 +178,13 @@ def _anchors(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFra
         return F.when(door.isNotNull(), entered).otherwise(state)
 
     entered = (
-        paths.groupBy(*CLUSTER_KEYS)
+        paths.groupBy(*walked)
         .agg(F.array_sort(F.collect_list(F.struct("chunk", ends.alias("ends")))).alias("chunks"))
-        .select(*CLUSTER_KEYS, F.explode(F.aggregate("chunks", nothing, enter)["entries"]).alias("entry"))
+        .select(*walked, F.explode(F.aggregate("chunks", nothing, enter)["entries"]).alias("entry"))
         .withColumn("chunk", floor_div(F.col("entry"), width))
     )
     taken = F.filter("paths", lambda path: F.element_at(path, 1) == F.col("entry"))
-    return paths.join(entered, ["chunk", *CLUSTER_KEYS]).select(
+    return paths.join(entered, ["chunk", *walked]).select(
         *CLUSTER_KEYS, F.explode(F.element_at(taken, 1)).alias("anchor")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import naming
 from tidemark.functions.timeaxis import bucket_date, bucket_start, floor_div
 from tidemark.operators.ordered import with_nearest_known
+from tidemark.operators.profiles import ProfileWindow
 
 ACTIVITY = ("trade_count", "trade_volume", "trade_notional")
 
@@ -227,6 +228,15 @@ def event_activity(entity_profile: DataFrame, window_label: str) -> DataFrame:
     )
 
 
+def window_activity(sparse: DataFrame, window: ProfileWindow) -> DataFrame:
+    """The same sums straight from the market buckets inside each window (``window_buckets``), before any panel is built."""
+    offset = F.col("window_end_bucket") - F.col("bucket")
+    inside = offset.between(window.first, window.last)
+    return sparse.groupBy("event_id", F.lower("exchange").alias("exchange")).agg(
+        *[F.coalesce(F.sum(F.when(inside, F.col(name))), F.lit(0)).alias(f"{name}_sum") for name in ACTIVITY]
+    )
+
+
 def activity_distance(
     events: DataFrame, own: DataFrame, anchors: DataFrame, sums: DataFrame, exchanges: int, *, salts: int = 8
 ) -> DataFrame:

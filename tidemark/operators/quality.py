@@ -165,15 +165,24 @@ def duplicate_examples(ticks: DataFrame, keys: Sequence[str], n: int = 20) -> Da
     return _duplicates(ticks, keys).orderBy(F.col("row_count").desc(), *keys).limit(n)
 
 
-def seq_order_check(ticks: DataFrame, *, seq_chunk: int = 1_000_000) -> DataFrame:
+def seq_order_check(ticks: DataFrame, *, chunk_rows: int = 1_000_000, seq_chunk: int | None = None) -> DataFrame:
     """How often event or receive time runs backwards along the sequence number, per venue and symbol.
 
-    One venue may hold most rows, so sequences are checked chunk by chunk and stitched at the edges.
+    One venue may hold most rows, so sequences are checked chunk by chunk and stitched at the edges. A chunk spans
+    ``seq_chunk`` numbers, or else as many as hold ``chunk_rows`` rows at the average density, so that sparse ids (taken
+    from clocks, say) do not make a chunk of every row; a venue has count / ``chunk_rows`` chunks at most. Rows without a
+    sequence number are in no order and left out.
     """
+    numbered = ticks.filter(F.col("seq").isNotNull()).withColumn("_seq", F.col("seq").cast("long"))
+    width = F.lit(seq_chunk).cast("long")
+    if seq_chunk is None:
+        span = F.max("_seq").cast("double") - F.min("_seq").cast("double") + 1
+        chunks = F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows))
+        width = F.coalesce(numbered.agg(F.ceil(span / chunks).cast("long")).scalar(), F.lit(1))
     return summarise_steps(
-        ticks.filter(F.col("seq").isNotNull()),
+        numbered,
         keys=ENTITY,
-        chunk=floor_div(F.col("seq").cast("long"), seq_chunk),
+        chunk=floor_div(F.col("_seq"), width),
         order=["seq", "ts_event", "ts_recv"],
         values=["ts_event", "ts_recv"],
         counts={

@@ -25,6 +25,14 @@ TIE_BREAKERS = (
 )
 
 
+# Digits after the point by which values are ranked: closer values are ties, and ties have an order of their own.
+RANK_DIGITS = 6
+
+
+def _rank_value(value: Column) -> Column:
+    return F.round(value, RANK_DIGITS)
+
+
 def _top(df: DataFrame, order: Sequence[Column], n: int, keys: Sequence[str]) -> DataFrame:
     """First ``n`` per group. A lone ``rank <= n`` lets Spark cut groups before the shuffle as well."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -41,9 +49,9 @@ def rank_top_diffs(
 ) -> DataFrame:
     """Largest absolute, most positive and most negative differences, one ranking each."""
     rankings = (
-        ("top_absolute_diff", F.col(absolute).desc_nulls_last()),
-        ("top_signed_positive", F.col(signed).desc_nulls_last()),
-        ("top_signed_negative", F.col(signed).asc_nulls_last()),
+        ("top_absolute_diff", _rank_value(F.col(absolute)).desc_nulls_last()),
+        ("top_signed_positive", _rank_value(F.col(signed)).desc_nulls_last()),
+        ("top_signed_negative", _rank_value(F.col(signed)).asc_nulls_last()),
     )
     ties = [F.col(name).asc_nulls_last() for name in TIE_BREAKERS]
     ranked = None
@@ -60,7 +68,7 @@ def _trusted(comparison: DataFrame) -> DataFrame:
 def top_by_abs_z(comparison: DataFrame, n: int) -> DataFrame:
     """Highest |z| per group among rows with sound denominators."""
     ties = [F.col(name).asc_nulls_last() for name in TIE_BREAKERS[1:]]
-    return _top(_trusted(comparison), [F.abs("z_score_vs_normal").desc_nulls_last(), *ties], n, GROUP)
+    return _top(_trusted(comparison), [_rank_value(F.abs("z_score_vs_normal")).desc_nulls_last(), *ties], n, GROUP)
 
 
 def top_by_extreme(comparison: DataFrame, n: int) -> DataFrame:
@@ -69,7 +77,7 @@ def top_by_extreme(comparison: DataFrame, n: int) -> DataFrame:
     scored = _trusted(comparison).withColumn(
         "percentile_extremity", tail_extremity(F.col("normal_percentile_rank"))
     )
-    return _top(scored, [F.col("percentile_extremity").desc_nulls_last(), *ties], n, GROUP)
+    return _top(scored, [_rank_value(F.col("percentile_extremity")).desc_nulls_last(), *ties], n, GROUP)
 
 
 def ordered_sample(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

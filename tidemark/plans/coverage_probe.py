@@ -16,6 +16,7 @@ from tidemark.operators.coverage import (
 from tidemark.operators.quality import candidate_rollup
 from tidemark.plans.event_map import Detector
 from tidemark.sources.catalog import requested_dates, select_partitions
+from tidemark.sources.stages import Stage, write_stage
 
 
 def probe_coverage(
@@ -28,16 +29,20 @@ def probe_coverage(
     lookback: int,
     first_date: str = "auto",
     last_date: str = "auto",
+    stage: Stage = write_stage,
 ) -> dict[str, DataFrame]:
-    """Seven tables; ``candidates`` come from ``scan_moves`` with ambiguous ones kept."""
+    """Seven tables; ``candidates`` come from ``scan_moves`` with ambiguous ones kept.
+
+    Diagnostics, events and their quality are used by several tables and written once.
+    """
     streams = ("trade", "bbo")
     family = select_partitions(catalog, exchanges=exchanges, streams=streams, symbol_family=symbol_family)
     dates = requested_dates(family, first_date, last_date)
     wanted = family.join(dates, "date", "left_semi")
-    diagnostics = coverage_diagnostics(dates, catalog, wanted, exchanges)
+    diagnostics = stage(coverage_diagnostics(dates, catalog, wanted, exchanges), "coverage_diagnostics")
     width = detector.bucket_seconds
-    events = cluster_chained(candidates, detector.horizon, bucket_seconds=width, scope="date")
-    quality = event_quality(events, diagnostics, lookback=lookback, bucket_seconds=width)
+    events = stage(cluster_chained(candidates, detector.horizon, bucket_seconds=width, scope="date"), "probe_events")
+    quality = stage(event_quality(events, diagnostics, lookback=lookback, bucket_seconds=width), "probe_quality")
     return {
         "coverage_by_date": diagnostics,
         "missing_dates": diagnostics.filter("missing_reasons <> ''").select(

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.timeaxis import buckets_per_day, floor_div
 from tidemark.operators import bars as bar_ops
+from tidemark.operators import contracts
 from tidemark.operators.clusters import balanced_members, cluster_chained, event_order
 from tidemark.operators.compare import compare_profiles, union_reports
 from tidemark.operators.controls import (
@@ -21,13 +22,13 @@ from tidemark.operators.controls import (
     anchor_activity,
     anchor_exclusion,
     enumerate_anchors,
-    event_activity,
     match_controls,
+    window_activity,
     window_quality,
 )
 from tidemark.operators.coverage import PASS, event_quality
 from tidemark.operators.moves import scan_moves
-from tidemark.operators.panel import build_panel
+from tidemark.operators.panel import build_panel, window_buckets
 from tidemark.operators.profiles import (
     PROFILE_WINDOWS,
     ProfileWindow,
@@ -39,6 +40,7 @@ from tidemark.operators.ranking import rank_top_diffs, top_by_abs_z, top_by_extr
 from tidemark.operators.review import review
 from tidemark.operators.summaries import (
     metric_group_summary,
+    processing_status,
     selection_quality,
     status_counts,
     status_join,
@@ -49,11 +51,12 @@ from tidemark.sources.stages import Stage
 
 @dataclass(frozen=True)
 class StudyParams:
-    """Lengths are in buckets of ``bucket_seconds``."""
+    """Lengths are in buckets of ``bucket_seconds``; ``unit`` is that of numeric epochs (see ``normalize_ts``)."""
 
     exchanges: tuple[str, ...]
     threshold_pct: float = 1.0
     bucket_seconds: float = 1
+    unit: str = "auto"
     horizon: int = 60
     lookback: int = 300
     proximity: int = 1800
@@ -73,8 +76,8 @@ class StudyParams:
 
 def market_stage(ticks: DataFrame, quotes: DataFrame, params: StudyParams, stage: Stage) -> dict[str, DataFrame]:
     """One pass over raw ticks and one over raw quotes; everything later reads buckets."""
-    trades = bar_ops.tick_buckets(bar_ops.clean_ticks(ticks), params.bucket_seconds)
-    updates = bar_ops.quote_buckets(bar_ops.clean_quotes(quotes), params.bucket_seconds)
+    trades = bar_ops.tick_buckets(bar_ops.clean_ticks(ticks, unit=params.unit), params.bucket_seconds)
+    updates = bar_ops.quote_buckets(bar_ops.clean_quotes(quotes, unit=params.unit), params.bucket_seconds)
     market = stage(bar_ops.market_buckets(trades, updates), "market_buckets")
     return {"market": market, "bars": bar_ops.bars_from_buckets(market)}
 
@@ -152,12 +155,12 @@ def with_span(events: DataFrame, params: StudyParams) -> DataFrame:
 
 
 def control_stage(
-    events: DataFrame, event_entity: DataFrame, rated: dict[str, DataFrame], params: StudyParams, stage: Stage
+    events: DataFrame, own_activity: DataFrame, rated: dict[str, DataFrame], params: StudyParams, stage: Stage
 ) -> DataFrame:
-    """Controls of every event at once."""
+    """Controls of every event at once; ``own_activity`` is that of the events' own windows."""
     controls = match_controls(
         with_span(events, params),
-        event_activity(event_entity, params.activity_window),
+        own_activity,
         rated["anchors"],
         activity_sums(rated["activity"]),
         exchanges=len(params.exchanges),
@@ -168,6 +171,35 @@ def control_stage(
     return stage(controls, "controls")
 
 
+def activity_stage(market: DataFrame, windows: DataFrame, params: StudyParams, stage: Stage) -> DataFrame:
+    """Activity of every event's own window; matching needs no more, so panels wait for the selection."""
+    window = next(w for w in params.windows if w.label == params.activity_window)
+    return stage(window_activity(window_buckets(market, windows, params.lookback), window), "event_activity")
+
+
+def contract_report(study: dict, params: StudyParams) -> DataFrame:
+    """``table, check, passed, observed, expected``: what must hold of a study's tables, one aggregation per table.
+
+    Row counts are not fixed (a venue may be absent from a window); keys, differences, samples and labels are.
+    """
+    comparison = [
+        contracts.expect_no_null("event_id"),
+        contracts.expect_no_null("metric_group"),
+        contracts.expect_sample_count("normal_sample_count", params.controls_per_event),
+        contracts.expect_abs_diff("signed_diff_vs_mean", "absolute_diff_vs_mean"),
+    ]
+    controls = [contracts.expect_no_null("sample_id"), contracts.expect_no_null("activity_distance")]
+    selected = [contracts.expect_no_null("event_id"), contracts.expect_no_null("selection_order")]
+    reports = [
+        contracts.check(study[name], expectations).withColumn("table", F.lit(name))
+        for name, expectations in (("comparison", comparison), ("selected_controls", controls), ("selected_events", selected))
+    ]
+    per_event = study["selected_controls"].groupBy("event_id").count()
+    counts = [contracts.Expectation("controls_per_event", F.count_if(F.col("count") != params.controls_per_event), 0)]
+    reports.append(contracts.check(per_event, counts).withColumn("table", F.lit("selected_controls")))
+    return union_reports(reports).select("table", "check", "passed", "observed", "expected")
+
+
 def select_events(events: DataFrame, controls: DataFrame, max_events: int) -> DataFrame:
     """The first ``max_events`` events that have controls: direction-balanced ones first, then by time."""
     matched = events.join(controls.select("event_id").distinct(), "event_id", "left_semi")
@@ -179,30 +211,48 @@ def select_events(events: DataFrame, controls: DataFrame, max_events: int) -> Da
 
 
 def run_study(
-    ticks: DataFrame, quotes: DataFrame, params: StudyParams, stage: Stage, diagnostics: DataFrame | None = None
+    ticks: DataFrame,
+    quotes: DataFrame,
+    params: StudyParams,
+    stage: Stage,
+    diagnostics: DataFrame | None = None,
+    min_events: int = 0,
 ) -> dict:
-    """Detection, event windows, control selection, control windows and comparison."""
+    """Detection, control selection, then panels and profiles of the selected events and their controls, and comparison.
+
+    Fails if fewer than ``min_events`` events could be selected; the status of all events says why.
+    """
     width = params.bucket_seconds
     market = market_stage(ticks, quotes, params, stage)
     found = detection_stage(market["bars"], params, stage, diagnostics)
     events = found["events"]
-    own = profile_stage(
-        market["market"], event_windows(events, params.lookback, bucket_seconds=width), params, stage, "event"
-    )
+    windows = event_windows(events, params.lookback, bucket_seconds=width)
+    own_activity = activity_stage(market["market"], windows, params, stage)
     rated = anchor_stage(
         market["market"], market["bars"], found["candidates"], params, stage, spans=with_span(events, params)
     )
-    controls = control_stage(events, own["entity"], rated, params, stage)
+    controls = control_stage(events, own_activity, rated, params, stage)
     selected = stage(select_events(events, controls, params.max_events), "selected_events")
     kept = stage(controls.join(selected.select("event_id"), "event_id", "left_semi"), "selected_controls")
+    if diagnostics is None:
+        judged = events.select("event_id", F.lit(PASS).alias("quality_reason"))
+    else:
+        judged = found["quality"]
+    status = stage(processing_status(found.get("all_events", events), judged, controls, selected), "processing_status")
+    if min_events and (ready := selected.count()) < min_events:
+        raise RuntimeError(f"{ready} events could be selected, {min_events} are needed: see the table processing_status")
+    chosen = event_windows(selected, params.lookback, bucket_seconds=width)
+    own = profile_stage(market["market"], chosen, params, stage, "event")
     other = profile_stage(
         market["market"], control_windows(kept, params.lookback, bucket_seconds=width), params, stage, "control"
     )
     comparison = stage(union_reports(list(compare_profiles(own, other).values())), "comparison")
-    return {
+    study = {
         **market,
         **found,
         **rated,
+        "event_activity": own_activity,
+        "processing_status": status,
         "controls": controls,
         "event_profiles": own,
         "control_profiles": other,
@@ -210,6 +260,7 @@ def run_study(
         "selected_controls": kept,
         "comparison": comparison,
     }
+    return study | {"contracts": contract_report(study, params)}
 
 
 def finalize(
