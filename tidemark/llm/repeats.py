@@ -11,7 +11,8 @@ Suffixes are told apart by 64-bit hashes of their words inside a group, and grou
 3. Groups: suffixes under one block. Where a block heads more than ``GROUP_MOST`` entries the prefix is lengthened by
    the suffix's own first block, and if the same words simply occur that often, the group is dealt out over salts: each
    salt keeps one entry per deep node, and a second, aggregated level joins what the salts found.
-4. A task reads its groups in order and holds one at a time. Suffixes that share a deep node are marked.
+4. A task reads its groups in order and holds one at a time. Suffixes that share a deep node are marked. Suffixes of one
+   text that share one are marked where the text is, and only one of them goes into a group.
 5. Every word covered by a marked window is removed from its class's text.
 
 Null and empty texts, and texts with fewer words than the window, lose nothing. Classes do not use ids: rows with
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_stats import keyed
+from tidemark.llm.text_stats import keyed, per_text
 from tidemark.llm.textarrays import U, mix, odd_multipliers, run_hashes, slices, span_hashes, texts_of, word_spans
 from tidemark.sources.stages import write_stage
 
@@ -69,6 +70,9 @@ class Windows:
         self.least = sliding_least(self.blocks, window - BLOCK + 1)[self.places] if n else self.blocks[:0]
         self.owner = owner[self.places]
 
+    def window_hashes(self, window: int) -> np.ndarray:
+        return run_hashes(self.hashes, window, odd_multipliers(window, 9))[self.places]
+
     def block_is_twice(self, blocks: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Whether each block stands at two places or more of its text."""
         owners = np.repeat(np.arange(len(self.texts)), self.sizes)[: len(self.blocks)]
@@ -88,10 +92,7 @@ class Windows:
 
     def joined(self, row: int, keep: np.ndarray | None = None) -> bytes:
         low, high = self.words[row], self.words[row + 1]
-        data = self.texts.data.tobytes() if len(self.texts) == 1 else None
-        first = self.texts.offsets[row]
-        text = data if data is not None else self.texts.data[first : self.texts.offsets[row + 1]].tobytes()
-        words = text.split()
+        words = self.texts.data[self.texts.offsets[row] : self.texts.offsets[row + 1]].tobytes().split()
         return b" ".join(words if keep is None else [w for w, k in zip(words, keep[low:high].tolist(), strict=True) if k])
 
 
@@ -188,7 +189,10 @@ def segments(texts: DataFrame, window: int) -> DataFrame:
                     tell = pd.Series(sizes, index=mix(blocks + where.astype(U) * U(0x9FB21C651E98DF25)))
                     found = tell.reindex(mix(w.least + w.owner.astype(U) * U(0x9FB21C651E98DF25))).fillna(0).to_numpy(np.int64)
                 at = np.flatnonzero(found > 1)
-                digests = run_hashes(w.hashes, window, odd_multipliers(window, 9))[w.places[at]]
+                digests = w.window_hashes(window)[at]
+                # A window that stands in a text twice is known to repeat (see cut): one of them speaks for it.
+                first = ~pd.Series(keyed(digests, w.owner[at])).duplicated().to_numpy()
+                at, digests = at[first], digests[first]
                 owner, least, n = w.owner[at], w.least[at], found[at]
                 hot = n > GROUP_MOST
                 with np.errstate(over="ignore"):
@@ -199,7 +203,7 @@ def segments(texts: DataFrame, window: int) -> DataFrame:
                 begins = np.union1d(begins, np.concatenate([np.arange(a, b, RUN_MOST) for a, b in zip(begins, np.append(begins[1:], len(at)), strict=True) if b - a > RUN_MOST] or [begins]))
                 d1 = np.asarray(batch.column(0))[low + owner[begins]]
                 d2 = np.asarray(batch.column(1))[low + owner[begins]]
-                salts = np.maximum(1, -(-n[begins] // GROUP_MOST))
+                salts = np.maximum(1, -(-4 * n[begins] // GROUP_MOST))
                 salt = np.where(hot[begins], 1 + mix(d1.view(U) ^ d2.view(U)) % salts.astype(U), 0).astype(np.int32)
                 start = (w.places[at][begins] - w.words[owner[begins]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)).astype(np.int32)), pa.array(digests.view(np.int64)))
@@ -272,23 +276,38 @@ def marked_windows(rows: DataFrame) -> DataFrame:
 
 
 def cut(texts: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """(d1, d2, n_removed, kept_sha256, kept): texts of classes without the words of marked windows."""
+    """(d1, d2, n_removed, kept_sha256, kept): texts of classes that lose words.
+
+    Marked windows are those of ``places`` and those that stand in the text itself twice.
+    """
     spans = places.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    wide = texts.select("d1", "d2", "packed").join(spans, ["d1", "d2"]).select("d1", "d2", "packed", "spans")
+    wide = texts.select("d1", "d2", "packed").join(spans, ["d1", "d2"], "left").select("d1", "d2", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for packed, spans in zip(unpacked(batch.column(2)), batch.column(3), strict=True):
-                words = packed.as_py().encode().split()
-                begin = np.asarray(spans.values.field(0), dtype=np.int64)
-                edge = np.bincount(begin, minlength=len(words) + 1)
-                edge -= np.bincount(begin + np.asarray(spans.values.field(1)) - 1 + window, minlength=len(words) + 1)
-                gone = np.cumsum(edge)[: len(words)] > 0
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                rows.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["d1", "d2", "n_removed", "kept_sha256", "kept"])
+            column = unpacked(batch.column(2))
+            for low, high in slices(column):
+                w = Windows(column.slice(low, high - low), window)
+                edge = np.zeros(len(w.hashes) + 1, np.int64)
+                own = w.places[pd.Series(keyed(w.window_hashes(window), w.owner)).duplicated(keep=False).to_numpy()]
+                np.add.at(edge, own, 1)
+                np.add.at(edge, own + window, -1)
+                for row in range(low, high):
+                    spans = batch.column(3)[row]
+                    if spans.is_valid:
+                        begin = np.asarray(spans.values.field(0), dtype=np.int64) + w.words[row - low]
+                        np.add.at(edge, begin, 1)
+                        np.add.at(edge, begin + np.asarray(spans.values.field(1)) - 1 + window, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                removed = per_text(gone, w.words)
+                rows = []
+                for row in np.flatnonzero(removed).tolist():
+                    kept = w.joined(row, ~gone)
+                    place = low + row
+                    rows.append((batch.column(0)[place].as_py(), batch.column(1)[place].as_py(), int(removed[row]), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "n_removed", "kept_sha256", "kept"])
 
     return wide.mapInArrow(run, "d1 long, d2 long, n_removed long, kept_sha256 string, kept string")
 
