@@ -3,15 +3,94 @@
 from __future__ import annotations
 
 from registry.settings import FINE, HOURLY, LOOKBACK, RAW_LOOKBACK
-from tidemark.functions.taxonomy import (
-    CHANGE_FIELDS,
-    ENTITY_METRICS,
-    METRICS_BY_GROUP,
-    PAIR_METRICS,
-    PRICE_DISLOCATION,
-    SIGNAL_CANDIDATE,
+
+# Fixed values, written out here too, so that the SQL does not take them from what it checks.
+ENTITY_METRICS = (
+    "seconds_observed",
+    "seconds_with_trades",
+    "seconds_with_bbo_update",
+    "seconds_forward_filled_bbo",
+    "trade_count_sum",
+    "trade_count_per_second_avg",
+    "trade_count_per_second_max",
+    "trade_volume_sum",
+    "trade_notional_sum",
+    "buy_qty_sum",
+    "sell_qty_sum",
+    "trade_imbalance_qty_sum",
+    "trade_imbalance_qty_per_second",
+    "trade_imbalance_qty_ratio",
+    "last_trade_return_bps",
+    "last_mid_return_bps",
+    "avg_spread_bps_mean",
+    "avg_spread_bps_max",
+    "last_spread_bps_last",
+    "avg_book_imbalance_mean",
+    "last_book_imbalance_last",
+    "bbo_quote_age_seconds_max",
+)
+PAIR_METRICS = (
+    "avg_mid_diff_bps",
+    "max_abs_mid_diff_bps",
+    "last_mid_diff_bps",
+    "last_abs_mid_diff_bps",
+    "seconds_compared",
 )
-from tidemark.operators.profiles import CHANGE_SOURCES
+CHANGE_FIELDS = (
+    "absolute_change",
+    "relative_change",
+)
+SIGNAL_CANDIDATE = "signal_candidate"
+PRICE_DISLOCATION = "price_dislocation"
+METRICS_BY_GROUP = {
+    "context": (
+        "seconds_observed",
+        "seconds_with_trades",
+        "seconds_with_bbo_update",
+        "seconds_forward_filled_bbo",
+        "seconds_compared",
+        "trade_count_sum",
+        "trade_count_per_second_avg",
+        "trade_count_per_second_max",
+        "trade_volume_sum",
+        "trade_notional_sum",
+        "buy_qty_sum",
+        "sell_qty_sum",
+        "bbo_quote_age_seconds_max",
+        "trade_count_per_second.absolute_change",
+    ),
+    "signal_candidate": (
+        "buy_trade_count",
+        "sell_trade_count",
+        "trade_imbalance_qty_sum",
+        "trade_imbalance_qty_per_second",
+        "trade_imbalance_qty_ratio",
+        "buy_notional",
+        "sell_notional",
+        "avg_spread_bps_mean",
+        "avg_spread_bps_max",
+        "last_spread_bps_last",
+        "avg_book_imbalance_mean",
+        "last_book_imbalance_last",
+        "trade_imbalance_qty_per_second.absolute_change",
+        "avg_spread_bps.absolute_change",
+        "avg_book_imbalance.absolute_change",
+    ),
+    "price_dislocation": (
+        "last_trade_return_bps",
+        "last_mid_return_bps",
+        "avg_mid_diff_bps",
+        "max_abs_mid_diff_bps",
+        "last_mid_diff_bps",
+        "last_abs_mid_diff_bps",
+    ),
+}
+CHANGE_SOURCES = {
+    "trade_count_per_second": "trade_count_per_second_avg",
+    "trade_imbalance_qty_per_second": "trade_imbalance_qty_per_second",
+    "avg_spread_bps": "avg_spread_bps_mean",
+    "avg_book_imbalance": "avg_book_imbalance_mean",
+}
 
 VENUES = FINE.exchanges
 PAIRS = [(a, b) for i, a in enumerate(VENUES) for b in VENUES[i + 1 :]]
@@ -715,11 +794,12 @@ quality AS MATERIALIZED (
 
 
 def select(chain: str, source: str, columns: dict[str, str]) -> str:
-    """``source`` with columns typed: i = bigint, d = double rounded to 6, g = double to six significant digits, s = text, b = boolean, t = timestamp."""
+    """``source`` with columns typed: i = bigint, d = double rounded to 6, g = double to six significant digits (scaled by a hair, so that
+    no exact half is left to the two ways of rounding it), s = text, b = boolean, t = timestamp."""
     shapes = {
         "i": 'CAST("{0}" AS BIGINT) AS "{0}"',
         "d": 'round(CAST("{0}" AS DOUBLE), 6) AS "{0}"',
-        "g": """printf('%.5e', CAST("{0}" AS DOUBLE) + 0.0) AS "{0}\"""",
+        "g": """printf('%.5e', CAST("{0}" AS DOUBLE) * 1.000000001 + 0.0) AS "{0}\"""",
         "s": 'CAST("{0}" AS VARCHAR) AS "{0}"',
         "b": 'CAST("{0}" AS BOOLEAN) AS "{0}"',
         "t": 'CAST("{0}" AS TIMESTAMP) AS "{0}"',

@@ -56,7 +56,7 @@ def canonical(df: DataFrame, columns: Columns) -> DataFrame:
     shapes = {
         "i": lambda c: c.cast("long"),
         "d": lambda c: F.round(c.cast("double"), 6),
-        "g": lambda c: F.when(c.isNotNull(), F.format_string("%.5e", c.cast("double") + 0.0)),
+        "g": lambda c: F.when(c.isNotNull(), F.format_string("%.5e", c.cast("double") * 1.000000001 + 0.0)),
         "s": lambda c: c.cast("string"),
         "b": lambda c: c.cast("boolean"),
         "t": lambda c: c.cast("timestamp_ntz"),
@@ -905,7 +905,9 @@ def _(w):
 
 @register("cross_grid", kinds(s="window_id exchange symbol", i="bucket second_before_event"), EVENT_PROFILES, "o_grid")
 def _(w):
-    return w.own["panel"]
+    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK)
+    before = F.col("window_end_bucket") - F.col("bucket")
+    return panel.densify(panel.panel_ffill(sparse)).withColumn("second_before_event", before)
 
 
 PANEL_KEY = kinds(s="window_id exchange symbol", i="second_before_event")
@@ -924,7 +926,7 @@ PANEL_KEY = kinds(s="window_id exchange symbol", i="second_before_event")
     "o_full",
 )
 def _(w):
-    return w.own["panel"]
+    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds)
 
 
 @register(
@@ -1316,13 +1318,25 @@ def _(w):
 
 @register(
     "compare_profiles",
-    kinds(s="report_group event_id", i="row_count"),
+    kinds(s="report_group event_id metric_name", i="row_count samples flagged ranked", g="event_total mean_total spread_total z_total"),
     COMPARED,
-    "(SELECT report_group, event_id, count(*) AS row_count FROM compared GROUP BY 1, 2)",
+    """(SELECT report_group, event_id, metric_name, count(*) AS row_count, sum(normal_non_null_count) AS samples,
+        count(*) FILTER (small_denominator_flag) AS flagged, count(normal_percentile_rank) AS ranked, sum(abs(event_value)) AS event_total,
+        sum(abs(normal_mean)) AS mean_total, sum(normal_stddev) AS spread_total, sum(abs(z_score_vs_normal)) AS z_total
+        FROM compared GROUP BY 1, 2, 3)""",
 )
 def _(w):
-    tables = compare.compare_profiles(w.own, w.other)
-    return compare.union_reports(list(tables.values())).groupBy("report_group", "event_id").agg(F.count(F.lit(1)).alias("row_count"))
+    tables = compare.compare_profiles(w.selected_own, w.other)
+    return compare.union_reports(list(tables.values())).groupBy("report_group", "event_id", "metric_name").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("normal_non_null_count").alias("samples"),
+        F.count_if("small_denominator_flag").alias("flagged"),
+        F.count("normal_percentile_rank").alias("ranked"),
+        F.sum(F.abs("event_value")).alias("event_total"),
+        F.sum(F.abs("normal_mean")).alias("mean_total"),
+        F.sum("normal_stddev").alias("spread_total"),
+        F.sum(F.abs("z_score_vs_normal")).alias("z_total"),
+    )
 
 
 @register(

@@ -15,8 +15,11 @@ PANEL_KEYS = ("window_id", "exchange", "symbol")
 PANEL_PRICES = tuple(name for name in TRADE_PRICES if name != "open_price")
 
 
-def window_buckets(market: DataFrame, windows: DataFrame, lookback: int) -> DataFrame:
-    """Market buckets inside each window: the sparse form of the panel."""
+def window_buckets(market: DataFrame, windows: DataFrame, lookback: int, *, salts: int = 8) -> DataFrame:
+    """Market buckets inside each window: the sparse form of the panel.
+
+    A market-wide burst puts all windows and symbols into one slice of time, hence the salt over venue and symbol.
+    """
     selected = windows.select("window_id", "event_id", "direction", "window_start_bucket", "window_end_bucket")
     return range_join_bucketed(
         market,
@@ -25,6 +28,8 @@ def window_buckets(market: DataFrame, windows: DataFrame, lookback: int) -> Data
         start=F.col("window_start_bucket"),
         end=F.col("window_end_bucket"),
         width=lookback,
+        salts=salts,
+        salt_by=("exchange", "symbol"),
     )
 
 
