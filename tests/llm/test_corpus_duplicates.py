@@ -79,8 +79,10 @@ def edited(seed, n=150):
     return [*texts, "", None, "one", "ONE", " "]
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "listed", "block"), [(2, 1024, 250_000), (5, 1024, 250_000), (2, 0, 200)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, listed, block):
+    monkeypatch.setattr(near_duplicates, "LISTED_MOST", listed)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
     texts = edited(width)
     docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     sets = sets_of(texts, width)

@@ -4,10 +4,12 @@
 2. A signature has ``CHUNKS`` chunks of ``PER_CHUNK`` b-bit symbols. By the pigeonhole principle two signatures that
    differ in at most 2 * CHUNKS - 1 symbols differ in at most one symbol of some chunk. All such errors are enumerated
    as keys that leave one symbol of a chunk out, so each pair within that distance shares a key. (At a similarity of 0.8
-   a symbol differs with probability 0.2, and a pair shares no key with probability 2e-6.)
+   a symbol differs with probability 0.2, and a pair shares no key with probability 3e-6.)
 3. Pairs of a bucket are not all emitted. First each member is compared with the bucket's least member; the confirmed
    links give components. Only members of one bucket that are still in different components are compared after that,
-   so that every pair with a common key is either confirmed, refuted or already connected: no link is lost.
+   so that every pair with a common key is either confirmed, refuted or already connected: no link is lost. Where they
+   are many (variants just below the similarity, beside a large component) blocks of them meet blocks of the component
+   inside tasks of bounded size, and only links come out.
 4. Before whole sets are compared, pairs are dropped whose sizes exclude the similarity, or whose signatures differ in
    more than ``FAR`` symbols (six standard deviations from what similarity 0.8 gives).
 
@@ -30,9 +32,11 @@ from tidemark.llm.shingles import minhash, shared, shingle_sets
 from tidemark.llm.textarrays import U, mix, slices
 from tidemark.sources.stages import write_stage
 
-CHUNKS, PER_CHUNK, BITS = 10, 5, 14
+CHUNKS, PER_CHUNK, BITS = 12, 6, 11
 SYMBOLS = CHUNKS * PER_CHUNK
-FAR = 27
+FAR = 35
+LISTED_MOST = 1024  # undecided pairs of a part up to which they are listed one by one
+BLOCK_SHINGLES = 250_000  # of a block of texts that a task holds
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -117,18 +121,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return wide.mapInArrow(run, "u long, v long")
 
 
-def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket that lie in different components and have not been compared."""
-    own = members.join(found, members["node"] == found["node"], "left").select(
-        members["key"], members["node"], "pivot", F.coalesce("component", members["node"]).alias("part")
+def undecided(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(part, node, odd): for parts that share a bucket with nodes of other parts, their nodes and those others.
+
+    A part is a component, or a node without a link. In a bucket of several parts the one with most nodes is the main
+    part and the nodes of others are odd there. Every pair of the bucket that is not yet decided is a pair of an odd
+    node with a node of the main part or with another odd node.
+    """
+    part = F.coalesce("component", nodes["node"])
+    own = nodes.join(found, nodes["node"] == found["node"], "left").select(nodes["node"], part.alias("part"))
+    placed = members.filter("n > 2").join(own, "node").select("key", "node", "part")
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts"))
+    mixed = placed.join(main.filter("parts > 1").select("key", "main"), "key").filter("part <> main")
+    odd = write_stage(mixed.select(F.col("main").alias("part"), "node").distinct(), "odd_nodes")
+    whole = own.join(odd.select("part").distinct(), "part", "left_semi").select("part", "node")
+    both = whole.withColumn("odd", F.lit(False)).unionByName(odd.withColumn("odd", F.lit(True)))
+    return write_stage(both.join(nodes.select("node", "n_shingles", "symbols"), "node"), "undecided")
+
+
+def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) among undecided pairs.
+
+    Few pairs of a part are listed; many are compared block by block inside tasks, and only links leave these.
+    """
+    totals = groups.groupBy("part").agg(
+        F.count_if("odd").alias("n_odd"),
+        F.count("*").alias("n_all"),
+        F.sum(F.when(F.col("odd"), F.col("n_shingles"))).alias("s_odd"),
+        F.sum("n_shingles").alias("s_all"),
     )
-    sizes = own.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-    mixed = own.join(main.filter("parts > 1 AND n > 2").drop("n", "parts"), "key").filter("node <> pivot")
-    odd = mixed.filter("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-    others = mixed.select("key", F.col("node").alias("y"), F.col("part").alias("py"))
-    pairs = odd.join(others, "key").filter("px <> py")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    many = F.col("n_odd") * F.col("n_all") > LISTED_MOST
+    few = groups.join(totals.filter(~many).select("part"), "part", "left_semi").select("part", "node", "odd")
+    x, y = few.filter("odd").select("part", F.col("node").alias("x")), few.select("part", F.col("node").alias("y"))
+    pairs = x.join(y, "part").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    nodes = groups.select("node", "n_shingles", "symbols").distinct()
+    listed = write_stage(plausible(pairs, nodes, percent), "pairs")
+
+    blocks = lambda name: F.ceil(F.col(name) / BLOCK_SHINGLES).cast("int")
+    dealt = totals.filter(many).select("part", blocks("s_odd").alias("b_odd"), blocks("s_all").alias("b_all"))
+    large = groups.join(dealt, "part")
+    own = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    others = F.sequence(F.lit(0), F.col("b_all") - 1)
+    queries = large.filter("odd").select("part", "node", F.lit(True).alias("query"), own("b_odd").alias("bx"), F.explode(others).alias("by"))
+    against = large.select("part", "node", F.lit(False).alias("query"), own("b_all").alias("by"), F.explode(F.sequence(F.lit(0), F.col("b_odd") - 1)).alias("bx"))
+    rows = queries.unionByName(against.select(*queries.columns))
+    one = nodes.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("symbols").alias("symbols"))
+    wanted = large.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    kept = write_stage(texts, "block_texts").withColumnRenamed("doc_id", "node")
+    full = rows.join(one, "node").join(kept, "node").select("part", "bx", "by", "node", "query", "n_shingles", "symbols", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, query = np.asarray(table.column("node")), np.asarray(table.column("query"))
+        sizes = np.asarray(table.column("n_shingles"))
+        symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        values, offsets = shingle_sets(table.column("text").combine_chunks(), width)
+        right = np.flatnonzero(~query)
+        links = []
+        for i in np.flatnonzero(query).tolist():
+            fits = 100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i])
+            near = right[fits & (ids[right] != ids[i])]
+            near = near[(symbols[near] != symbols[i]).sum(axis=1) <= FAR]
+            if not len(near):
+                continue
+            mine = np.sort(values[offsets[i] : offsets[i + 1]])
+            counts = offsets[near + 1] - offsets[near]
+            ends = np.cumsum(counts)
+            theirs = values[np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(offsets[near], counts)]
+            found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            common = np.diff(np.append(0, np.cumsum(found))[np.append(0, ends)])
+            linked = near[100 * common >= percent * (len(mine) + counts - common)]
+            links += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in linked]
+        out = np.array(sorted(set(links)), np.int64).reshape(-1, 2)
+        return pa.table({"u": out[:, 0], "v": out[:, 1]})
+
+    blocked = full.groupBy("part", "bx", "by").applyInArrow(compare, "u long, v long")
+    return confirmed(listed, docs, width, percent).unionByName(blocked)
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,7 +208,7 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     nodes = write_stage(classes, "classes")
     keys = bucket_keys(nodes)
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = write_stage(keys.join(buckets, "key").select("key", "node", "pivot"), "buckets")
+    members = write_stage(keys.join(buckets, "key").select("key", "node", "pivot", "n"), "buckets")
     first = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     links = write_stage(confirmed(write_stage(plausible(first, nodes, percent), "pairs"), docs, width, percent), "links")
     # Rows that share an id but not a set: their classes are one document.
@@ -147,9 +216,10 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     same = usable.join(several, "doc_id", "left_semi").join(nodes.drop("symbols"), ["h1", "h2", "n_shingles"])
     links = links.union(same.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
     found = components(links)
-    more = write_stage(plausible(undecided(members, found), nodes, percent), "pairs")
-    if more.limit(1).count():
-        found = components(links.union(confirmed(more, docs, width, percent)))
+    groups = undecided(members, found, nodes)
+    if groups.limit(1).count():
+        more = write_stage(undecided_links(docs, groups, width, percent), "links")
+        found = components(links.union(more))
     return signed, found, nodes
 
 
