@@ -35,6 +35,7 @@ from tidemark.sources.stages import write_stage
 CHUNKS, PER_CHUNK, BITS = 12, 6, 11
 SYMBOLS = CHUNKS * PER_CHUNK
 FAR = 35
+BROADCAST_IDS = 1_000_000  # of 8 bytes each
 LISTED_MOST = 1024  # undecided pairs of a part up to which they are listed one by one
 BLOCK_SHINGLES = 250_000  # of a block of texts that a task holds
 
@@ -100,12 +101,21 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return fitting.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted ids. Up to ``BROADCAST_IDS`` ids go to the texts, beyond that Spark moves both."""
+    ids = write_stage(wanted.distinct(), "wanted")
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near, "doc_id", "left_semi")
+    return write_stage(texts, "linked_texts")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v): pairs whose full shingle sets have the similarity."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    one = write_stage(texts, "linked_texts")
-    sides = [one.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab"]
+    sides = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab"]
     # The pivot of many pairs is joined last: Spark splits that side and repeats its one text.
     wide = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "t_a", "t_b")
 
@@ -167,9 +177,8 @@ def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
     against = large.select("part", "node", F.lit(False).alias("query"), own("b_all").alias("by"), F.explode(F.sequence(F.lit(0), F.col("b_odd") - 1)).alias("bx"))
     rows = queries.unionByName(against.select(*queries.columns))
     one = nodes.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("symbols").alias("symbols"))
-    wanted = large.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    kept = write_stage(texts, "block_texts").withColumnRenamed("doc_id", "node")
+    texts = texts_of_nodes(docs, large.select(F.col("node").alias("doc_id")).union(ends_of(listed)))
+    kept = texts.withColumnRenamed("doc_id", "node")
     full = rows.join(one, "node").join(kept, "node").select("part", "bx", "by", "node", "query", "n_shingles", "symbols", "text")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -197,7 +206,7 @@ def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
         return pa.table({"u": out[:, 0], "v": out[:, 1]})
 
     blocked = full.groupBy("part", "bx", "by").applyInArrow(compare, "u long, v long")
-    return confirmed(listed, docs, width, percent).unionByName(blocked)
+    return confirmed(listed, texts, width, percent).unionByName(blocked)
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,7 +219,8 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     members = write_stage(keys.join(buckets, "key").select("key", "node", "pivot", "n"), "buckets")
     first = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = write_stage(confirmed(write_stage(plausible(first, nodes, percent), "pairs"), docs, width, percent), "links")
+    pairs = write_stage(plausible(first, nodes, percent), "pairs")
+    links = write_stage(confirmed(pairs, texts_of_nodes(docs, ends_of(pairs)), width, percent), "links")
     # Rows that share an id but not a set: their classes are one document.
     several = usable.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high")
     same = usable.join(several, "doc_id", "left_semi").join(nodes.drop("symbols"), ["h1", "h2", "n_shingles"])
