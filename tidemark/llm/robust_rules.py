@@ -5,14 +5,13 @@ determinant estimate of centre and scatter is found by concentration steps over
 and absolute deviations, the share ``core`` of rows with the least distances gives the next mean and covariance. A row is
 rejected where its squared Mahalanobis distance exceeds the ``quantile`` of chi-squared. ``FLOORS`` are added to the
 scatter's diagonal, so that a statistic that is constant in a group (no symbols at all) does not make every deviation
-an outlier. The steps are aggregations; one row of parameters per group is all that is joined back (Spark
-broadcasts it only if it finds it small). No row is moved to one task for its group.
+an outlier. The steps are aggregations; one row of parameters per group is all that is joined back. It is broadcast up
+to ``BROADCAST_GROUPS`` groups, so that no row moves for its group; beyond, Spark joins by shuffling and splits large groups.
 
 Null texts have no words. Null languages and sources are groups like others; sources with fewer than ``least`` usable
 rows are pooled by language, small pools with each other; what is smaller still gives no verdict (kept unless a base
-rule fails). Repeated
-rows count each. Texts that fail a base rule do not shape the estimates. Columns of the input that are named like a
-result are replaced, all others but the text are carried. An empty table gives an empty result.
+rule fails). Repeated rows count each. Texts that fail a base rule do not shape the estimates. Columns of the input that
+are named like a result are replaced, all others but the text are carried. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ from tidemark.sources.stages import write_stage
 
 FEATURES = ("f_size", "f_word", "f_symbol", "f_line", "f_repeat")
 FLOORS = (0.05, 0.002, 0.002, 0.05, 0.03)  # variances
+BROADCAST_GROUPS = 20_000  # of about 300 bytes each
 PAIRS = tuple(combinations_with_replacement(range(len(FEATURES)), 2))
 
 
@@ -112,17 +112,21 @@ def inverted(moments: DataFrame, scale: float) -> DataFrame:
     )
 
 
+def sized(parameters: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(parameters) if small else parameters
+
+
 def moments(rows: DataFrame) -> DataFrame:
     means = [F.avg(name) for name in FEATURES]
     products = [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in PAIRS]
     return rows.groupBy("_group").agg(F.array(*means).alias("centre"), F.array(*products).alias("products"))
 
 
-def start(rows: DataFrame) -> DataFrame:
+def start(rows: DataFrame, small: bool) -> DataFrame:
     """Medians, and scatters that are diagonal with squared (scaled) median absolute deviations."""
     medians = rows.groupBy("_group").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in FEATURES]).alias("centre"))
     gaps = [F.abs(F.col(c) - F.col("centre")[i]) for i, c in enumerate(FEATURES)]
-    spread = rows.join(medians, "_group").groupBy("_group").agg(
+    spread = rows.join(sized(medians, small), "_group").groupBy("_group").agg(
         F.first("centre").alias("centre"), F.array(*[F.percentile_approx(g, 0.5, 1000) for g in gaps]).alias("mad")
     )
     # Products about zero whose covariance is the diagonal.
@@ -161,13 +165,14 @@ def quality_rules(
     named = write_stage(grouped(write_stage(counted, "quality_counts"), least).withColumns(features()), "quality_vectors")
     fit = named.filter(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", *FEATURES)
     factor = consistency(core, len(FEATURES))
-    estimate = write_stage(inverted(start(fit), 1.0), "quality_start")
+    small = named.select("_group").distinct().count() <= BROADCAST_GROUPS
+    estimate = write_stage(inverted(start(fit, small), 1.0), "quality_start")
     for step in range(steps):
-        measured = fit.join(estimate, "_group").withColumn("_d", distance(F.col("centre"), F.col("inverse")))
+        measured = fit.join(sized(estimate, small), "_group").withColumn("_d", distance(F.col("centre"), F.col("inverse")))
         border = measured.groupBy("_group").agg(F.percentile_approx("_d", core, 1000).alias("_border"))
-        central = measured.drop("centre", "inverse").join(border, "_group").filter(F.col("_d") <= F.col("_border"))
+        central = measured.drop("centre", "inverse").join(sized(border, small), "_group").filter(F.col("_d") <= F.col("_border"))
         estimate = write_stage(inverted(moments(central), factor), f"quality_step{step}")
-    judged = named.join(estimate, "_group", "left")
+    judged = named.join(sized(estimate, small), "_group", "left")
     squared = distance(F.col("centre"), F.col("inverse"))
     limit = chi2_quantile(quantile, len(FEATURES))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))
