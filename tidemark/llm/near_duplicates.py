@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shingles import minhash, shared, shingle_sets
+from tidemark.llm.stages import drop_stages
 from tidemark.llm.textarrays import U, mix, slices
 from tidemark.sources.stages import write_stage
 
@@ -150,8 +151,8 @@ def undecided(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFra
     return write_stage(both.join(nodes.select("node", "n_shingles", "symbols"), "node"), "undecided")
 
 
-def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) among undecided pairs.
+def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) among undecided pairs, and the table of texts they are read from.
 
     Few pairs of a part are listed; many are compared block by block inside tasks, and only links leave these.
     """
@@ -206,7 +207,7 @@ def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
         return pa.table({"u": out[:, 0], "v": out[:, 1]})
 
     blocked = full.groupBy("part", "bx", "by").applyInArrow(compare, "u long, v long")
-    return confirmed(listed, texts, width, percent).unionByName(blocked)
+    return confirmed(listed, texts, width, percent).unionByName(blocked), texts
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -220,7 +221,9 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     members = write_stage(keys.join(buckets, "key").select("key", "node", "pivot", "n"), "buckets")
     first = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     pairs = write_stage(plausible(first, nodes, percent), "pairs")
-    links = write_stage(confirmed(pairs, texts_of_nodes(docs, ends_of(pairs)), width, percent), "links")
+    texts = texts_of_nodes(docs, ends_of(pairs))
+    links = write_stage(confirmed(pairs, texts, width, percent), "links")
+    drop_stages(texts, pairs)
     # Rows that share an id but not a set: their classes are one document.
     several = usable.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high")
     same = usable.join(several, "doc_id", "left_semi").join(nodes.drop("symbols"), ["h1", "h2", "n_shingles"])
@@ -228,7 +231,9 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     found = components(links)
     groups = undecided(members, found, nodes)
     if groups.limit(1).count():
-        more = write_stage(undecided_links(docs, groups, width, percent), "links")
+        more, texts = undecided_links(docs, groups, width, percent)
+        more = write_stage(more, "links")
+        drop_stages(texts, groups)
         found = components(links.union(more))
     return signed, found, nodes
 

@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.stages import drop_stages
 from tidemark.llm.text_stats import keyed, per_text
 from tidemark.llm.textarrays import U, mix, odd_multipliers, run_hashes, slices, span_hashes, texts_of, word_spans
 from tidemark.sources.stages import write_stage
@@ -171,11 +172,18 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([opener.decompress(raw.as_py()) for raw in column], pa.binary()).cast(pa.string())
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are unpacked at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def segments(texts: DataFrame, window: int) -> DataFrame:
     """SEGMENT rows: neighbouring suffixes of a class under one prefix, with the hash of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             column = unpacked(batch.column(2))
             hits = batch.column(3)
             for low, high in slices(column):
@@ -265,9 +273,8 @@ def deep_nodes(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, MARK)
 
 
-def marked_windows(rows: DataFrame) -> DataFrame:
-    """(d1, d2, start, length): windows that start at start .. start + length - 1 occur elsewhere too."""
-    found = write_stage(deep_nodes(rows), "deep_nodes")
+def marked_windows(found: DataFrame) -> DataFrame:
+    """(d1, d2, start, length) from MARK rows: windows that start at start .. start + length - 1 occur elsewhere too."""
     told = found.filter("salted")
     joint = told.groupBy("key", "digest").agg(F.count("*").alias("n")).filter("n > 1")
     late = told.filter("length = 0").join(joint, ["key", "digest"], "left_semi")
@@ -284,7 +291,7 @@ def cut(texts: DataFrame, places: DataFrame, window: int) -> DataFrame:
     wide = texts.select("d1", "d2", "packed").join(spans, ["d1", "d2"], "left").select("d1", "d2", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             column = unpacked(batch.column(2))
             for low, high in slices(column):
                 w = Windows(column.slice(low, high - low), window)
@@ -323,7 +330,9 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFr
     texts = class_texts(docs).join(suspects(classes), ["d1", "d2"]).dropDuplicates(["d1", "d2"])
     texts = write_stage(texts, "suspect_texts")
     single = texts.join(classes.filter("copies = 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
-    changed = write_stage(cut(single, marked_windows(segments(texts, window)), window), "cut_texts")
+    nodes = write_stage(deep_nodes(segments(texts, window)), "deep_nodes")
+    changed = write_stage(cut(single, marked_windows(nodes), window), "cut_texts")
+    drop_stages(texts, nodes)
     several = classes.filter("copies > 1").select("d1", "d2", "copies")
     named = counted.drop("blocks", "counts").join(several, ["d1", "d2"], "left")
     return named, changed
