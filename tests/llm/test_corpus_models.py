@@ -113,6 +113,30 @@ def test_robust_rules_equal_brute_force(spark):
     assert [r.kept for r in table] == [bool(row[2] and d <= limit) for row, d in zip(rows, expected, strict=True)]
 
 
+def test_robust_rules_reject_junk_that_fills_a_third_of_a_group(spark, tmp_path):
+    rnd = np.random.default_rng(5)
+    words = [f"{'abcdefgh'[i % 8] * (3 + i % 4)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(600)]
+
+    def clean():
+        return " ".join(rnd.choice(words, int(rnd.integers(80, 500)), replace=False))
+
+    def symbols():
+        return " ".join("#$%{}<>"[: int(rnd.integers(3, 7))] + rnd.choice(words)[:4] for _ in range(int(rnd.integers(80, 400))))
+
+    one = " ".join(f"zx{i}{{}}#" for i in range(120))
+    rows = []
+    for source, junk in (("third", symbols), ("copies", lambda: one), ("clean", None)):
+        for i in range(300):
+            bad = junk is not None and i % 3 == 0
+            rows.append((len(rows), junk() if bad else clean(), "en", source, bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, bad boolean")
+    docs.drop("bad").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in robust_rules.op9_quality_rules(spark, str(tmp_path)).collect()}
+    assert not any(base for base, _ in kept.values())
+    assert [i for i, *_, bad in rows if bad and kept[i][1]] == []
+    assert [i for i, *_, bad in rows if not bad and not kept[i][1]] == []
+
+
 def test_robust_rules_edges(spark):
     rows = [(1, None, None, None), (2, "a " * 60, "en", None), (None, "# " * 60, None, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS kept", "2 AS n_words")

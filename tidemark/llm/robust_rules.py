@@ -2,9 +2,10 @@
 
 Each text gives a vector of transformed statistics (``FEATURES``). For every language and source the minimum covariance
 determinant estimate of centre and scatter is found by concentration steps over all rows: from coordinate-wise medians
-and absolute deviations, the share ``core`` of rows with the least distances gives the next mean and covariance. A row is
-rejected where its squared Mahalanobis distance exceeds the ``quantile`` of chi-squared. ``FLOORS`` are added to the
-scatter's diagonal, so that a statistic that is constant in a group (no symbols at all) does not make every deviation
+and absolute deviations, the share ``core`` of rows with the least distances gives the next mean and covariance, for
+``steps`` rounds or, without a number, until no group's border moves any more. Junk above the share 1 - ``core`` of a group
+enters the estimate and passes: the query takes half the rows, which holds against the most junk. A row is rejected where
+its squared Mahalanobis distance exceeds the ``quantile`` of chi-squared. ``FLOORS`` are added to the scatter's diagonal, so that a statistic that is constant in a group (no symbols at all) does not make every deviation
 an outlier. The steps are aggregations; one row of parameters per group is all that is joined back. It is broadcast up
 to ``BROADCAST_GROUPS`` groups, so that no row moves for its group; beyond, Spark joins by shuffling and splits large groups.
 
@@ -17,6 +18,7 @@ are named like a result are replaced, all others but the text are carried. An em
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
@@ -31,6 +33,11 @@ from tidemark.sources.stages import write_stage
 FEATURES = ("f_size", "f_word", "f_symbol", "f_line", "f_repeat")
 FLOORS = (0.05, 0.002, 0.002, 0.05, 0.03)  # variances
 BROADCAST_GROUPS = 20_000  # of about 300 bytes each
+HALF = 0.5  # core of the query
+RANKS = 10_000  # accuracy of borders: their rank is wrong by at most this part of a group
+SETTLED = 1e-3  # relative change of a border that counts as none; above what RANKS leaves open
+MOST_STEPS = 100  # a guard: about 5 to 20 are taken
+FEW_TASKS = 8
 PAIRS = tuple(combinations_with_replacement(range(len(FEATURES)), 2))
 
 
@@ -90,7 +97,7 @@ def distance(centre: Column, inverse: Column) -> Column:
 
 
 def inverted(moments: DataFrame, scale: float) -> DataFrame:
-    """(_group, centre, inverse) of rows (_group, n, centre, products), one per group."""
+    """(_group, centre, inverse, _border) of rows (_group, centre, products, _border), one per group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(FEATURES)
@@ -103,12 +110,12 @@ def inverted(moments: DataFrame, scale: float) -> DataFrame:
             inverse = np.linalg.inv(scatter + np.diag(FLOORS))
             flat = np.stack([inverse[:, i, j] * (1 if i == j else 2) for i, j in PAIRS], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_group"), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(flat.tolist(), pa.list_(pa.float64()))],
-                names=["_group", "centre", "inverse"],
+                [batch.column("_group"), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(flat.tolist(), pa.list_(pa.float64())), batch.column("_border")],
+                names=["_group", "centre", "inverse", "_border"],
             )
 
-    return moments.select("_group", "centre", "products").mapInArrow(
-        run, "_group string, centre array<double>, inverse array<double>"
+    return moments.select("_group", "centre", "products", "_border").mapInArrow(
+        run, "_group string, centre array<double>, inverse array<double>, _border double"
     )
 
 
@@ -116,10 +123,10 @@ def sized(parameters: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(parameters) if small else parameters
 
 
-def moments(rows: DataFrame) -> DataFrame:
+def moments(rows: DataFrame, border: Column) -> DataFrame:
     means = [F.avg(name) for name in FEATURES]
     products = [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in PAIRS]
-    return rows.groupBy("_group").agg(F.array(*means).alias("centre"), F.array(*products).alias("products"))
+    return rows.groupBy("_group").agg(F.array(*means).alias("centre"), F.array(*products).alias("products"), border.alias("_border"))
 
 
 def start(rows: DataFrame, small: bool) -> DataFrame:
@@ -134,7 +141,7 @@ def start(rows: DataFrame, small: bool) -> DataFrame:
         F.col("centre")[i] * F.col("centre")[j] + (F.pow(F.col("mad")[i] * 1.4826, 2) if i == j else F.lit(0.0))
         for i, j in PAIRS
     ]
-    return spread.select("_group", "centre", F.array(*products).alias("products"))
+    return spread.select("_group", "centre", F.array(*products).alias("products"), F.lit(None).cast("double").alias("_border"))
 
 
 def grouped(docs: DataFrame, least: int) -> DataFrame:
@@ -156,8 +163,18 @@ def grouped(docs: DataFrame, least: int) -> DataFrame:
     return docs.join(named, same, "left").drop("_l", "_s")
 
 
+def few(rows: DataFrame, small: bool) -> DataFrame:
+    """Rows of few groups, in few tasks: rounds are many and most shuffle partitions would be empty."""
+    return rows.coalesce(FEW_TASKS) if small else rows
+
+
+def settled(estimate: DataFrame, last: DataFrame) -> bool:
+    both = estimate.select("_group", "_border").join(last.select("_group", F.col("_border").alias("_last")), "_group")
+    return both.filter(F.abs(F.col("_border") - F.col("_last")) > SETTLED * F.col("_last")).isEmpty()
+
+
 def quality_rules(
-    docs: DataFrame, core: float = 0.75, quantile: float = 0.99999, steps: int = 3, least: int = 100
+    docs: DataFrame, core: float = 0.75, quantile: float = 0.99999, steps: int | None = 3, least: int = 100
 ) -> DataFrame:
     """The columns of ``docs`` but the text, and COUNTS, base_failed, distance2 (null without a verdict) and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -166,21 +183,26 @@ def quality_rules(
     fit = named.filter(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", *FEATURES)
     factor = consistency(core, len(FEATURES))
     small = named.select("_group").distinct().count() <= BROADCAST_GROUPS
-    estimate = write_stage(inverted(start(fit, small), 1.0), "quality_start")
-    for step in range(steps):
+    estimate = write_stage(inverted(few(start(fit, small), small), 1.0), "quality_start")
+    for step in range(MOST_STEPS if steps is None else steps):
         measured = fit.join(sized(estimate, small), "_group").withColumn("_d", distance(F.col("centre"), F.col("inverse")))
-        border = measured.groupBy("_group").agg(F.percentile_approx("_d", core, 1000).alias("_border"))
-        central = measured.drop("centre", "inverse").join(sized(border, small), "_group").filter(F.col("_d") <= F.col("_border"))
-        estimate = write_stage(inverted(moments(central), factor), f"quality_step{step}")
+        border = few(measured.groupBy("_group").agg(F.percentile_approx("_d", core, RANKS).alias("_border")), small)
+        central = measured.select("_group", "_d", *FEATURES).join(sized(border, small), "_group").filter(F.col("_d") <= F.col("_border"))
+        last, estimate = estimate, write_stage(inverted(few(moments(central, F.first("_border")), small), factor), f"quality_step{step}")
+        if steps is None and step and settled(estimate, last):
+            break
+    else:
+        if steps is None:
+            warnings.warn(f"borders still move after {MOST_STEPS} steps", stacklevel=2)
     judged = named.join(sized(estimate, small), "_group", "left")
     squared = distance(F.col("centre"), F.col("inverse"))
     limit = chi2_quantile(quantile, len(FEATURES))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))
     out = judged.withColumn("distance2", squared).withColumn("kept", verdict)
-    return out.drop("centre", "inverse", "_group", *FEATURES)
+    return out.drop("centre", "inverse", "_border", "_group", *FEATURES)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    ruled = quality_rules(docs)
+    ruled = quality_rules(docs, core=HALF, steps=None)
     return ruled.select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
