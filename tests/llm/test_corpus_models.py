@@ -174,6 +174,34 @@ def test_host_consensus_leads_pages_whose_own_best_differs(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_page_text_keeps_what_lies_around_inner_containers():
+    long = "some words of a part " * 20
+    parts = "".join(f"<section><h2>Part {i}</h2><p>{long}</p></section>" for i in range(4))
+    nested = Page(f"<body><article><h1>Title</h1><p>Lead.</p>{parts}</article></body>").text(None)
+    assert nested.split("\n") == ["Title", "Lead.", *[line for i in range(4) for line in (f"Part {i}", long.strip())]]
+    for tag in ("article", "div class=post"):
+        page = f"<body><{tag}><h1>Title</h1><div class=content><p>{long}</p></div></{tag.split()[0]}></body>"
+        assert Page(page).text(None).split("\n") == ["Title", long.strip()]
+    cells = "".join(f"<tr><td>{long}</td><td>{i}</td></tr>" for i in range(5))
+    table = Page(f"<body><article><p>Prose before.</p><table>{cells}</table><p>Prose after.</p></article></body>").text(None)
+    assert table.startswith("Prose before.") and table.endswith("Prose after.") and table.count("some words") == 100
+    links = "".join(f"<p><a href=x>link number {i}</a></p>" for i in range(9))
+    assert Page(f"<body><div class=list>{links}</div><div class=main><p>{long}</p></div></body>").text(None) == long.strip()
+
+
+def test_hosts_with_two_templates_and_a_page_with_a_short_section(spark):
+    long = "some words of a part " * 20
+    first = f"<body><article><p>Lead.</p><section><p>{long}</p></section><section><p>{long}</p></section></article></body>"
+    second = f"<body><div class=teaser><p>{long}</p></div><div class=post><p>{long * 3}</p></div></body>"
+    short = f"<body><article><p>{long}</p><section><p>Short.</p></section></article></body>"
+    rows = [(i, "https://h.example/p", first) for i in range(5)] + [(i, "https://h.example/p", second) for i in range(5, 8)]
+    pages = spark.createDataFrame([*rows, (8, "https://h.example/p", short)], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract_text(pages).collect()}
+    assert got[0] == ["Lead.", long.strip(), long.strip()]
+    assert got[5] == [(long * 3).strip()]
+    assert got[8] == [long.strip(), "Short."]
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     long = " ".join(f"u{i}" for i in range(60))

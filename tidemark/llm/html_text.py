@@ -2,16 +2,19 @@
 
 A page is read into blocks of text and containers (body, article, div and the like), each container with a generalised
 path of tags and classes (digits of class names dropped). Scoring: a block gives its length, less the part in links, to
-its container and half of that to the container above. Every page votes with its best paths; Spark adds the votes of a
-host up, and the path with the most wins there (the first alphabetically on a tie). Pages are then read again: the text
-is that of the containers with the host's winning path, or of the page's own best container where it has none.
+its container and half of that to the container above; sections (but those right under the body) and table cells are no
+containers of their own, their text is that of the container around. A path is then widened: to the article (or main)
+around it, and to parents that add nothing but text of their own, unless what is added is mostly links. Every page votes
+with its best paths; Spark adds the votes of a host up. The path with the most wins there (the first alphabetically on a
+tie), and so does every path that is the first choice of a quarter of the host's pages (templates differ). Pages are then
+read again: the text is that of the containers with a winning path, or of the page's own best path where it has none.
 
 Left out everywhere: navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, comments,
 and what is hidden. White space inside a block (``<br>`` included) becomes one space; blocks are joined by newlines.
 
 Null and empty pages give an empty text. Pages without a host (null url, no ``//``) do not vote and use their own best
 container. Repeated rows vote each. Other columns are carried; those named like a result are replaced. Votes are
-aggregated before the shuffle; the winners, one row per host, are written, so that Spark broadcasts them only if small.
+aggregated before the shuffle; the winners, one row of at most five paths per host, are written, so that Spark broadcasts them only if small.
 """
 
 from __future__ import annotations
@@ -52,6 +55,7 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 WHOLE = frozenset("html body article main".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOTES = 3  # paths a page votes for
+PAGES_PART = 4  # a path that is the first choice of one page in so many wins too
 
 
 class Page:
@@ -60,6 +64,7 @@ class Page:
     def __init__(self, source: str):
         self.paths: list[str] = [""]
         self.parents: list[int] = [0]
+        self._tags: dict[str, str] = {}  # of paths
         self.blocks: list[tuple[int, str, int]] = []
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, left out
         self._parts: list[str] = []
@@ -105,12 +110,13 @@ class Page:
         container, out = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
         values = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         out = out or self._left_out(tag, values)
-        if tag in CONTAINERS:
+        if tag in CONTAINERS and tag != "td" and (tag != "section" or self._tags.get(self.paths[container], "html") in ("html", "body")):
             first = values.get("class", "").lower().split()[:1]
             name = tag + "".join("." + re.sub(r"\d+", "", c) for c in first)
             self.paths.append(f"{self.paths[container]}>{name}")
             self.parents.append(container)
             container = len(self.paths) - 1
+            self._tags[self.paths[container]] = tag
         self._stack.append((tag, container, out))
 
     def _left_out(self, tag: str, values: dict[str, str]) -> bool:
@@ -150,19 +156,52 @@ class Page:
                     points[self.paths[number]] = points.get(self.paths[number], 0) + share * value
         return points
 
+    def _inside(self, paths: set[str]) -> list[bool]:
+        """Which containers have one of the paths or lie in such a container."""
+        inside = [p in paths for p in self.paths]
+        for number, parent in enumerate(self.parents):
+            inside[number] = inside[number] or (number > 0 and inside[parent])
+        return inside
+
+    def _adds(self, path: str, wider: str, foreign: bool) -> bool:
+        """Whether ``wider`` adds text that is not mostly links; without ``foreign``, only if no other container adds any."""
+        old, new = self._inside({path}), self._inside({wider})
+        more = [block for block in self.blocks if new[block[0]] and not old[block[0]]]
+        if not foreign and any(self.paths[container] != wider for container, _, _ in more):
+            return False
+        return sum(len(text) for _, text, _ in more) > 2 * sum(linked for _, _, linked in more)
+
+    def widened(self, path: str) -> str:
+        number, around = self.paths.index(path), []
+        while number:
+            number = self.parents[number]
+            around.append(self.paths[number])
+        for tag in ("article", "main"):
+            if self._tags.get(path) == tag or any(self._tags.get(p) == tag for p in around):
+                outer = [p for p in around if self._tags.get(p) == tag][-1:]
+                if outer and self._adds(path, outer[0], True):
+                    path = outer[0]
+                break
+        for wider in around[around.index(path) + 1 :] if path in around else around:
+            if self._adds(path, wider, False):
+                path = wider
+        return path
+
     def best_paths(self) -> list[tuple[str, int]]:
         ranked = sorted(self.scores().items(), key=lambda item: (-item[1], item[0]))
-        return [(path, value) for path, value in ranked[:VOTES] if value]
-
-    def text(self, winner: str | None) -> str:
-        for path in (winner, *[path for path, _ in self.best_paths()[:1]], ""):
-            if path is not None:
-                inside = [p == path for p in self.paths]
-                for number, parent in enumerate(self.parents):
-                    inside[number] = inside[number] or (number > 0 and inside[parent])
-                lines = [text for container, text, _ in self.blocks if inside[container]]
-                if lines:
-                    return "\n".join(lines)
+        wide: dict[str, int] = {}
+        for path, value in ranked[:VOTES]:
+            if value:
+                path = self.widened(path)
+                wide[path] = wide.get(path, 0) + value
+        return list(wide.items())
+
+    def text(self, *winners: str | None) -> str:
+        for paths in (lambda: set(winners), lambda: {path for path, _ in self.best_paths()[:1]}, lambda: {""}):
+            inside = self._inside(paths())
+            lines = [text for container, text, _ in self.blocks if inside[container]]
+            if lines:
+                return "\n".join(lines)
         return ""
 
 
@@ -172,7 +211,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(_host, _path): the container path that the pages of a host voted for."""
+    """(_host, _paths): the container paths that the pages of a host voted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,29 +219,33 @@ def host_paths(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best = Page(source).best_paths()
                 total = sum(value for _, value in best)
-                rows += [(host, path, 1000 * value // total) for path, value in best]
-            columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_host", "_path", "_votes"])
+                rows += [(host, path, 1000 * value // total, int(i == 0)) for i, (path, value) in enumerate(best)]
+            columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_host", "_path", "_votes", "_firsts"])
 
     cast = pages.select(host_of(F.col("url")).alias("_host"), "html").filter("_host IS NOT NULL AND html IS NOT NULL")
-    votes = cast.mapInArrow(run, "_host string, _path string, _votes long")
-    counted = votes.groupBy("_host", "_path").agg(F.sum("_votes").alias("_votes"))
-    return counted.groupBy("_host").agg(F.min_by("_path", F.struct(-F.col("_votes"), "_path")).alias("_path"))
+    votes = cast.mapInArrow(run, "_host string, _path string, _votes long, _firsts long")
+    sums = [F.sum(c).alias(c) for c in ("_votes", "_firsts")]
+    counted = write_stage(votes.groupBy("_host", "_path").agg(*sums), "host_votes")
+    most = F.min_by("_path", F.struct(-F.col("_votes"), "_path")).alias("_most")
+    leading = counted.groupBy("_host").agg(most, F.sum("_firsts").alias("_pages"))
+    won = (F.col("_path") == F.col("_most")) | (PAGES_PART * F.col("_firsts") >= F.col("_pages")) & (F.col("_firsts") > 0)
+    return counted.join(leading, "_host").filter(won).groupBy("_host").agg(F.collect_list("_path").alias("_paths"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """The columns of ``pages`` but html, and text and n_chars."""
     winners = write_stage(host_paths(pages), "host_paths")
-    kept = pages.drop("text", "n_chars", "_host", "_path").withColumn("_host", host_of(F.col("url")))
+    kept = pages.drop("text", "n_chars", "_host", "_paths").withColumn("_host", host_of(F.col("url")))
     led = kept.join(winners, "_host", "left").drop("_host")
-    carried = [c for c in led.columns if c not in ("html", "_path")]
-    ordered = led.select(*carried, "html", "_path")
+    carried = [c for c in led.columns if c not in ("html", "_paths")]
+    ordered = led.select(*carried, "html", "_paths")
     out = ordered.select(*carried, F.lit("").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources, paths = batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist()
-            texts = [Page(source or "").text(path) for source, path in zip(sources, paths, strict=True)]
+            texts = [Page(source or "").text(*(won or ())) for source, won in zip(sources, paths, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*carried, "text"])
 
     return ordered.mapInArrow(run, out.schema).withColumn("n_chars", F.length("text").cast("long"))
