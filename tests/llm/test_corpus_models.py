@@ -1,5 +1,7 @@
 """Language ID, quality classifier, robust rules, page text and the pipeline: held-out accuracy, brute force, edges."""
 
+import base64
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +239,26 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_pipeline_rejects_gibberish_and_unknown_scripts_and_keeps_clean_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = np.random.default_rng(3)
+    scripts = {"random": "abcdefghijklmnopqrstuvwxyz", "consonants": "bcdfghjklmnpqrstvwxz"}
+    scripts |= {"cyrillic": "".join(map(chr, range(0x430, 0x450))), "cjk": "".join(map(chr, range(0x4E00, 0x5500)))}
+    made = [
+        (f"{name}{i}", " ".join("".join(rnd.choice(list(letters), int(rnd.integers(3, 9)))) for _ in range(n)), None, None, n)
+        for name, letters in scripts.items()
+        for i, n in enumerate((25, 60, 200, 3000))
+    ]
+    made += [(f"base{i}", base64.b64encode(rnd.bytes(3 * n // 4)).decode(), None, None, n) for i, n in enumerate((200, 3000, 30000))]
+    made.append(("digits", "12 34", None, None, 5))
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(spark.createDataFrame(made, "doc_id string, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept & {row[0] for row in made} == set()
+    letters = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()} - {row[0] for row in made}
+    assert letters - kept == set()
+
+
 def test_pipeline_run_agrees_with_its_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     pieces = corpus_pipeline.run(spark, SF).collect()

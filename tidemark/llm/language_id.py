@@ -98,8 +98,13 @@ def letter_grams(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return owner_of, codes, grams, lettered
 
 
-def text_vectors(strings: list[str], groups: np.ndarray | None, n_groups: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of n-gram vectors per text (or per group of texts), and which texts have letters."""
+def text_vectors(
+    strings: list[str], groups: np.ndarray | None, n_groups: int, dimensions: int, distinct: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n-gram vectors per text (or per group of texts), and which texts have letters.
+
+    The numbers of distinct n-grams are added to ``distinct``.
+    """
     owner, codes, grams, lettered = letter_grams(strings)
     rows = n_groups if groups is not None else len(strings)
     total = np.zeros((rows, dimensions), np.float64 if groups is not None else np.float32)
@@ -115,6 +120,8 @@ def text_vectors(strings: list[str], groups: np.ndarray | None, n_groups: int, d
         counts = np.bincount(owner[part] * (high - low) + codes[part] - low, minlength=rows * (high - low))
         vectors = gram_table(values[low:high], grams[low:high], dimensions).astype(np.float32)
         total += counts.reshape(rows, high - low).astype(np.float32) @ vectors
+        if distinct is not None:
+            distinct += np.count_nonzero(counts.reshape(rows, high - low), axis=1)
     return total, lettered
 
 
@@ -146,25 +153,29 @@ def learn_profiles(docs: DataFrame, taught: Column, dimensions: int = DIMENSIONS
     return [row.lang for row in found], table / np.maximum(norms, 1e-9)
 
 
-def identify_languages(docs: DataFrame, profiles: Profiles, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def identify_languages(docs: DataFrame, profiles: Profiles, dimensions: int = DIMENSIONS, evidence: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score; with ``evidence`` also n_grams, the number of distinct n-grams."""
     names, table = profiles
-    wide = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    found = {"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)} | ({"n_grams": F.lit(0).cast("long")} if evidence else {})
+    wide, added = docs.drop(*found).withColumns(found), len(found)
     place = wide.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = np.full(len(batch.column(place)), -1)
             score = np.zeros(len(best))
+            grams = np.zeros(len(best), np.int64)
             column = batch.column(place).fill_null("")
             for low, high in slices(column):
-                vectors, lettered = text_vectors(column.slice(low, high - low).to_pylist(), None, 0, dimensions)
+                distinct = grams[low:high] if evidence else None
+                vectors, lettered = text_vectors(column.slice(low, high - low).to_pylist(), None, 0, dimensions, distinct)
                 if names:
                     cosines = vectors @ table.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                     best[low:high] = np.where(lettered, cosines.argmax(1), -1)
                     score[low:high] = np.where(lettered, np.clip(cosines.max(1), 0, 1), 0)
-            found = [names[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
-            columns = [*batch.columns[:-2], pa.array(found, pa.string()), pa.array(score.astype(float))]
+            told = [names[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
+            columns = [*batch.columns[:-added], pa.array(told, pa.string()), pa.array(score.astype(float))]
+            columns += [pa.array(grams)] if evidence else []
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return wide.mapInArrow(run, wide.schema)
