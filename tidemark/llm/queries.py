@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
 from tidemark.llm.contamination import OP2_SQL, op2_decontamination
+from tidemark.llm.hash_index import OP13_SQL, op13_exact_dedup
 from tidemark.llm.html_text import op6_html_extraction
 from tidemark.llm.language_id import op8_language_id
 from tidemark.llm.near_duplicates import op3_minhash_near_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op13_exact_dedup": op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_chat_format": OP10_SQL, "op13_exact_dedup": OP13_SQL}
