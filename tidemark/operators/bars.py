@@ -97,23 +97,22 @@ def _earliest(values: Sequence[str], tie_breakers: Sequence[str]) -> Column:
 TICK_TIES = ("seq", "trade_id")
 
 
-def ohlcv_bars(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
-    """Sparse bars: one row per venue, symbol and bucket that traded.
+def bar_aggregates() -> list[Column]:
+    """First and last price are aggregates, so ticks combine before the shuffle."""
+    return [
+        _earliest(["price"], TICK_TIES)["price"].alias("open_price"),
+        F.max("price").alias("high_price"),
+        F.min("price").alias("low_price"),
+        _latest(["price"], TICK_TIES)["price"].alias("close_price"),
+        F.count(F.lit(1)).alias("trade_count"),
+        F.sum("qty").alias("volume"),
+    ]
 
-    First and last price are aggregates, so ticks combine before the shuffle.
-    """
-    return (
-        ticks.withColumn("bucket", bucket_index(F.col("ts_event"), bucket_seconds))
-        .groupBy(*BUCKET_KEYS)
-        .agg(
-            _earliest(["price"], TICK_TIES)["price"].alias("open_price"),
-            F.max("price").alias("high_price"),
-            F.min("price").alias("low_price"),
-            _latest(["price"], TICK_TIES)["price"].alias("close_price"),
-            F.count(F.lit(1)).alias("trade_count"),
-            F.sum("qty").alias("volume"),
-        )
-    )
+
+def ohlcv_bars(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
+    """Sparse bars: one row per venue, symbol and bucket that traded."""
+    bucketed = ticks.withColumn("bucket", bucket_index(F.col("ts_event"), bucket_seconds))
+    return bucketed.groupBy(*BUCKET_KEYS).agg(*bar_aggregates())
 
 
 def bars_from_buckets(buckets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.operators.ordered import with_row_number, with_run_number
 CLUSTER_KEYS = ("exchange", "symbol_key", "direction", "is_ambiguous")
 
 
-def _keyed(candidates: DataFrame) -> DataFrame:
+def with_keys(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"exchange": F.lower("exchange"), "symbol_key": F.lower("symbol")})
 
 
@@ -98,24 +98,13 @@ def _as_events(dated: DataFrame, scope: str, bucket_seconds: float) -> DataFrame
     )
 
 
-def cluster_chained(
-    candidates: DataFrame,
-    horizon: int,
-    *,
-    bucket_seconds: float = 1,
-    scope: str = "range",
-    chunk_buckets: int = 86_400,
-) -> DataFrame:
-    """Merge candidates whose horizon intervals touch; keep the strongest move, the latest end.
-
-    ``scope`` restarts the group numbers never ("range") or each date ("date").
-    """
-    runs = _runs(_keyed(candidates), horizon, chunk_buckets)
+def chained_aggregates() -> list[Column]:
+    """What a chain of candidates becomes: the strongest move, the latest end, the values of the first start."""
     # Strongest move, the earliest of equals; ambiguous candidates have no move and never win.
     strength = F.when(
         F.col("move_pct").isNotNull(), F.struct(F.abs("move_pct"), -F.col("start_bucket"), -F.col("end_bucket"))
     )
-    clusters = runs.groupBy("run", *CLUSTER_KEYS).agg(
+    return [
         _first("symbol").alias("symbol"),
         F.min("start_bucket").alias("event_start_bucket"),
         F.max("end_bucket").alias("event_end_bucket"),
@@ -125,7 +114,32 @@ def cluster_chained(
         F.count(F.lit(1)).alias("raw_candidate_count"),
         F.min("start_bucket").alias("candidate_group_start_bucket"),
         F.max("start_bucket").alias("candidate_group_end_bucket"),
+    ]
+
+
+def number_clusters(clusters: DataFrame, *, bucket_seconds: float = 1, scope: str = "range") -> DataFrame:
+    """Events out of clusters that are not numbered yet: they count in time order per key."""
+    dated = _dated(clusters, bucket_seconds)
+    counted = with_row_number(
+        dated, keys=CLUSTER_KEYS, chunk=F.col("selected_date"), order=[F.col("event_start_bucket")], out="run"
     )
+    return _as_events(counted, scope, bucket_seconds)
+
+
+def cluster_chained(
+    candidates: DataFrame,
+    horizon: int,
+    *,
+    bucket_seconds: float = 1,
+    scope: str = "range",
+    chunk_buckets: int = 86_400,
+) -> DataFrame:
+    """Merge candidates whose horizon intervals touch; keep the strongest move, the latest end.
+
+    ``scope`` restarts the group numbers never ("range") or each date ("date").
+    """
+    runs = _runs(with_keys(candidates), horizon, chunk_buckets)
+    clusters = runs.groupBy("run", *CLUSTER_KEYS).agg(*chained_aggregates())
     return _as_events(_dated(clusters, bucket_seconds), scope, bucket_seconds)
 
 
@@ -198,7 +212,7 @@ def cluster_anchored(
     chunk_buckets: int = 4_096,
 ) -> DataFrame:
     """A cluster spans ``horizon`` from its first candidate and keeps that candidate's values."""
-    keyed = _keyed(candidates)
+    keyed = with_keys(candidates)
     # Anchors are more than one horizon apart: that of a start lies in its own horizon-wide block or
     # the one before.
     own_block = floor_div(F.col("anchor"), horizon + 1)
@@ -222,11 +236,7 @@ def cluster_anchored(
         F.min("start_bucket").alias("candidate_group_start_bucket"),
         F.max("start_bucket").alias("candidate_group_end_bucket"),
     )
-    dated = _dated(clusters, bucket_seconds)
-    counted = with_row_number(
-        dated, keys=CLUSTER_KEYS, chunk=F.col("selected_date"), order=[F.col("event_start_bucket")], out="run"
-    )
-    return _as_events(counted, scope, bucket_seconds)
+    return number_clusters(clusters, bucket_seconds=bucket_seconds, scope=scope)
 
 
 def event_order() -> list[Column]:

@@ -52,10 +52,27 @@ def lookahead_join(bars: DataFrame, horizon: int, base: DataFrame | None = None,
     return joined.drop("block")
 
 
+def levels(threshold_pct: float) -> tuple[Column, Column]:
+    """The prices that a rise and a fall must reach."""
+    base = F.col("base_price")
+    return base * F.lit(1.0 + threshold_pct / 100.0), base * F.lit(1.0 - threshold_pct / 100.0)
+
+
+def touch_aggregates(up: Column, down: Column) -> list[Column]:
+    """First touches out of the hits of a base bar; ``up`` and ``down`` say which way a hit reaches."""
+    up_at, down_at = F.when(up, F.col("touch_bucket")), F.when(down, F.col("touch_bucket"))
+    return [
+        F.first("base_price").alias("base_price"),
+        F.min(up_at).alias("up_bucket"),
+        F.min_by("high_price", up_at).alias("up_price"),
+        F.min(down_at).alias("down_bucket"),
+        F.min_by("low_price", down_at).alias("down_price"),
+    ]
+
+
 def first_touch(bars: DataFrame, threshold_pct: float, horizon: int, *, prefilter: bool = True) -> DataFrame:
     """Per base bar, the first later bar whose high, and whose low, reaches the threshold."""
-    up_level = F.col("base_price") * F.lit(1.0 + threshold_pct / 100.0)
-    down_level = F.col("base_price") * F.lit(1.0 - threshold_pct / 100.0)
+    up_level, down_level = levels(threshold_pct)
     base = bars
     if prefilter:
         reachable = (F.col("peak") >= up_level) | (F.col("trough") <= down_level)
@@ -68,14 +85,7 @@ def first_touch(bars: DataFrame, threshold_pct: float, horizon: int, *, prefilte
         )
     up, down = F.col("high_price") >= up_level, F.col("low_price") <= down_level
     hits = lookahead_join(bars, horizon, base=base, hit=up | down)
-    up_at, down_at = F.when(up, F.col("touch_bucket")), F.when(down, F.col("touch_bucket"))
-    return hits.groupBy("start_bucket", *ENTITY).agg(
-        F.first("base_price").alias("base_price"),
-        F.min(up_at).alias("up_bucket"),
-        F.min_by("high_price", up_at).alias("up_price"),
-        F.min(down_at).alias("down_bucket"),
-        F.min_by("low_price", down_at).alias("down_price"),
-    )
+    return hits.groupBy("start_bucket", *ENTITY).agg(*touch_aggregates(up, down))
 
 
 def resolve_direction(up_bucket: Column, down_bucket: Column) -> Column:
