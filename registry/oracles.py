@@ -151,6 +151,31 @@ catalog AS (
 )"""
 
 
+UNITS = [2.0**power for power in (18, -18, -54, -90, -126)]
+
+
+def digit_sums(x: str) -> list[str]:
+    """Sums of the five digits to the base 2^36 that a double is cut into: exact, whatever the order of the rows."""
+    whole = [f"round_even(({x}) * {1.0 / unit!r}::DOUBLE, 0)" for unit in UNITS]
+    digits = [whole[0], *[f"{low} - {high} * {2.0**36!r}::DOUBLE" for high, low in zip(whole, whole[1:])]]
+    return [f"sum(CAST({digit} AS BIGINT))" for digit in digits]
+
+
+def together(digits: list[str]) -> str:
+    return "(" + " + ".join(f"CAST({digit} AS DOUBLE) * {unit!r}::DOUBLE" for digit, unit in zip(digits, UNITS)) + ")"
+
+
+def exact_sum(x: str) -> str:
+    return together(digit_sums(x))
+
+
+def exact_avg(x: str) -> str:
+    n = f"nullif(count({x}), 0)"
+    sums = digit_sums(x)
+    parts = [f"CAST({s} % {n} AS DOUBLE) / CAST({n} AS DOUBLE)" for s in sums]
+    return f"({together([f'({s} // {n})' for s in sums])} + {together(parts)})"
+
+
 def buckets(seconds: float) -> str:
     return f"""
 tb AS (
@@ -169,7 +194,7 @@ qb AS (
   SELECT epoch_us(ts_event) // {us(seconds)} AS bucket, exchange, symbol, count(*) AS bbo_update_count,
          max(ts_event) AS last_bbo_update_ts,
          {", ".join(f"arg_max({c}, row(ts_event, seq)) AS last_{c}" for c in QUOTE_LAST)},
-         avg(spread_bps) AS avg_spread_bps, max(spread_bps) AS max_spread_bps, avg(book_imbalance) AS avg_book_imbalance
+         {exact_avg("spread_bps")} AS avg_spread_bps, max(spread_bps) AS max_spread_bps, {exact_avg("book_imbalance")} AS avg_book_imbalance
   FROM raw_quotes GROUP BY 1, 2, 3
 ),
 market AS MATERIALIZED (
@@ -374,16 +399,16 @@ def profiles(prefix: str) -> str:
          count(*) FILTER (is_bbo_forward_filled) AS seconds_forward_filled_bbo,
          sum(trade_count) AS trade_count_sum, avg(trade_count) AS trade_count_per_second_avg,
          max(trade_count) AS trade_count_per_second_max, sum(trade_volume) AS trade_volume_sum,
-         sum(trade_notional) AS trade_notional_sum, sum(buy_qty) AS buy_qty_sum, sum(sell_qty) AS sell_qty_sum,
-         sum(trade_imbalance_qty) AS trade_imbalance_qty_sum, avg(trade_imbalance_qty) AS trade_imbalance_qty_per_second,
+         sum(trade_notional) AS trade_notional_sum, {exact_sum("buy_qty")} AS buy_qty_sum, {exact_sum("sell_qty")} AS sell_qty_sum,
+         {exact_sum("trade_imbalance_qty")} AS trade_imbalance_qty_sum, {exact_avg("trade_imbalance_qty")} AS trade_imbalance_qty_per_second,
          arg_max_null(last_trade_price, second_before_event) AS first_last_trade_price,
          arg_min_null(last_trade_price, second_before_event) AS last_last_trade_price,
          min(last_trade_price) AS min_last_trade_price, max(last_trade_price) AS max_last_trade_price,
          arg_max_null(last_mid_price, second_before_event) AS first_last_mid_price,
          arg_min_null(last_mid_price, second_before_event) AS last_last_mid_price,
-         avg(avg_spread_bps) AS avg_spread_bps_mean, max(avg_spread_bps) AS avg_spread_bps_max,
+         {exact_avg("avg_spread_bps")} AS avg_spread_bps_mean, max(avg_spread_bps) AS avg_spread_bps_max,
          arg_min_null(last_spread_bps, second_before_event) AS last_spread_bps_last,
-         avg(avg_book_imbalance) AS avg_book_imbalance_mean,
+         {exact_avg("avg_book_imbalance")} AS avg_book_imbalance_mean,
          arg_min_null(last_book_imbalance, second_before_event) AS last_book_imbalance_last,
          max(bbo_quote_age_seconds) AS bbo_quote_age_seconds_max
   FROM {prefix}placed GROUP BY 1, 2, 3, 4, 5, 6, 7
@@ -409,7 +434,7 @@ def profiles(prefix: str) -> str:
 ),
 {prefix}pair AS MATERIALIZED (
   SELECT window_id, event_id, direction, symbol_key, window_mode, window_label, exchange_pair, exchange_a, exchange_b,
-         count(*) AS seconds_compared, avg(mid_diff_bps) AS avg_mid_diff_bps, max(abs(mid_diff_bps)) AS max_abs_mid_diff_bps,
+         count(*) AS seconds_compared, {exact_avg("mid_diff_bps")} AS avg_mid_diff_bps, max(abs(mid_diff_bps)) AS max_abs_mid_diff_bps,
          arg_min_null(mid_diff_bps, second_before_event) AS last_mid_diff_bps,
          abs(arg_min_null(mid_diff_bps, second_before_event)) AS last_abs_mid_diff_bps
   FROM {prefix}mids JOIN (VALUES {WINDOW_VALUES}) w(window_mode, window_label, lo, hi) ON second_before_event BETWEEN lo AND hi
@@ -608,7 +633,7 @@ own_long AS MATERIALIZED ({long_form("o_", "event_value")}),
 other_long AS MATERIALIZED ({long_form("c_", "normal_value")}),
 samples AS MATERIALIZED (
   SELECT e.event_id, e.direction AS event_direction, e.report_group, {GROUP_CASE.replace("metric_name", "e.metric_name")} AS metric_group,
-         e.metric_name, {", ".join(f"e.{d}" for d in DIMENSIONS)}, n.window_id AS sample_id, round(e.event_value, 10) AS event_value, round(n.normal_value, 10) AS normal_value,
+         e.metric_name, {", ".join(f"e.{d}" for d in DIMENSIONS)}, n.window_id AS sample_id, e.event_value, n.normal_value,
          e.from_value AS event_from_bucket_value, n.from_value AS normal_from_bucket_value,
          e.to_value AS event_to_bucket_value, n.to_value AS normal_to_bucket_value
   FROM own_long e JOIN other_long n ON n.event_id = e.event_id AND n.report_group = e.report_group AND n.metric_name = e.metric_name
@@ -632,22 +657,27 @@ def flags(normal: str) -> str:
 COMPARISON = f"""
 spread_of AS (
   SELECT event_id, event_direction, report_group, metric_group, metric_name, {", ".join(DIMENSIONS)}, event_value,
-         event_from_bucket_value, event_to_bucket_value, round(avg(normal_value), 10) AS normal_mean,
+         event_from_bucket_value, event_to_bucket_value, {exact_avg("normal_value")} AS normal_mean,
          quantile_disc(normal_value, 0.5) AS normal_median, min(normal_value) AS normal_min, max(normal_value) AS normal_max,
          quantile_disc(normal_value, 0.25) AS normal_p25, quantile_disc(normal_value, 0.75) AS normal_p75,
-         round(stddev_samp(normal_value), 10) AS normal_stddev, count(*) AS normal_sample_count, count(normal_value) AS normal_non_null_count,
+         list_sort(list(normal_value) FILTER (normal_value IS NOT NULL)) AS normal_values, count(*) AS normal_sample_count, count(normal_value) AS normal_non_null_count,
          count(*) FILTER (abs(normal_value) <= 1e-9) AS normal_zero_or_near_zero_count,
          count(*) FILTER (normal_value <= event_value) AS not_above,
-         avg(normal_from_bucket_value) AS normal_from_bucket_value, avg(normal_to_bucket_value) AS normal_to_bucket_value
+         {exact_avg("normal_from_bucket_value")} AS normal_from_bucket_value, {exact_avg("normal_to_bucket_value")} AS normal_to_bucket_value
   FROM samples GROUP BY ALL
 ),
+deviated AS (
+  SELECT *, CASE WHEN len(normal_values) > 1 THEN
+    sqrt(list_sum([(v - normal_mean) * (v - normal_mean) FOR v IN normal_values]) / (len(normal_values) - 1)) END AS normal_stddev
+  FROM spread_of
+),
 compared AS (
-  SELECT *, round(event_value - normal_mean, 10) AS signed_diff_vs_mean, round(abs(event_value - normal_mean), 10) AS absolute_diff_vs_mean,
+  SELECT *, event_value - normal_mean AS signed_diff_vs_mean, abs(event_value - normal_mean) AS absolute_diff_vs_mean,
          CASE WHEN normal_mean <> 0 THEN event_value / normal_mean END AS ratio_vs_mean,
          CASE WHEN normal_stddev <> 0 THEN (event_value - normal_mean) / normal_stddev END AS z_score_vs_normal,
          CASE WHEN event_value IS NOT NULL AND normal_non_null_count > 0 THEN not_above / normal_non_null_count::DOUBLE END
            AS normal_percentile_rank, {flags("normal_mean")}
-  FROM spread_of
+  FROM deviated
 ),
 comparison AS MATERIALIZED (SELECT * FROM compared)"""
 TIES = ("report_group", "metric_name", "exchange", "symbol_key", "exchange_pair", "window_mode", "window_label", "from_bucket", "to_bucket")
@@ -664,9 +694,9 @@ def top(order: str, rank_type: str | None, source: str = "comparison", n: int =
 
 TOPS = f"""
 tops AS MATERIALIZED (
-  {top("round(absolute_diff_vs_mean, 6) DESC NULLS LAST", "top_absolute_diff")} UNION ALL
-  {top("round(signed_diff_vs_mean, 6) DESC NULLS LAST", "top_signed_positive")} UNION ALL
-  {top("round(signed_diff_vs_mean, 6) ASC NULLS LAST", "top_signed_negative")}
+  {top("absolute_diff_vs_mean DESC NULLS LAST", "top_absolute_diff")} UNION ALL
+  {top("signed_diff_vs_mean DESC NULLS LAST", "top_signed_positive")} UNION ALL
+  {top("signed_diff_vs_mean ASC NULLS LAST", "top_signed_negative")}
 )"""
 FLAGGED = """
 SELECT *, ratio_unstable OR relative_change_unstable OR small_denominator_flag AS denominator_risk_flag,
@@ -794,12 +824,12 @@ quality AS MATERIALIZED (
 
 
 def select(chain: str, source: str, columns: dict[str, str]) -> str:
-    """``source`` with columns typed: i = bigint, d = double rounded to 6, g = double to six significant digits (scaled by a hair, so that
-    no exact half is left to the two ways of rounding it), s = text, b = boolean, t = timestamp."""
+    """``source`` with columns typed: i = bigint, d = double rounded to 6, g = double in all its bits (minus zero is zero), s = text,
+    b = boolean, t = timestamp."""
     shapes = {
         "i": 'CAST("{0}" AS BIGINT) AS "{0}"',
         "d": 'round(CAST("{0}" AS DOUBLE), 6) AS "{0}"',
-        "g": """printf('%.5e', CAST("{0}" AS DOUBLE) * 1.000000001 + 0.0) AS "{0}\"""",
+        "g": 'CAST("{0}" AS DOUBLE) + 0.0 AS "{0}"',
         "s": 'CAST("{0}" AS VARCHAR) AS "{0}"',
         "b": 'CAST("{0}" AS BOOLEAN) AS "{0}"',
         "t": 'CAST("{0}" AS TIMESTAMP) AS "{0}"',

@@ -15,6 +15,7 @@ from registry.oracles import balanced, buckets, clustered, day, flags, ntz, poli
 from registry.settings import FINE, HOURLY, LOOKBACK, RAW_LOOKBACK
 from registry.workspace import Workspace, workspace
 from tidemark.functions import measures, naming, taxonomy
+from tidemark.functions.exact import exact_sum
 from tidemark.functions.timeaxis import bucket_index, normalize_ts, window_dates
 from tidemark.operators import bars, clusters, compare, contracts, controls, coverage, moves, panel, profiles, quality
 from tidemark.operators import ranking, review, summaries, windows
@@ -56,7 +57,7 @@ def canonical(df: DataFrame, columns: Columns) -> DataFrame:
     shapes = {
         "i": lambda c: c.cast("long"),
         "d": lambda c: F.round(c.cast("double"), 6),
-        "g": lambda c: F.when(c.isNotNull(), F.format_string("%.5e", c.cast("double") * 1.000000001 + 0.0)),
+        "g": lambda c: c.cast("double") + F.lit(0.0),
         "s": lambda c: c.cast("string"),
         "b": lambda c: c.cast("boolean"),
         "t": lambda c: c.cast("timestamp_ntz"),
@@ -1277,7 +1278,7 @@ FLAGS = "ratio_unstable relative_change_unstable small_denominator_flag"
 
 @register(
     "event_normal_join",
-    kinds(s=f"event_id sample_id event_direction {PLACE}", d="event_value normal_value event_from_bucket_value normal_from_bucket_value"),
+    kinds(s=f"event_id sample_id event_direction {PLACE}", g="event_value normal_value event_from_bucket_value normal_from_bucket_value"),
     COMPARED,
     "samples",
 )
@@ -1292,7 +1293,7 @@ SINGLE = f"""(SELECT *, event_value - normal_value AS signed_diff, abs(event_val
 
 @register(
     "single_compare",
-    kinds(s=f"event_id sample_id {PLACE}", d="event_value normal_value signed_diff absolute_diff ratio", b=FLAGS),
+    kinds(s=f"event_id sample_id {PLACE}", g="event_value normal_value signed_diff absolute_diff ratio", b=FLAGS),
     COMPARED,
     SINGLE,
 )
@@ -1302,10 +1303,9 @@ def _(w):
 
 SPREAD = kinds(
     s=f"event_id event_direction symbol {PLACE}",
-    d="event_value normal_mean normal_median normal_min normal_max normal_p25 normal_p75 normal_stddev signed_diff_vs_mean "
+    g="event_value normal_mean normal_median normal_min normal_max normal_p25 normal_p75 normal_stddev signed_diff_vs_mean "
     "absolute_diff_vs_mean normal_percentile_rank event_from_bucket_value normal_from_bucket_value "
-    "event_to_bucket_value normal_to_bucket_value",
-    g="ratio_vs_mean z_score_vs_normal",
+    "event_to_bucket_value normal_to_bucket_value ratio_vs_mean z_score_vs_normal",
     i="normal_sample_count normal_non_null_count normal_zero_or_near_zero_count",
     b=FLAGS,
 )
@@ -1320,9 +1320,9 @@ def _(w):
     "compare_profiles",
     kinds(s="report_group event_id metric_name", i="row_count samples flagged ranked", g="event_total mean_total spread_total z_total"),
     COMPARED,
-    """(SELECT report_group, event_id, metric_name, count(*) AS row_count, sum(normal_non_null_count) AS samples,
-        count(*) FILTER (small_denominator_flag) AS flagged, count(normal_percentile_rank) AS ranked, sum(abs(event_value)) AS event_total,
-        sum(abs(normal_mean)) AS mean_total, sum(normal_stddev) AS spread_total, sum(abs(z_score_vs_normal)) AS z_total
+    f"""(SELECT report_group, event_id, metric_name, count(*) AS row_count, sum(normal_non_null_count) AS samples,
+        count(*) FILTER (small_denominator_flag) AS flagged, count(normal_percentile_rank) AS ranked, {oracles.exact_sum("abs(event_value)")} AS event_total,
+        {oracles.exact_sum("abs(normal_mean)")} AS mean_total, {oracles.exact_sum("normal_stddev")} AS spread_total, {oracles.exact_sum("abs(z_score_vs_normal)")} AS z_total
         FROM compared GROUP BY 1, 2, 3)""",
 )
 def _(w):
@@ -1332,16 +1332,16 @@ def _(w):
         F.sum("normal_non_null_count").alias("samples"),
         F.count_if("small_denominator_flag").alias("flagged"),
         F.count("normal_percentile_rank").alias("ranked"),
-        F.sum(F.abs("event_value")).alias("event_total"),
-        F.sum(F.abs("normal_mean")).alias("mean_total"),
-        F.sum("normal_stddev").alias("spread_total"),
-        F.sum(F.abs("z_score_vs_normal")).alias("z_total"),
+        exact_sum(F.abs("event_value")).alias("event_total"),
+        exact_sum(F.abs("normal_mean")).alias("mean_total"),
+        exact_sum("normal_stddev").alias("spread_total"),
+        exact_sum(F.abs("z_score_vs_normal")).alias("z_total"),
     )
 
 
 @register(
     "compare_math",
-    kinds(s=f"event_id {PLACE}", d="signed_diff_vs_mean absolute_diff_vs_mean normal_percentile_rank", g="ratio_vs_mean z_score_vs_normal"),
+    kinds(s=f"event_id {PLACE}", g="signed_diff_vs_mean absolute_diff_vs_mean normal_percentile_rank ratio_vs_mean z_score_vs_normal"),
     COMPARED,
     "comparison",
 )
@@ -1443,7 +1443,7 @@ def _(w):
 TRUSTED = "(SELECT * FROM comparison WHERE NOT small_denominator_flag)"
 
 
-@register("top_by_abs_z", RANKED, TOPPED, f"({oracles.top('round(abs(z_score_vs_normal), 6) DESC NULLS LAST', None, TRUSTED)})")
+@register("top_by_abs_z", RANKED, TOPPED, f"({oracles.top('abs(z_score_vs_normal) DESC NULLS LAST', None, TRUSTED)})")
 def _(w):
     return ranking.top_by_abs_z(w.comparison, FINE.top_n)
 
@@ -1455,7 +1455,7 @@ EXTREME = "greatest(normal_percentile_rank, 1.0 - normal_percentile_rank)"
     "top_by_extreme",
     {**RANKED, **kinds(d="percentile_extremity")},
     TOPPED,
-    f"(SELECT *, {EXTREME} AS percentile_extremity FROM ({oracles.top(f'round({EXTREME}, 6) DESC NULLS LAST', None, TRUSTED)}))",
+    f"(SELECT *, {EXTREME} AS percentile_extremity FROM ({oracles.top(f'{EXTREME} DESC NULLS LAST', None, TRUSTED)}))",
 )
 def _(w):
     return ranking.top_by_extreme(w.comparison, FINE.top_n)
@@ -1477,8 +1477,8 @@ TOP_SIZES = f"""SELECT 'top_diffs' AS table_name, count(*) AS row_count FROM top
         UNION ALL SELECT 'status_counts', count(DISTINCT direction) + 1 FROM chosen
         UNION ALL SELECT 'selection_quality', count(DISTINCT event_id) FROM kept_controls
         UNION ALL SELECT 'metric_group_summary', count(DISTINCT row(event_id, report_group, metric_group)) FROM comparison
-        UNION ALL SELECT 'top_by_abs_z', count(*) FROM ({oracles.top('round(abs(z_score_vs_normal), 6) DESC NULLS LAST', None, TRUSTED)})
-        UNION ALL SELECT 'top_by_extreme', count(*) FROM ({oracles.top(f'round({EXTREME}, 6) DESC NULLS LAST', None, TRUSTED)})"""
+        UNION ALL SELECT 'top_by_abs_z', count(*) FROM ({oracles.top('abs(z_score_vs_normal) DESC NULLS LAST', None, TRUSTED)})
+        UNION ALL SELECT 'top_by_extreme', count(*) FROM ({oracles.top(f'{EXTREME} DESC NULLS LAST', None, TRUSTED)})"""
 
 
 @register("finalize", kinds(s="table_name", i="row_count"), TOPPED, f"({TOP_SIZES})")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import measures
+from tidemark.functions.exact import exact_avg, exact_sum
 from tidemark.functions.timeaxis import bucket_index, normalize_ts
 from tidemark.sources.scans import require_columns
 
@@ -105,7 +106,7 @@ def bar_aggregates() -> list[Column]:
         F.min("price").alias("low_price"),
         _latest(["price"], TICK_TIES)["price"].alias("close_price"),
         F.count(F.lit(1)).alias("trade_count"),
-        F.sum("qty").alias("volume"),
+        exact_sum("qty").alias("volume"),
     ]
 
 
@@ -128,6 +129,7 @@ def bars_from_buckets(buckets: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values, here and below: the column names of the bucket contract.
 TRADE_SUMS = (
     "trade_count",
     "trade_volume",
@@ -155,14 +157,14 @@ def tick_buckets(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
 
     def total(column: str, when: Column) -> Column:
-        return F.sum(F.when(when, F.col(column)).otherwise(F.lit(0.0)))
+        return exact_sum(F.when(when, F.col(column)).otherwise(F.lit(0.0)))
 
     return (
         priced.groupBy(*BUCKET_KEYS)
         .agg(
             F.count(F.lit(1)).alias("trade_count"),
-            F.sum("qty").alias("trade_volume"),
-            F.sum("notional").alias("trade_notional"),
+            exact_sum("qty").alias("trade_volume"),
+            exact_sum("notional").alias("trade_notional"),
             F.count_if(buy).alias("buy_trade_count"),
             F.count_if(sell).alias("sell_trade_count"),
             total("qty", buy).alias("buy_qty"),
@@ -199,9 +201,9 @@ def quote_buckets(quotes: DataFrame, bucket_seconds: float = 1) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("bbo_update_count"),
             _latest(["ts_event", *QUOTE_LAST], ["seq", "ts_recv"]).alias("_last"),
-            F.avg("spread_bps").alias("avg_spread_bps"),
+            exact_avg("spread_bps").alias("avg_spread_bps"),
             F.max("spread_bps").alias("max_spread_bps"),
-            F.avg("book_imbalance").alias("avg_book_imbalance"),
+            exact_avg("book_imbalance").alias("avg_book_imbalance"),
         )
         .select(
             *BUCKET_KEYS,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import measures
+from tidemark.functions.exact import exact_avg, sorted_deviation
 from tidemark.functions.taxonomy import (
     CHANGE_FIELDS,
     ENTITY_METRICS,
@@ -98,8 +99,8 @@ def event_normal_join(event_profile: DataFrame, control_profile: DataFrame, repo
         *[
             F.struct(
                 name_of(metric).alias("metric_name"),
-                quantised(F.col(f"_own.{metric}")).alias("event_value"),
-                quantised(F.col(f"_other.{metric}")).alias("normal_value"),
+                F.col(f"_own.{metric}").alias("event_value"),
+                F.col(f"_other.{metric}").alias("normal_value"),
             )
             for metric in report.metrics
         ]
@@ -126,10 +127,6 @@ def event_normal_join(event_profile: DataFrame, control_profile: DataFrame, repo
     return unfolded.withColumns(labels).drop(report.metric_prefix or "")
 
 
-def quantised(value: Column) -> Column:
-    return F.round(value.cast("double"), VALUE_DIGITS)
-
-
 def denominator_flags(metric: Column, normal: Column, event_from: Column, normal_from: Column) -> dict[str, Column]:
     ratio_unstable = measures.weak(normal)
     relative_unstable = metric.endswith(RELATIVE_SUFFIX) & (measures.weak(event_from) | measures.weak(normal_from))
@@ -140,8 +137,6 @@ def denominator_flags(metric: Column, normal: Column, event_from: Column, normal
     }
 
 
-# Digits after the point of compared values; a weak denominator is larger by one digit.
-VALUE_DIGITS = 10
 IDENTITY = ("event_id", "event_direction", "report_group", "metric_group", "metric_name", *DIMENSIONS)
 FROM_TO = ("event_from_bucket_value", "normal_from_bucket_value", "event_to_bucket_value", "normal_to_bucket_value")
 
@@ -171,8 +166,8 @@ def distribution_compare(
 ) -> DataFrame:
     """Each event metric against the distribution over the event's controls.
 
-    Values, means and deviations are quantised to ``VALUE_DIGITS``: what sums of another order leave in the last digits
-    decides neither signs, ranks nor denominators, and two runs give the same rows.
+    Means are exact sums and deviations are summed in ascending order over the controls of one event, so the order of
+    rows decides neither signs, ranks nor denominators, and two runs give the same bits.
 
     Quartiles are order statistics (``percentile_approx``, exact for a handful of controls);
     ``exact=True`` interpolates instead.
@@ -183,28 +178,29 @@ def distribution_compare(
     quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     percentiles = F.percentile(normal, quartiles) if exact else F.percentile_approx(normal, [0.25, 0.5, 0.75])
     grouped = samples.groupBy(*grouping).agg(
-        quantised(F.avg(normal)).alias("normal_mean"),
+        exact_avg(normal).alias("normal_mean"),
         percentiles.alias("_quartiles"),
         F.min(normal).alias("normal_min"),
         F.max(normal).alias("normal_max"),
-        quantised(F.stddev_samp(normal)).alias("normal_stddev"),
+        F.collect_list(normal).alias("_values"),
         F.count(F.lit(1)).alias("normal_sample_count"),
         F.count(normal).alias("normal_non_null_count"),
         F.count_if(F.abs(normal) <= measures.WEAK_DENOMINATOR).alias("normal_zero_or_near_zero_count"),
         F.count_if(normal <= event).alias("_not_above"),
-        F.avg("normal_from_bucket_value").alias("normal_from_bucket_value"),
-        F.avg("normal_to_bucket_value").alias("normal_to_bucket_value"),
+        exact_avg("normal_from_bucket_value").alias("normal_from_bucket_value"),
+        exact_avg("normal_to_bucket_value").alias("normal_to_bucket_value"),
     )
     mean = F.col("normal_mean")
     flags = denominator_flags(
         F.col("metric_name"), mean, F.col("event_from_bucket_value"), F.col("normal_from_bucket_value")
     )
+    deviated = grouped.withColumn("normal_stddev", sorted_deviation(F.col("_values"), mean))
     measured = {
         "normal_p25": F.col("_quartiles")[0],
         "normal_median": F.col("_quartiles")[1],
         "normal_p75": F.col("_quartiles")[2],
-        "signed_diff_vs_mean": quantised(event - mean),
-        "absolute_diff_vs_mean": quantised(F.abs(event - mean)),
+        "signed_diff_vs_mean": event - mean,
+        "absolute_diff_vs_mean": F.abs(event - mean),
         "ratio_vs_mean": measures.ratio(event, mean),
         "z_score_vs_normal": measures.z_score(event, mean, F.col("normal_stddev")),
         "normal_percentile_rank": F.when(
@@ -213,7 +209,7 @@ def distribution_compare(
         ),
         **flags,
     }
-    return grouped.withColumns(measured).select(
+    return deviated.withColumns(measured).select(
         *IDENTITY,
         "event_value",
         "normal_mean",

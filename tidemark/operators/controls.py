@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import naming
+from tidemark.functions.exact import exact_sum
 from tidemark.functions.timeaxis import bucket_date, bucket_start, floor_div
 from tidemark.operators.ordered import with_nearest_known
 from tidemark.operators.profiles import ProfileWindow
@@ -16,6 +17,11 @@ from tidemark.operators.profiles import ProfileWindow
 ACTIVITY = ("trade_count", "trade_volume", "trade_notional")
 
 
+def _total(name: str, values: Column) -> Column:
+    """Counts are whole numbers; quantities and notionals are doubles, whose sum must not depend on their order."""
+    return F.sum(values) if name == "trade_count" else exact_sum(values)
+
+
 def common_range(bars: DataFrame) -> DataFrame:
     """One row: the bucket range in which every venue has bars."""
     per_venue = bars.groupBy("exchange").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
@@ -146,7 +152,7 @@ def anchor_activity(
         .withColumn("_slot", floor_div(F.col("bucket") - F.col("_first"), grain))
         .groupBy("_slot", "span", "exchange", "symbol", "_first", "_last")
         .agg(
-            *[F.sum(name).alias(name) for name in ACTIVITY],
+            *[_total(name, F.col(name)).alias(name) for name in ACTIVITY],
             F.sum("bbo_update_count").alias("quote_count"),
         )
     )
@@ -161,7 +167,7 @@ def anchor_activity(
         .withColumn("anchor_bucket", F.col("_first") + F.col("_index") * F.lit(step))
         .groupBy("anchor_bucket", "span", "exchange", "symbol")
         .agg(
-            *[F.coalesce(F.sum(name), F.lit(0)).alias(f"{name}_sum") for name in ACTIVITY],
+            *[F.coalesce(_total(name, F.col(name)), F.lit(0)).alias(f"{name}_sum") for name in ACTIVITY],
             F.sum("quote_count").alias("quote_count_sum"),
         )
     )
@@ -172,7 +178,7 @@ def activity_sums(activity: DataFrame) -> DataFrame:
     return (
         activity.filter(F.col("trade_count_sum") > 0)
         .groupBy("span", "anchor_bucket", "exchange")
-        .agg(*[F.sum(f"{name}_sum").alias(f"{name}_sum") for name in ACTIVITY])
+        .agg(*[_total(name, F.col(f"{name}_sum")).alias(f"{name}_sum") for name in ACTIVITY])
     )
 
 
@@ -224,7 +230,7 @@ def event_activity(entity_profile: DataFrame, window_label: str) -> DataFrame:
     return (
         entity_profile.filter(F.col("window_label") == window_label)
         .groupBy("event_id", F.lower("exchange").alias("exchange"))
-        .agg(*[F.sum(f"{name}_sum").alias(f"{name}_sum") for name in ACTIVITY])
+        .agg(*[_total(name, F.col(f"{name}_sum")).alias(f"{name}_sum") for name in ACTIVITY])
     )
 
 
@@ -233,7 +239,7 @@ def window_activity(sparse: DataFrame, window: ProfileWindow) -> DataFrame:
     offset = F.col("window_end_bucket") - F.col("bucket")
     inside = offset.between(window.first, window.last)
     return sparse.groupBy("event_id", F.lower("exchange").alias("exchange")).agg(
-        *[F.coalesce(F.sum(F.when(inside, F.col(name))), F.lit(0)).alias(f"{name}_sum") for name in ACTIVITY]
+        *[F.coalesce(_total(name, F.when(inside, F.col(name))), F.lit(0)).alias(f"{name}_sum") for name in ACTIVITY]
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import measures
+from tidemark.functions.exact import exact_avg, exact_sum
 from tidemark.functions.taxonomy import CHANGE_METRICS
 
 
@@ -82,22 +83,22 @@ def entity_profile(panel: DataFrame, windows: Sequence[ProfileWindow] = PROFILE_
             F.sum("trade_count").alias("trade_count_sum"),
             F.avg("trade_count").alias("trade_count_per_second_avg"),
             F.max("trade_count").alias("trade_count_per_second_max"),
-            F.sum("trade_volume").alias("trade_volume_sum"),
-            F.sum("trade_notional").alias("trade_notional_sum"),
-            F.sum("buy_qty").alias("buy_qty_sum"),
-            F.sum("sell_qty").alias("sell_qty_sum"),
-            F.sum("trade_imbalance_qty").alias("trade_imbalance_qty_sum"),
-            F.avg("trade_imbalance_qty").alias("trade_imbalance_qty_per_second"),
+            exact_sum("trade_volume").alias("trade_volume_sum"),
+            exact_sum("trade_notional").alias("trade_notional_sum"),
+            exact_sum("buy_qty").alias("buy_qty_sum"),
+            exact_sum("sell_qty").alias("sell_qty_sum"),
+            exact_sum("trade_imbalance_qty").alias("trade_imbalance_qty_sum"),
+            exact_avg("trade_imbalance_qty").alias("trade_imbalance_qty_per_second"),
             F.max_by("last_trade_price", offset).alias("first_last_trade_price"),
             F.min_by("last_trade_price", offset).alias("last_last_trade_price"),
             F.min("last_trade_price").alias("min_last_trade_price"),
             F.max("last_trade_price").alias("max_last_trade_price"),
             F.max_by("last_mid_price", offset).alias("first_last_mid_price"),
             F.min_by("last_mid_price", offset).alias("last_last_mid_price"),
-            F.avg("avg_spread_bps").alias("avg_spread_bps_mean"),
+            exact_avg("avg_spread_bps").alias("avg_spread_bps_mean"),
             F.max("avg_spread_bps").alias("avg_spread_bps_max"),
             F.min_by("last_spread_bps", offset).alias("last_spread_bps_last"),
-            F.avg("avg_book_imbalance").alias("avg_book_imbalance_mean"),
+            exact_avg("avg_book_imbalance").alias("avg_book_imbalance_mean"),
             F.min_by("last_book_imbalance", offset).alias("last_book_imbalance_last"),
             F.max("bbo_quote_age_seconds").alias("bbo_quote_age_seconds_max"),
         )
@@ -162,7 +163,7 @@ def pair_profile(
         .groupBy(*OWNER, *keys)
         .agg(
             F.count(F.lit(1)).alias("seconds_compared"),
-            F.avg("mid_diff_bps").alias("avg_mid_diff_bps"),
+            exact_avg("mid_diff_bps").alias("avg_mid_diff_bps"),
             F.max(F.abs("mid_diff_bps")).alias("max_abs_mid_diff_bps"),
             F.min_by("mid_diff_bps", offset).alias("last_mid_diff_bps"),
         )
