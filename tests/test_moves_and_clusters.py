@@ -187,6 +187,35 @@ def test_balanced_selection_fills_up_from_the_rest(spark):
     assert C.balance_note(events, C.balanced_select(events, 2)).first()[0] == "balanced"
 
 
+@pytest.mark.parametrize("fan", [2, 3, 128])
+def test_anchored_clusters_do_not_depend_on_how_chunks_are_composed(spark, fan):
+    rng = random.Random(fan)
+    offsets = sorted({*rng.sample(range(2000), 500), *range(700, 760), *range(1500, 1800, 11)})
+    expected = [start for start, _ in walk(offsets, 10, True)]
+    found = C.cluster_anchored(starts_of(spark, offsets), 10, chunk_buckets=11, fan=fan)
+    assert [r[0] for r in values(found, "event_start_bucket")] == expected
+
+
+def test_one_run_of_a_hundred_thousand_chunks(spark):
+    """Entries of all chunks are found level by level; the run is never gathered."""
+    step, n = 4, 150_000
+    rows = spark.range(n).select(
+        *[F.lit(v).alias(name) for name, v in (("exchange", "a"), ("symbol", "S"), ("direction", "UP"))],
+        (F.col("id") * step + F.col("id") % 3).alias("start_bucket"),
+        (F.col("id") * step + 5).alias("end_bucket"),
+        *[F.lit(100.0).alias(name) for name in ("base_price", "touch_price", "move_pct")],
+        F.lit(False).alias("is_ambiguous"),
+    )
+    anchors = C._anchors(C.with_keys(rows), 5, 6, C.FAN)
+    expected, last = [], None
+    for start in (i * step + i % 3 for i in range(n)):
+        if last is None or start > last + 5:
+            expected.append(start)
+            last = start
+    assert expected[-1] // 6 > 99_000
+    assert sorted(r.anchor for r in anchors.select("anchor").collect()) == expected
+
+
 def test_anchored_clusters_of_one_long_key(spark):
     """A key with many runs, one of them longer than several chunks, against a plain walk."""
     offsets, at_ = [], 0

@@ -154,53 +154,91 @@ def _walk(starts: Column, first: Column, horizon: int) -> Column:
     )
 
 
-def _anchors(candidates: DataFrame, horizon: int, chunk_buckets: int) -> DataFrame:
+# Nodes of a block when transitions are composed; the number of levels is its logarithm of the number of chunks.
+FAN = 128
+BEFORE_ALL = -(2**62)
+
+
+def _doors(starts: Column, reach: Column) -> Column:
+    """The starts at which a chunk or block can be entered: those within reach of what lies before, and one more."""
+    return F.slice(starts, F.lit(1), F.size(F.filter(starts, lambda start: start <= reach)) + 1)
+
+
+def _door(ends: Column, last: Column, horizon: int) -> Column:
+    """Where a walk whose last cluster starts at ``last`` enters; null if nothing is left outside that cluster."""
+    return F.get(F.filter(ends, lambda end: end["entry"] > last + horizon), F.lit(0))
+
+
+def _pass_through(nodes: Column, entry: Column, horizon: int) -> Column:
+    """The last cluster start of a walk that enters the nodes at ``entry``."""
+    return F.aggregate(
+        nodes,
+        entry - (horizon + 1),
+        lambda last, node: F.coalesce(_door(node["ends"], last, horizon)["last"], last),
+    )
+
+
+def _entered(nodes: Column, last: Column, horizon: int) -> Column:
+    """(node, entry) of the nodes that a walk coming from ``last`` enters."""
+    nothing = F.struct(last.alias("last"), F.array().cast("array<struct<node:bigint,entry:bigint>>").alias("entered"))
+
+    def enter(state: Column, node: Column) -> Column:
+        door = _door(node["ends"], state["last"], horizon)
+        seen = F.array(F.struct(node["node"].alias("node"), door["entry"].alias("entry")))
+        after = F.struct(door["last"].alias("last"), F.concat(state["entered"], seen).alias("entered"))
+        return F.when(door.isNotNull(), after).otherwise(state)
+
+    return F.aggregate(nodes, nothing, enter)["entered"]
+
+
+def _anchors(candidates: DataFrame, horizon: int, chunk_buckets: int, fan: int) -> DataFrame:
     """The starts that open a cluster, per key.
 
-    No cluster crosses a gap wider than the horizon, so the runs between such gaps are walked apart from
-    each other. Inside a run, where a cluster starts depends on the one before. To keep that from being
-    one long walk, the axis is cut into chunks wider than the horizon. The last cluster before a
-    chunk reaches at most ``horizon`` into it, so a chunk can be entered at few starts only. Each
-    chunk walks from all of them at once; what is left to do in sequence per run is one look-up per chunk.
+    Where a cluster starts depends on the one before. To keep that from being one long walk, the axis is cut into
+    chunks wider than the horizon. The last cluster before a chunk reaches at most ``horizon`` into it, so a chunk can
+    be entered at few starts only, and each chunk walks from all of them at once: a transition map. Maps of ``fan``
+    neighbours compose into the map of a block, blocks into blocks of blocks, until one is left per key; then the entries
+    are handed down again level by level. No row holds more than ``fan`` maps, however long the axis is.
     """
     width = max(chunk_buckets, horizon + 1)
-    walked = ("run", *CLUSTER_KEYS)
-    chunked = (
-        _runs(candidates, horizon, width)
-        .groupBy(floor_div(F.col("start_bucket"), width).alias("chunk"), *walked)
-        .agg(F.array_sort(F.collect_set("start_bucket")).alias("starts"))
-        .withColumn("_reach", F.col("chunk") * F.lit(width) + F.lit(horizon))
-    )
-    within_reach = F.size(F.filter("starts", lambda start: start <= F.col("_reach")))
-    entries = F.slice("starts", F.lit(1), within_reach + 1)
-    paths = chunked.select(
-        "chunk",
-        *walked,
-        F.transform(entries, lambda entry: _walk(F.col("starts"), entry, horizon)).alias("paths"),
-    )
-    ends = F.transform(
-        "paths", lambda path: F.struct(F.element_at(path, 1).alias("entry"), F.element_at(path, -1).alias("last"))
-    )
-    nothing = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("entries"))
+    low, high = candidates.agg(F.min("start_bucket"), F.max("start_bucket")).first()
+    if low is None:
+        return candidates.select(*CLUSTER_KEYS, F.col("start_bucket").alias("anchor"))
+    first, highest = low // width, high // width - low // width
 
-    def enter(state: Column, chunk: Column) -> Column:
-        last = state["last"]
-        door = F.get(F.filter(chunk["ends"], lambda end: last.isNull() | (end["entry"] > last + horizon)), F.lit(0))
-        entered = F.struct(
-            door["last"].alias("last"), F.concat(state["entries"], F.array(door["entry"])).alias("entries")
-        )
-        return F.when(door.isNotNull(), entered).otherwise(state)
+    def reach(node: Column, size: int) -> Column:
+        return (node * F.lit(size).cast("long") + F.lit(first)) * F.lit(width).cast("long") + F.lit(horizon)
 
-    entered = (
-        paths.groupBy(*walked)
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", ends.alias("ends")))).alias("chunks"))
-        .select(*walked, F.explode(F.aggregate("chunks", nothing, enter)["entries"]).alias("entry"))
-        .withColumn("chunk", floor_div(F.col("entry"), width))
+    starts = candidates.groupBy((floor_div(F.col("start_bucket"), width) - F.lit(first)).alias("node"), *CLUSTER_KEYS).agg(
+        F.array_sort(F.collect_set("start_bucket")).alias("starts")
     )
+    walks = F.transform(_doors(F.col("starts"), reach(F.col("node"), 1)), lambda entry: _walk(F.col("starts"), entry, horizon))
+    paths = starts.select("node", *CLUSTER_KEYS, walks.alias("paths"))
+    ends = F.transform("paths", lambda path: F.struct(F.element_at(path, 1).alias("entry"), F.element_at(path, -1).alias("last")))
+    nodes = paths.select("node", *CLUSTER_KEYS, ends.alias("ends"))
+    levels, size = [], 1
+    while True:
+        blocks = nodes.groupBy(floor_div(F.col("node"), fan).alias("block"), *CLUSTER_KEYS).agg(
+            F.array_sort(F.collect_list(F.struct("node", "ends"))).alias("nodes")
+        )
+        levels.append(blocks)
+        size, highest = size * fan, highest // fan
+        if not highest:
+            break
+        known = F.flatten(F.transform("nodes", lambda node: node["ends"]["entry"]))
+        doors = _doors(known, reach(F.col("block"), size))
+        through = F.transform(doors, lambda entry: F.struct(entry.alias("entry"), _pass_through(F.col("nodes"), entry, horizon).alias("last")))
+        nodes = blocks.select(F.col("block").alias("node"), *CLUSTER_KEYS, through.alias("ends"))
+    entered = None
+    for blocks in reversed(levels):
+        if entered is None:
+            walked = blocks.withColumn("_last", F.lit(BEFORE_ALL))
+        else:
+            handed = entered.select(F.col("node").alias("block"), *CLUSTER_KEYS, (F.col("entry") - (horizon + 1)).alias("_last"))
+            walked = blocks.join(handed, ["block", *CLUSTER_KEYS])
+        entered = walked.select(*CLUSTER_KEYS, F.inline(_entered(F.col("nodes"), F.col("_last"), horizon)))
     taken = F.filter("paths", lambda path: F.element_at(path, 1) == F.col("entry"))
-    return paths.join(entered, ["chunk", *walked]).select(
-        *CLUSTER_KEYS, F.explode(F.element_at(taken, 1)).alias("anchor")
-    )
+    return paths.join(entered, ["node", *CLUSTER_KEYS]).select(*CLUSTER_KEYS, F.explode(F.element_at(taken, 1)).alias("anchor"))
 
 
 def cluster_anchored(
@@ -210,13 +248,14 @@ def cluster_anchored(
     bucket_seconds: float = 1,
     scope: str = "range",
     chunk_buckets: int = 4_096,
+    fan: int = FAN,
 ) -> DataFrame:
     """A cluster spans ``horizon`` from its first candidate and keeps that candidate's values."""
     keyed = with_keys(candidates)
     # Anchors are more than one horizon apart: that of a start lies in its own horizon-wide block or
     # the one before.
     own_block = floor_div(F.col("anchor"), horizon + 1)
-    placed = _anchors(keyed, horizon, chunk_buckets).withColumn(
+    placed = _anchors(keyed, horizon, chunk_buckets, fan).withColumn(
         "block", F.explode(F.array(own_block, own_block + 1))
     )
     ahead = F.col("start_bucket") - F.col("anchor")
