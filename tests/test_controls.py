@@ -196,3 +196,42 @@ def test_events_short_of_controls_get_none(spark):
     rated = rated.withColumns({"exclusion_reason": F.lit(None).cast("string"), "quality_failure": F.lit(None).cast("string")})
     found = K.match_controls(events, own, rated, sums, exchanges=1, count=2, spacing=10)
     assert values(found, "event_id", "sample_id", "anchor_bucket") == [("e", "e__normal_001", 50), ("e", "e__normal_002", 90)]
+
+
+@pytest.mark.parametrize("block,first,spacing", [(4, 1, 7), (8, 2, 40), (64, 4, 7), (4, 1, 10_000)])
+def test_best_first_search_picks_what_the_full_table_does(spark, block, first, spacing):
+    """Ties, anchors without a nearest candidate, venues that are absent, spans of different size, events without activity."""
+    rnd = random.Random(block + spacing)
+    venues = ("a", "b")
+
+    def activity():
+        return [(venue, rnd.randint(1, 40), float(rnd.randint(1, 5)), float(rnd.choice([1, 10, 1000]))) for venue in venues]
+
+    sizes = {0: 150, 1: 30, 2: 3}
+    places = [(span, span * 1000 + 3 * i, rnd.choice([None, 5, 5, 90])) for span, n in sizes.items() for i in range(n)]
+    sums = [(span, anchor, *row) for span, anchor, _ in places for row in activity()[: 1 if rnd.random() < 0.05 else 2]]
+    events = [(f"e{i}", rnd.choice([0, 0, 1, 2, 3])) for i in range(40)]
+    own = [(event, *row) for event, _ in events[1:] for row in activity()]
+    measures = "exchange string, trade_count_sum long, trade_volume_sum double, trade_notional_sum double"
+    tables = (
+        spark.createDataFrame(events, "event_id string, span long"),
+        spark.createDataFrame(own, f"event_id string, {measures}"),
+        spark.createDataFrame(places, "span long, anchor_bucket long, nearest_candidate_distance long"),
+        spark.createDataFrame(sums, f"span long, anchor_bucket long, {measures}"),
+    )
+    expected = K.spaced_select(K.activity_distance(*tables, 2), count=4, spacing=spacing)
+    found = K.nearest_controls(*tables, exchanges=2, count=4, spacing=spacing, block=block, first_blocks=first)
+    columns = ["event_id", "sample_rank", "anchor_bucket", "activity_distance", "nearest_candidate_distance"]
+    assert values(found, *columns) == values(expected, *columns)
+    if spacing == 7 and block == 4:
+        pairs = {r.event_id: r.pairs for r in found.collect() if dict(events)[r.event_id] == 0}
+        assert sum(pairs.values()) / len(pairs) < sizes[0] / 2
+
+
+def test_hot_spans_get_copies_of_their_anchors(spark, monkeypatch):
+    monkeypatch.setattr(K, "EVENTS_PER_COPY", 3)
+    events = spark.createDataFrame([(f"e{i}", 0) for i in range(10)] + [("x", 1)], "event_id string, span long")
+    dealt, per_span = K._spread(events)
+    assert values(per_span, "span", "_copies") == [(0, 4), (1, 1)]
+    assert K._copied(spark.createDataFrame([(0, "r"), (1, "s")], "span long, r string"), per_span).count() == 5
+    assert {r["_copy"] for r in dealt.collect()} <= set(range(4))

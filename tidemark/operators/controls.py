@@ -7,12 +7,14 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import naming
 from tidemark.functions.exact import exact_sum
 from tidemark.functions.timeaxis import bucket_date, bucket_start, floor_div
 from tidemark.operators.ordered import with_nearest_known
 from tidemark.operators.profiles import ProfileWindow
+from tidemark.sources.stages import Stage, write_stage
 
 ACTIVITY = ("trade_count", "trade_volume", "trade_notional")
 
@@ -243,30 +245,47 @@ def window_activity(sparse: DataFrame, window: ProfileWindow) -> DataFrame:
     )
 
 
-def activity_distance(
-    events: DataFrame, own: DataFrame, anchors: DataFrame, sums: DataFrame, exchanges: int, *, salts: int = 8
-) -> DataFrame:
+def _gaps(event: Column, anchor: Column) -> Column:
+    """The sum of |log1p| differences over venues and measures, both packed in the same order of venues."""
+
+    def gap(one: Column, other: Column) -> Column:
+        return sum((F.abs(other[name] - one[name]) for name in ACTIVITY[1:]), F.abs(other[ACTIVITY[0]] - one[ACTIVITY[0]]))
+
+    return F.aggregate(F.zip_with(event, anchor, gap), F.lit(0.0), lambda acc, one: acc + one)
+
+
+# Events of a span that share one copy of its anchors; a span with more of them gets more copies.
+EVENTS_PER_COPY = 50_000
+
+
+def _spread(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with the copy of their span they are dealt to, and (span, _copies): as many as its events ask for."""
+    copies = F.ceil(F.count(F.lit(1)) / F.lit(EVENTS_PER_COPY)).cast("int").alias("_copies")
+    per_span = events.groupBy("span").agg(copies)
+    dealt = events.join(per_span, "span").withColumn("_copy", F.pmod(F.xxhash64("event_id"), F.col("_copies")).cast("int"))
+    return dealt.drop("_copies"), per_span
+
+
+def _copied(rows: DataFrame, per_span: DataFrame) -> DataFrame:
+    copy = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")
+    return rows.join(per_span, "span").select(*rows.columns, copy)
+
+
+def activity_distance(events: DataFrame, own: DataFrame, anchors: DataFrame, sums: DataFrame, exchanges: int) -> DataFrame:
     """Mean |log1p| distance over venues x measures between each event and each anchor of its span.
 
-    Venues are packed into one row per anchor and per event first, so the only pairs formed are
-    (event, anchor of its span). Rows lacking a venue are dropped: the mean needs the full grid. A
-    span may hold a large share of all events but never more anchors than fit into it, so the
-    anchors are copied ``salts`` times and the events of a span split among the copies.
+    The whole table, for reports; ``match_controls`` forms only the pairs it needs. Venues are packed into one row
+    per anchor and per event first, so the only pairs formed are (event, anchor of its span). Rows lacking a
+    venue are dropped: the mean needs the full grid. A span may hold a large share of all events but never more
+    anchors than fit into it, so its anchors are copied as its events ask for, and these split among the copies.
     """
     by_event = _packed_activity(own, ["event_id"], "_event").filter(F.size("_event") == exchanges)
     by_anchor = _packed_activity(sums, ["span", "anchor_bucket"], "_anchor").filter(F.size("_anchor") == exchanges)
-    copies = F.explode(F.array(*[F.lit(n).cast("long") for n in range(salts)]))
-    eligible = anchors.join(by_anchor, ["span", "anchor_bucket"]).withColumn("_salt", copies)
-    salted = events.select("event_id", "span").withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
-    pairs = salted.join(by_event, "event_id").join(eligible, ["span", "_salt"])
-
-    def gap(event: Column, anchor: Column) -> Column:
-        return sum((F.abs(anchor[name] - event[name]) for name in ACTIVITY[1:]), F.abs(anchor[ACTIVITY[0]] - event[ACTIVITY[0]]))
-
-    total = F.aggregate(F.zip_with("_event", "_anchor", gap), F.lit(0.0), lambda acc, one: acc + one)
-    return pairs.withColumn("activity_distance", total / F.lit(float(exchanges * len(ACTIVITY)))).drop(
-        "_event", "_anchor", "_salt"
-    )
+    dealt, per_span = _spread(events.select("event_id", "span"))
+    eligible = _copied(anchors.join(by_anchor, ["span", "anchor_bucket"]), per_span)
+    pairs = dealt.join(by_event, "event_id").join(eligible, ["span", "_copy"])
+    distance = _gaps(F.col("_event"), F.col("_anchor")) / F.lit(float(exchanges * len(ACTIVITY)))
+    return pairs.withColumn("activity_distance", distance).drop("_event", "_anchor", "_copy")
 
 
 def _spaced(ordered: Column, count: int, spacing: int) -> Column:
@@ -297,8 +316,100 @@ def spaced_select(candidates: DataFrame, *, count: int, spacing: int, keys: Sequ
         F.col("anchor_bucket").cast("long").alias("anchor"),
     )
     chosen = candidates.groupBy(*keys).agg(_spaced(F.array_sort(F.collect_list(row)), count, spacing).alias("_kept"))
-    picked = chosen.select(*keys, F.posexplode("_kept").alias("_place", "_row"))
-    return picked.select(
+    return _picked(chosen, keys)
+
+
+BLOCK = 64  # anchors next to each other along the coordinate
+FIRST_BLOCKS = 4  # that an event looks at first; four times as many in each later round
+SLACK = 1e-9  # far above what rounding can take from a bound
+
+
+def _coordinate(packed: Column) -> Column:
+    """The sum of all measures: two rows lie at least as far apart as their coordinates do."""
+    return F.aggregate(packed, F.lit(0.0), lambda acc, one: acc + sum((one[name] for name in ACTIVITY[1:]), one[ACTIVITY[0]]))
+
+
+def _anchor_blocks(anchors: DataFrame, by_anchor: DataFrame, block: int) -> DataFrame:
+    """(span, block, low, high, members): the anchors of a span in order of their coordinate, ``block`` to a row."""
+    placed = anchors.join(by_anchor, ["span", "anchor_bucket"]).withColumn("_at", _coordinate(F.col("_anchor")))
+    along = Window.partitionBy("span").orderBy("_at", "anchor_bucket")
+    ranked = placed.withColumn("block", F.floor((F.row_number().over(along) - 1) / F.lit(block)).cast("int"))
+    member = F.struct(F.col("anchor_bucket").cast("long").alias("anchor"), "nearest_candidate_distance", "_anchor")
+    return ranked.groupBy("span", "block").agg(F.min("_at").alias("low"), F.max("_at").alias("high"), F.collect_list(member).alias("members"))
+
+
+def _search_orders(events: DataFrame, by_event: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Events with their activity and the blocks of their span, nearest bound first."""
+    dealt, per_span = _spread(events.select("event_id", "span"))
+    edges = blocks.groupBy("span").agg(F.collect_list(F.struct("block", "low", "high")).alias("_edges"))
+    met = dealt.join(by_event, "event_id").join(_copied(edges, per_span), ["span", "_copy"])
+    at = _coordinate(F.col("_event"))
+
+    def bound(edge: Column) -> Column:
+        apart = F.greatest(edge["low"] - F.col("_at"), F.col("_at") - edge["high"], F.lit(0.0))
+        return F.struct(apart.alias("bound"), edge["block"].alias("block"))
+
+    return met.withColumn("_at", at).select("event_id", "span", "_copy", "_event", F.array_sort(F.transform("_edges", bound)).alias("_order"))
+
+
+def nearest_controls(
+    events: DataFrame,
+    own: DataFrame,
+    anchors: DataFrame,
+    sums: DataFrame,
+    *,
+    exchanges: int,
+    count: int,
+    spacing: int,
+    block: int = BLOCK,
+    first_blocks: int = FIRST_BLOCKS,
+    stage: Stage = write_stage,
+) -> DataFrame:
+    """What ``spaced_select`` picks from ``activity_distance``, without forming all pairs.
+
+    Best-first search. The anchors of a span are sorted by one coordinate and cut into blocks; the gap between an event
+    and a block along it is a lower bound of their distances. An event looks at its nearest blocks; candidates
+    closer than the bound of the first block left out are final, and if ``count`` of them can be kept, nothing further
+    away could change the choice. Events that come short look at four times as many blocks, until their
+    span is exhausted. ``pairs`` says how many anchors an event looked at in its last round.
+    """
+    by_event = _packed_activity(own, ["event_id"], "_event").filter(F.size("_event") == exchanges)
+    by_anchor = _packed_activity(sums, ["span", "anchor_bucket"], "_anchor").filter(F.size("_anchor") == exchanges)
+    blocks = stage(_anchor_blocks(anchors, by_anchor, block), "anchor_blocks")
+    waiting = stage(_search_orders(events, by_event, blocks), "search_orders")
+    width = float(exchanges * len(ACTIVITY))
+    done, taken = None, first_blocks
+    while True:
+        following = F.get(F.col("_order"), F.lit(taken))["bound"]  # null: no block is left out
+        asked = waiting.select("event_id", "span", "_event", following.alias("_bound"), F.explode(F.slice("_order", 1, taken)).alias("_block"))
+
+        def measured(member: Column) -> Column:
+            # Ascending order: distance, then remoteness negated (absent remoteness last), then anchor.
+            remoteness = F.coalesce(-member["nearest_candidate_distance"], F.lit(1)).cast("long")
+            distance = _gaps(F.col("_event"), member["_anchor"]) / F.lit(width)
+            return F.struct(distance.alias("distance"), remoteness.alias("nearest"), member["anchor"].alias("anchor"))
+
+        met = asked.withColumn("block", F.col("_block.block")).join(blocks.select("span", "block", "members"), ["span", "block"])
+        near = F.filter(
+            F.transform("members", measured),
+            lambda row: F.col("_bound").isNull() | (row["distance"] * F.lit(width) < F.col("_bound") - F.lit(SLACK)),
+        )
+        found = met.groupBy("event_id").agg(
+            F.flatten(F.collect_list(near)).alias("_near"), F.sum(F.size("members")).alias("pairs"), F.first("_bound").alias("_bound")
+        )
+        kept = _spaced(F.array_sort("_near"), count, spacing)
+        searched = found.select("event_id", "pairs", "_bound", kept.alias("_kept"))
+        round_ = stage(searched.withColumn("_final", F.col("_bound").isNull() | (F.size("_kept") == count)), "search_round")
+        final = round_.filter("_final").select("event_id", "pairs", "_kept")
+        done = final if done is None else done.unionByName(final)
+        short = round_.filter("not _final").select("event_id")
+        if short.isEmpty():
+            return _picked(done, ["event_id", "pairs"])
+        waiting, taken = waiting.join(short, "event_id", "left_semi"), taken * 4
+
+
+def _picked(chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return chosen.select(*keys, F.posexplode("_kept").alias("_place", "_row")).select(
         *keys,
         (F.col("_place") + 1).alias("sample_rank"),
         F.col("_row.anchor").alias("anchor_bucket"),
@@ -317,6 +428,7 @@ def match_controls(
     count: int,
     spacing: int,
     bucket_seconds: float = 1,
+    stage: Stage = write_stage,
 ) -> DataFrame:
     """Control samples of all events at once; an event short of ``count`` controls gets none.
 
@@ -325,8 +437,9 @@ def match_controls(
     usable = anchors.filter(F.col("exclusion_reason").isNull() & F.col("quality_failure").isNull()).select(
         "span", "anchor_bucket", "nearest_candidate_distance"
     )
-    ranked = activity_distance(events, own_activity, usable, sums, exchanges)
-    chosen = spaced_select(ranked, count=count, spacing=spacing)
+    chosen = nearest_controls(
+        events, own_activity, usable, sums, exchanges=exchanges, count=count, spacing=spacing, stage=stage
+    )
     complete = chosen.groupBy("event_id").agg(F.count(F.lit(1)).alias("_found")).filter(F.col("_found") == count)
     return chosen.join(complete.select("event_id"), "event_id", "left_semi").select(
         "event_id",

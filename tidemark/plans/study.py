@@ -167,6 +167,7 @@ def control_stage(
         count=params.controls_per_event,
         spacing=params.spacing,
         bucket_seconds=params.bucket_seconds,
+        stage=stage,
     )
     return stage(controls, "controls")
 
