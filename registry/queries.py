@@ -611,19 +611,104 @@ def _(w):
     return quality.gap_profile(bars.clean_ticks(w.ticks), FINE.bucket_seconds, chunk_buckets=288)
 
 
-@register(
-    "profile_ticks",
-    kinds(s="table_name", i="row_count"),
-    f"""{BASE}, e AS (SELECT count(DISTINCT row(exchange, symbol)) AS entities, count(DISTINCT exchange) AS venues FROM raw_ticks),
-    s AS (SELECT count(*) AS n FROM (SELECT DISTINCT exchange, side_raw FROM raw_ticks)),
-    t AS (SELECT count(DISTINCT side_raw) AS n FROM raw_ticks)""",
-    """(SELECT 'counts' AS table_name, venues + entities + 1 AS row_count FROM e UNION ALL SELECT 'latency', 1
-        UNION ALL SELECT 'values', 2 * (1 + venues) FROM e UNION ALL SELECT 'nulls', 9
-        UNION ALL SELECT 'categories', t.n + s.n FROM s, t UNION ALL SELECT 'duplicates', 2
-        UNION ALL SELECT 'sequence', entities FROM e UNION ALL SELECT 'density', entities FROM e UNION ALL SELECT 'gaps', entities FROM e)""",
-)
+Facts = dict[str, tuple[tuple[str, ...], tuple[str, ...], str]]  # table: key columns, measures, SQL
+
+
+def facts_sql(facts: Facts) -> str:
+    """All tables of a report as (table_name, row_key, measure, value)."""
+    parts = []
+    for table, (keys, names, sql) in facts.items():
+        key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+        listed = ", ".join(f"CAST({name} AS DOUBLE)" for name in names)
+        parts.append(f"SELECT '{table}' AS table_name, {key} AS row_key, unnest({list(names)}) AS measure, unnest([{listed}]) AS value FROM ({sql})")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+def facts_of(tables: dict[str, DataFrame], facts: Facts) -> DataFrame:
+    parts = []
+    for table, (keys, names, _) in facts.items():
+        measured = F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("value")) for name in names]))
+        parts.append(tables[table].select(F.lit(table).alias("table_name"), F.concat_ws("|", *keys).alias("row_key"), measured))
+    return compare.union_reports(parts)
+
+
+FACTS = kinds(s="table_name row_key measure", d="value")
+CLEANED = ("exchange", "symbol", "ts_event", "price", "qty", "ts_recv", "seq", "trade_id", "side")
+ORDERED = ("out_of_order_ts_event_count", "out_of_order_ts_recv_count")
+TICK_FACTS: Facts = {
+    "counts": (
+        ("profile_level", "exchange", "symbol"),
+        ("row_count", "distinct_exchange_count", "distinct_symbol_count"),
+        """SELECT CASE WHEN grouping(exchange) = 1 THEN 'all' WHEN grouping(symbol) = 1 THEN 'exchange' ELSE 'exchange_symbol' END AS profile_level,
+        exchange, symbol, count(*) AS row_count, count(DISTINCT exchange) AS distinct_exchange_count, count(DISTINCT symbol) AS distinct_symbol_count
+        FROM raw_ticks GROUP BY GROUPING SETS ((exchange), (exchange, symbol), ())""",
+    ),
+    "latency": (
+        (),
+        ("min_latency_ms", "max_latency_ms", "avg_latency_ms", "p50", "p95", "p99"),
+        """SELECT min(ms) AS min_latency_ms, max(ms) AS max_latency_ms, avg(ms) AS avg_latency_ms, quantile_disc(ms, 0.5) AS p50,
+        quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99
+        FROM (SELECT epoch_us(ts_recv - ts_event) / 1000.0 AS ms FROM raw_ticks)""",
+    ),
+    "values": (
+        ("column_name", "exchange"),
+        ("min_value", "max_value", "avg_value", "null_count", "non_positive_count"),
+        """SELECT column_name, exchange, min(value) AS min_value, max(value) AS max_value, avg(value) AS avg_value,
+        count(*) FILTER (value IS NULL) AS null_count, count(*) FILTER (value <= 0) AS non_positive_count
+        FROM (SELECT exchange, 'price' AS column_name, price AS value FROM raw_ticks UNION ALL SELECT exchange, 'qty', qty FROM raw_ticks)
+        GROUP BY GROUPING SETS ((column_name), (column_name, exchange))""",
+    ),
+    "nulls": (
+        ("column_name",),
+        ("null_count",),
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS column_name, count(*) FILTER ({'side_raw' if name == 'side' else name} IS NULL) AS null_count FROM raw_ticks"
+            for name in CLEANED
+        ),
+    ),
+    "categories": (
+        ("profile_level", "exchange", "category"),
+        ("row_count",),
+        """SELECT CASE WHEN grouping(exchange) = 1 THEN 'side' ELSE 'exchange_side' END AS profile_level, exchange, side_raw AS category,
+        count(*) AS row_count FROM raw_ticks GROUP BY GROUPING SETS ((side_raw), (exchange, side_raw))""",
+    ),
+    "duplicates": (
+        ("duplicate_kind",),
+        ("duplicate_group_count", "duplicate_row_count"),
+        """SELECT 'exact_id' AS duplicate_kind, count(*) AS duplicate_group_count, coalesce(sum(n), 0) AS duplicate_row_count
+        FROM (SELECT count(*) AS n FROM raw_ticks GROUP BY exchange, symbol, trade_id HAVING n > 1)
+        UNION ALL SELECT 'same_fields', count(*), coalesce(sum(n), 0)
+        FROM (SELECT count(*) AS n FROM raw_ticks GROUP BY exchange, symbol, ts_event, price, qty, side_raw HAVING n > 1)""",
+    ),
+    "sequence": (
+        ("exchange", "symbol"),
+        ORDERED,
+        """SELECT exchange, symbol, count(*) FILTER (ts_event < prev_event) AS out_of_order_ts_event_count,
+        count(*) FILTER (ts_recv < prev_recv) AS out_of_order_ts_recv_count
+        FROM (SELECT *, lag(ts_event) OVER w AS prev_event, lag(ts_recv) OVER w AS prev_recv FROM raw_ticks
+              WINDOW w AS (PARTITION BY exchange, symbol ORDER BY seq, ts_event, ts_recv)) GROUP BY 1, 2""",
+    ),
+    "density": (
+        ("exchange", "symbol"),
+        ("min_trade_count", "max_trade_count", "avg_trade_count", "p50", "p95", "p99", "min_bucket", "max_bucket", "active_bucket_count"),
+        """SELECT exchange, symbol, min(trade_count) AS min_trade_count, max(trade_count) AS max_trade_count, avg(trade_count) AS avg_trade_count,
+        quantile_disc(trade_count, 0.5) AS p50, quantile_disc(trade_count, 0.95) AS p95, quantile_disc(trade_count, 0.99) AS p99,
+        min(bucket) AS min_bucket, max(bucket) AS max_bucket, count(*) AS active_bucket_count FROM bars GROUP BY 1, 2""",
+    ),
+    "gaps": (
+        ("exchange", "symbol"),
+        ("max_gap", "gaps_gt_1", "gaps_gt_5", "gaps_gt_10"),
+        """SELECT exchange, symbol, max(gap) AS max_gap, count(*) FILTER (gap > 1) AS gaps_gt_1, count(*) FILTER (gap > 5) AS gaps_gt_5,
+        count(*) FILTER (gap > 10) AS gaps_gt_10
+        FROM (SELECT *, bucket - lag(bucket) OVER (PARTITION BY exchange, symbol ORDER BY bucket) AS gap FROM bars) GROUP BY 1, 2""",
+    ),
+}
+
+
+@register("profile_ticks", FACTS, FINE_BUCKETS, facts_sql(TICK_FACTS))
 def _(w):
-    return table_sizes(quality.profile_ticks(bars.clean_ticks(w.ticks), bucket_seconds=FINE.bucket_seconds))
+    report = quality.profile_ticks(bars.clean_ticks(w.ticks), bucket_seconds=FINE.bucket_seconds, chunk_rows=500)
+    return facts_of(report, TICK_FACTS)
 
 
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import moves as M
 from tidemark.operators import quality as Q
 from tidemark.operators import windows as W
+from tidemark.sources.stages import write_stage
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,9 +55,17 @@ def test_ticks_combine_before_the_shuffle(spark):
 
 
 def test_sequence_check_reads_and_shuffles_rows_once(spark):
+    """The small table of edges is broadcast where its size allows; the rows move once."""
     frame = B.clean_ticks(ticks(spark)).withColumn("ts_recv", F.col("ts_event"))
-    text = plan_of(Q.seq_order_check(frame, seq_chunk=1000))
-    assert "Join" not in text and text.count("Exchange") <= 3
+    edges = write_stage(Q.sequence_edges(Q.sequence_marks(frame), 10), "edges")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        text = plan_of(Q.seq_order_check(frame, edges=edges))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert text.count("Join") == text.count("BroadcastHashJoin") == 1
+    assert text.replace("BroadcastExchange", "").count("Exchange") <= 3
 
 
 def test_only_the_dates_of_the_windows_are_read(spark, tmp_path):

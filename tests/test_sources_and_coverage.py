@@ -229,6 +229,34 @@ def test_sparse_sequences_share_chunks(spark):
     assert row.out_of_order_ts_event_count == 3
 
 
+def test_dense_and_sparse_venues_are_cut_evenly(spark):
+    """Ids that count up, ids from a clock, and ids that jump: no chunk holds much more than its share."""
+    seqs = {"dense": range(20_000), "clock": range(10**15, 10**15 + 20_000 * 10**9, 10**9), "jump": [*range(5_000), *range(10**12, 10**12 + 15_000)]}
+    parts = []
+    for exchange, listed in seqs.items():
+        first, rest = listed[0], listed[1] - listed[0]
+        parts.append(spark.range(20_000).selectExpr(f"'{exchange}' AS exchange", "'S' AS symbol", "timestamp_micros(id * 1000000) AS ts_event", f"{first} + id * {rest} AS seq", "id"))
+    ticks = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ticks = ticks.withColumn("seq", F.when((F.col("exchange") == "jump") & (F.col("id") >= 5000), F.lit(10**12) + F.col("id") - 5000).otherwise(F.col("seq")))
+    edges = Q.sequence_edges(Q.sequence_marks(ticks), 1000)
+    assert values(edges.select("exchange", F.size("edges").alias("n")), "exchange", "n") == [("clock", 64), ("dense", 64), ("jump", 64)]
+    placed = Q._with_cells(ticks.withColumn("_seq", F.col("seq")), edges)
+    sizes = placed.groupBy("exchange", "_cell", "_part").count().groupBy("exchange").agg(F.max("count").alias("most"), F.count("*").alias("n"))
+    assert all(row.most <= 1500 and row.n >= 14 for row in sizes.collect())
+    assert Q.sequence_edges(Q.sequence_marks(ticks), 20_000).count() == 0
+    few = Q.sequence_edges(Q.sequence_marks(ticks), 10)  # more chunks than cells: each cell is cut by its width
+    placed = Q._with_cells(ticks.withColumn("_seq", F.col("seq")), few)
+    assert placed.groupBy("exchange", "_cell", "_part").count().agg(F.max("count")).first()[0] <= 900
+
+
+def test_duplicates_by_id_and_by_fields(spark):
+    moment = at("2026-04-23 00:00:00")
+    rows = [("a", "S", moment, 1.0, 1.0, 1, i, "buy") for i in ("x", "x", "y", None, None)] + [("a", "S", moment, 2.0, 1.0, 1, "z", None)] * 2
+    frame = spark.createDataFrame(rows, "exchange string, symbol string, ts_event timestamp, price double, qty double, seq long, trade_id string, side string")
+    assert values(Q.duplicate_profile(frame), *Q.duplicate_profile(frame).columns) == [("exact_id", 2, 4), ("same_fields", 2, 7)]
+    assert values(Q.duplicate_profile(frame.limit(0)), *Q.duplicate_profile(frame).columns) == [("exact_id", 0, 0), ("same_fields", 0, 0)]
+
+
 def test_a_stage_folder_is_removed_as_a_whole(spark):
     with stages.StageFolder(spark) as stage:
         table = stage(spark.range(3), "numbers")

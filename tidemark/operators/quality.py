@@ -147,17 +147,29 @@ APPROXIMATE_KEYS = (*ENTITY, "ts_event", "price", "qty", "side")
 def duplicate_profile(
     ticks: DataFrame, exact: Sequence[str] = EXACT_KEYS, approximate: Sequence[str] = APPROXIMATE_KEYS
 ) -> DataFrame:
-    """Groups of rows sharing an id, and sharing all observable fields: how many, with how many rows."""
+    """Groups of rows sharing an id, and sharing all observable fields: how many, with how many rows.
 
-    def totals(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-        return _duplicates(rows, keys).agg(
-            F.lit(label).alias("duplicate_kind"),
-            F.count(F.lit(1)).alias("duplicate_group_count"),
-            F.coalesce(F.sum("row_count"), F.lit(0)).alias("duplicate_row_count"),
-        )
-
-    by_id = totals(ticks.dropna(subset=[exact[-1]]), exact, "exact_id")
-    return by_id.unionByName(totals(ticks, approximate, "same_fields"))
+    One pass and one shuffle serve both: rows are grouped by either set of keys and combine before they move.
+    """
+    columns = list(dict.fromkeys((*exact, *approximate)))
+    only_exact = [name for name in exact if name not in approximate]
+    only_fields = [name for name in approximate if name not in exact]
+    if not only_exact or not only_fields:
+        raise ValueError("each set of keys needs a column of its own")
+    by_fields = F.grouping(only_exact[-1]) == 1
+    groups = (
+        ticks.groupingSets([list(exact), list(approximate)], *columns)
+        .agg(F.count(F.lit(1)).alias("row_count"), by_fields.alias("_by_fields"))
+        .filter((F.col("row_count") > 1) & (F.col("_by_fields") | F.col(exact[-1]).isNotNull()))
+    )
+    found = groups.groupBy("_by_fields").agg(F.count(F.lit(1)).alias("n"), F.sum("row_count").alias("rows"))
+    kinds = found.sparkSession.createDataFrame([("exact_id", False), ("same_fields", True)], "duplicate_kind string, _kind boolean")
+    both = kinds.join(found, kinds["_kind"] == found["_by_fields"], "left")
+    return both.select(
+        "duplicate_kind",
+        F.coalesce("n", F.lit(0)).alias("duplicate_group_count"),
+        F.coalesce("rows", F.lit(0)).alias("duplicate_row_count"),
+    )
 
 
 def duplicate_examples(ticks: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
@@ -165,24 +177,71 @@ def duplicate_examples(ticks: DataFrame, keys: Sequence[str], n: int = 20) -> Da
     return _duplicates(ticks, keys).orderBy(F.col("row_count").desc(), *keys).limit(n)
 
 
-def seq_order_check(ticks: DataFrame, *, chunk_rows: int = 1_000_000, seq_chunk: int | None = None) -> DataFrame:
+CELLS = 64  # equi-depth cells of a sequence; each is cut further by its width where it holds too many rows
+MARK_SECONDS = 60
+
+
+def sequence_marks(ticks: DataFrame, bucket_seconds: float = MARK_SECONDS) -> DataFrame:
+    """(exchange, symbol, bucket, rows, mark): one of the sequence numbers of each bucket, and how many rows it stands for."""
+    return _with_marks(ticks, bucket_seconds).filter(F.col("mark").isNotNull())
+
+
+def _with_marks(ticks: DataFrame, bucket_seconds: float) -> DataFrame:
+    numbered = F.col("seq").cast("long")
+    return (
+        ticks.withColumn("bucket", bucket_index(F.col("ts_event"), bucket_seconds))
+        .groupBy("bucket", *ENTITY)
+        .agg(F.count(numbered).alias("rows"), F.first(numbered, ignorenulls=True).alias("mark"), F.count(F.lit(1)).alias("trade_count"))
+    )
+
+
+def sequence_edges(marks: DataFrame, chunk_rows: int, cells: int = CELLS) -> DataFrame:
+    """(exchange, symbol, edges, cuts): lower edges of ``cells`` equi-depth cells, and into how many chunks each is cut.
+
+    Only venues and symbols of more than ``chunk_rows`` rows have a row, so there are at most rows / ``chunk_rows``. The edges
+    are quantiles of the marks, a mark counted in proportion to the rows it stands for.
+    """
+    unit = max(1, chunk_rows // 16)
+    turns = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("rows") / F.lit(unit)).cast("long"))
+    weighted = marks.select(*ENTITY, "rows", "mark", F.explode(turns).alias("_turn"))
+    quantiles = F.percentile_approx("mark", [i / cells for i in range(1, cells)], ACCURACY)
+    per_key = weighted.groupBy(*ENTITY).agg(F.sum(F.when(F.col("_turn") == 1, F.col("rows"))).alias("_rows"), quantiles.alias("_inner"))
+    lowest = F.array(F.lit(-(2**63)).cast("long"))
+    large = per_key.filter(F.col("_rows") > chunk_rows)
+    cuts = F.ceil(F.col("_rows") / F.lit(cells * chunk_rows)).cast("long")
+    return large.select(*ENTITY, F.concat(lowest, "_inner").alias("edges"), cuts.alias("cuts"))
+
+
+def _with_cells(numbered: DataFrame, edges: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``_cell`` and ``_part`` of each row's sequence number: a binary search of its key's edges, then equal widths."""
+    placed = numbered.join(edges, list(ENTITY), "left").withColumn("_cell", F.lit(0))
+    step = cells // 2
+    while step:
+        further = F.col("_seq") >= F.get("edges", F.col("_cell") + step)
+        placed = placed.withColumn("_cell", F.col("_cell") + F.when(further, step).otherwise(0))
+        step //= 2
+    low, high = F.get("edges", F.col("_cell")), F.get("edges", F.col("_cell") + 1)
+    inner = F.col("cuts") * ((F.col("_seq").cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double")))
+    part = F.when((F.col("cuts") > 1) & (F.col("_cell") > 0) & high.isNotNull() & (high > low), F.least(F.floor(inner), F.col("cuts") - 1))
+    return placed.withColumn("_part", F.coalesce(part, F.lit(0)).cast("long")).drop("edges", "cuts")
+
+
+def seq_order_check(
+    ticks: DataFrame, *, chunk_rows: int = 1_000_000, edges: DataFrame | None = None, stage: Stage = write_stage
+) -> DataFrame:
     """How often event or receive time runs backwards along the sequence number, per venue and symbol.
 
-    One venue may hold most rows, so sequences are checked chunk by chunk and stitched at the edges. A chunk spans
-    ``seq_chunk`` numbers, or else as many as hold ``chunk_rows`` rows at the average density, so that sparse ids (taken
-    from clocks, say) do not make a chunk of every row; a venue has count / ``chunk_rows`` chunks at most. Rows without a
-    sequence number are in no order and left out.
+    One venue may hold most rows, so sequences are checked chunk by chunk and stitched at the edges. Chunks are cut where
+    the rows are (``sequence_edges``, a small table kept by ``stage``), so a dense and a sparse venue, or a sequence that
+    jumps, are both cut evenly. Rows without a sequence number are in no order and left out.
     """
+    if edges is None:
+        edges = stage(sequence_edges(sequence_marks(ticks), chunk_rows), "sequence_edges")
     numbered = ticks.filter(F.col("seq").isNotNull()).withColumn("_seq", F.col("seq").cast("long"))
-    width = F.lit(seq_chunk).cast("long")
-    if seq_chunk is None:
-        span = F.max("_seq").cast("double") - F.min("_seq").cast("double") + 1
-        chunks = F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows))
-        width = F.coalesce(numbered.agg(F.ceil(span / chunks).cast("long")).scalar(), F.lit(1))
     return summarise_steps(
-        numbered,
+        _with_cells(numbered, edges),
         keys=ENTITY,
-        chunk=floor_div(F.col("_seq"), width),
+        chunk=F.struct("_cell", "_part"),
         order=["seq", "ts_event", "ts_recv"],
         values=["ts_event", "ts_recv"],
         counts={
@@ -250,29 +309,40 @@ def gap_profile(
     return _gaps(_active_buckets(ticks, bucket_seconds), thresholds, chunk_buckets)
 
 
-def profile_ticks(ticks: DataFrame, *, bucket_seconds: float = 1, stage: Stage = write_stage) -> dict[str, DataFrame]:
-    """The data-quality report on ticks.
+def profile_ticks(
+    ticks: DataFrame, *, bucket_seconds: float = 1, chunk_rows: int = 1_000_000, stage: Stage = write_stage
+) -> dict[str, DataFrame]:
+    """The data-quality report on ticks, in four passes over them.
 
-    Counts, categories, values and nulls roll up from one aggregate per (venue, symbol, side), density
-    and gaps from the active buckets; both are kept as stage tables, so each costs one pass over ticks.
+    One aggregate per bucket, venue, symbol and side is kept as a stage table: counts, categories, values, nulls, density,
+    gaps and the edges of the sequence check roll up from it. Latency quantiles, duplicates and the sequence check
+    take a pass each.
     """
-    nulls = F.struct(*_null_counts(ticks, ticks.columns)).alias("nulls")
-    base = stage(
-        ticks.groupBy(*ENTITY, "side").agg(
-            F.count(F.lit(1)).alias("rows"), F.array(*[_measured(name) for name in VALUES]).alias("measured"), nulls
+    numbered = F.col("seq").cast("long")
+    cells = stage(
+        ticks.withColumn("bucket", bucket_index(F.col("ts_event"), bucket_seconds))
+        .groupBy("bucket", *ENTITY, "side")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.array(*[_measured(name) for name in VALUES]).alias("measured"),
+            F.struct(*_null_counts(ticks, ticks.columns)).alias("nulls"),
+            F.count(numbered).alias("numbered"),
+            F.first(numbered, ignorenulls=True).alias("mark"),
         ),
-        "tick_base",
+        "tick_cells",
     )
-    null_sums = base.agg(*[F.sum(f"nulls.{name}").alias(name) for name in ticks.columns])
-    active = stage(_active_buckets(ticks, bucket_seconds), "active_buckets")
+    active = cells.groupBy("bucket", *ENTITY).agg(F.sum("rows").alias("trade_count"))
+    marks = cells.filter(F.col("mark").isNotNull()).select(*ENTITY, F.col("numbered").alias("rows"), "mark")
+    edges = stage(sequence_edges(marks, chunk_rows), "sequence_edges")
+    null_sums = cells.agg(*[F.sum(f"nulls.{name}").alias(name) for name in ticks.columns])
     return {
-        "counts": _count_levels(base),
+        "counts": _count_levels(cells.groupBy(*ENTITY).agg(F.sum("rows").alias("rows"))),
         "latency": latency_profile(ticks),
-        "values": _value_levels(base),
+        "values": _value_levels(cells),
         "nulls": null_sums.unpivot([], ticks.columns, "column_name", "null_count"),
-        "categories": _category_levels(base, "side"),
+        "categories": _category_levels(cells, "side"),
         "duplicates": duplicate_profile(ticks),
-        "sequence": seq_order_check(ticks),
+        "sequence": seq_order_check(ticks, edges=edges),
         "density": _density(active),
         "gaps": _gaps(active, GAP_LIMITS, 86_400),
     }
