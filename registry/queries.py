@@ -985,13 +985,13 @@ def _(w):
     "o_present",
 )
 def _(w):
-    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK)
+    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK, span_buckets=FINE.span)
     return sparse.select("window_id", "event_id", "direction", "exchange", "symbol").distinct()
 
 
 @register("cross_grid", kinds(s="window_id exchange symbol", i="bucket second_before_event"), EVENT_PROFILES, "o_grid")
 def _(w):
-    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK)
+    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK, span_buckets=FINE.span)
     before = F.col("window_end_bucket") - F.col("bucket")
     return panel.densify(panel.panel_ffill(sparse)).withColumn("second_before_event", before)
 
@@ -1012,7 +1012,7 @@ PANEL_KEY = kinds(s="window_id exchange symbol", i="second_before_event")
     "o_full",
 )
 def _(w):
-    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds)
+    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds, span_buckets=FINE.span)
 
 
 @register(
@@ -1040,7 +1040,7 @@ def _(w):
     "o_full",
 )
 def _(w):
-    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds)
+    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds, span_buckets=FINE.span)
 
 
 @register(
@@ -1050,7 +1050,7 @@ def _(w):
     f"(SELECT *, {ntz('bucket', FINE.bucket_seconds)} AS ts_second FROM o_full)",
 )
 def _(w):
-    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds)
+    return panel.build_panel(w.market["market"], w.own_windows, LOOKBACK, bucket_seconds=FINE.bucket_seconds, span_buckets=FINE.span)
 
 
 # --- profiles --------------------------------------------------------------------------------------
@@ -1882,7 +1882,7 @@ def _(w):
 )
 def _(w):
     """On the sparse rows, so that there is something to report; the panel itself has no violations."""
-    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK)
+    sparse = panel.window_buckets(w.market["market"], w.own_windows, LOOKBACK, span_buckets=FINE.span)
     return contracts.dense_violations(
         sparse.withColumn("second_before_event", F.col("window_end_bucket") - F.col("bucket")), LOOKBACK
     )

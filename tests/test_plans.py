@@ -81,6 +81,38 @@ def test_only_the_dates_of_the_windows_are_read(spark, tmp_path):
     assert [(r.window_id, r.date) for r in found.collect()] == [("e", "20260423")]
 
 
+def test_only_the_spans_of_the_windows_are_read(spark, tmp_path):
+    """Files of other spans are made unreadable: panels and anchor activity do not open them."""
+    from registry import adapters
+    from registry.settings import FINE
+    from tidemark.operators import controls as K
+    from tidemark.operators import panel as P
+    from tidemark.plans.study import market_stage
+    from tidemark.sources.stages import StageFolder
+
+    folder = StageFolder(spark, str(tmp_path))
+    market = market_stage(adapters.event_ticks(spark, SMALL), adapters.event_quotes(spark, SMALL), FINE, folder)["market"]
+    span = market.agg(F.min("span")).first()[0] + 2
+    end = span * FINE.span + FINE.lookback // 2  # the window begins in the span before
+    events = spark.createDataFrame([("e", "UP", end)], "event_id string, direction string, event_start_bucket long")
+    windows = W.event_windows(events, FINE.lookback, bucket_seconds=FINE.bucket_seconds)
+    sparse = P.window_buckets(market, windows, FINE.lookback, span_buckets=FINE.span)
+    everything = P.window_buckets(market.drop("span"), windows, FINE.lookback)
+    expected = sorted(map(repr, everything.select(sorted(everything.columns)).collect()))
+    grid = {"lookback": FINE.lookback, "horizon": FINE.horizon, "step": FINE.anchor_step, "span_buckets": FINE.span}
+    bars = write_stage(B.bars_from_buckets(market), "bars")
+    wanted = spark.createDataFrame([(span,)], "span long").filter("span > 0")
+    activity = K.anchor_activity(market, bars, exchanges=FINE.exchanges, spans=wanted, **grid)
+    assert "dynamicpruning" in plan_of(sparse) and "dynamicpruning" in plan_of(activity)
+    for file in market.inputFiles():
+        if f"span={span}/" not in file and f"span={span - 1}/" not in file:
+            with open(file.removeprefix("file://").removeprefix("file:"), "wb") as f:
+                f.write(b"unreadable")
+    found = P.window_buckets(market, windows, FINE.lookback, span_buckets=FINE.span)
+    assert expected and sorted(map(repr, found.select(sorted(found.columns)).collect())) == expected
+    assert K.anchor_activity(market, bars, exchanges=FINE.exchanges, spans=wanted, **grid).count() > 0
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "bars")
     B.ohlcv_bars(B.clean_ticks(ticks(spark))).write.parquet(path)

@@ -143,11 +143,12 @@ def anchor_activity(
     )
     grain = gcd(lookback, step)
     slots_per_step, slots_per_window = step // grain, lookback // grain
-    placed = market.filter(F.col("exchange").isin(*[name.lower() for name in exchanges])).withColumn(
-        "span", floor_div(F.col("bucket"), span_buckets)
-    )
+    placed = market.filter(F.col("exchange").isin(*[name.lower() for name in exchanges]))
+    if "span" not in market.columns:  # else the table is laid out by it, and only the spans asked for are read
+        placed = placed.withColumn("span", floor_div(F.col("bucket"), span_buckets))
     if spans is not None:
-        placed = placed.join(spans.select("span").distinct(), "span", "left_semi")
+        days = spans.select("span").distinct()  # one number for each day on the axis at most
+        placed = placed.join(F.broadcast(days.filter("span IS NOT NULL")), "span", "left_semi")
     slotted = (
         placed.withColumns({"_first": first, "_last": last})
         .filter(F.col("bucket") >= F.col("_first") - lookback)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.timeaxis import bucket_start
+from tidemark.functions.timeaxis import bucket_start, floor_div
 from tidemark.operators.bars import QUOTE_AVERAGES, QUOTE_LAST, TRADE_PRICES, TRADE_SUMS
 from tidemark.operators.windows import range_join_bucketed
 
@@ -15,12 +15,28 @@ PANEL_KEYS = ("window_id", "exchange", "symbol")
 PANEL_PRICES = tuple(name for name in TRADE_PRICES if name != "open_price")
 
 
-def window_buckets(market: DataFrame, windows: DataFrame, lookback: int, *, salts: int = 8) -> DataFrame:
+def in_spans_of(market: DataFrame, windows: DataFrame, span_buckets: int) -> DataFrame:
+    """Buckets of the spans that windows touch. Where the table is laid out by ``span``, no file of another span is read.
+
+    The list of spans is broadcast, which pruning needs: one number for each day on the axis at most.
+    """
+    span = F.lit(span_buckets).cast("long")
+    start, end = F.col("window_start_bucket"), F.col("window_end_bucket")
+    touched = windows.filter(start < end).select(F.explode(F.sequence(floor_div(start, span), floor_div(end - 1, span))).alias("span"))
+    return market.join(F.broadcast(touched.distinct()), "span", "left_semi").drop("span")
+
+
+def window_buckets(
+    market: DataFrame, windows: DataFrame, lookback: int, *, salts: int = 8, span_buckets: int | None = None
+) -> DataFrame:
     """Market buckets inside each window: the sparse form of the panel.
 
     A market-wide burst puts all windows and symbols into one slice of time, hence the salt over venue and symbol.
+    ``span_buckets`` tells how wide the spans are that the column ``span`` of the market table counts, if it has one.
     """
     selected = windows.select("window_id", "event_id", "direction", "window_start_bucket", "window_end_bucket")
+    if span_buckets is not None and "span" in market.columns:
+        market = in_spans_of(market, selected, span_buckets)
     return range_join_bucketed(
         market,
         selected,
@@ -74,13 +90,15 @@ def densify(sparse: DataFrame) -> DataFrame:
     )
 
 
-def build_panel(market: DataFrame, windows: DataFrame, lookback: int, *, bucket_seconds: float = 1) -> DataFrame:
+def build_panel(
+    market: DataFrame, windows: DataFrame, lookback: int, *, bucket_seconds: float = 1, span_buckets: int | None = None
+) -> DataFrame:
     """The dense panel: trade sums 0 where nothing traded, quotes carried forward inside the window.
 
     Rows are placed by ``window_id`` alone. A window has at most lookback x entities rows, and the
     forward fill, both profiles and the pair profile then need no further shuffle.
     """
-    sparse = window_buckets(market, windows, lookback).repartition("window_id")
+    sparse = window_buckets(market, windows, lookback, span_buckets=span_buckets).repartition("window_id")
     dense = densify(panel_ffill(sparse))
     updated = F.col("bbo_update_count") > 0
     age = (F.col("bucket") - F.col("last_update_bucket")) * F.lit(bucket_seconds)

@@ -46,7 +46,7 @@ from tidemark.operators.summaries import (
     status_join,
 )
 from tidemark.operators.windows import control_windows, event_windows
-from tidemark.sources.stages import Stage
+from tidemark.sources.stages import Stage, stage_by
 
 
 @dataclass(frozen=True)
@@ -75,10 +75,12 @@ class StudyParams:
 
 
 def market_stage(ticks: DataFrame, quotes: DataFrame, params: StudyParams, stage: Stage) -> dict[str, DataFrame]:
-    """One pass over raw ticks and one over raw quotes; everything later reads buckets."""
+    """One pass over raw ticks and one over raw quotes; everything later reads buckets, laid out by span (a day)."""
     trades = bar_ops.tick_buckets(bar_ops.clean_ticks(ticks, unit=params.unit), params.bucket_seconds)
     updates = bar_ops.quote_buckets(bar_ops.clean_quotes(quotes, unit=params.unit), params.bucket_seconds)
-    market = stage(bar_ops.market_buckets(trades, updates), "market_buckets")
+    buckets = bar_ops.market_buckets(trades, updates)
+    placed = buckets.withColumn("span", floor_div(F.col("bucket"), params.span))
+    market = stage_by(stage, placed, "market_buckets", "span")
     return {"market": market, "bars": bar_ops.bars_from_buckets(market)}
 
 
@@ -105,7 +107,8 @@ def profile_stage(
     market: DataFrame, windows: DataFrame, params: StudyParams, stage: Stage, name: str
 ) -> dict[str, DataFrame]:
     """Panel and profiles of any windows, events and controls alike."""
-    panel = stage(build_panel(market, windows, params.lookback, bucket_seconds=params.bucket_seconds), f"{name}_panel")
+    dense = build_panel(market, windows, params.lookback, bucket_seconds=params.bucket_seconds, span_buckets=params.span)
+    panel = stage(dense, f"{name}_panel")
     entity = stage(entity_profile(panel, params.windows), f"{name}_entity_profile")
     return {
         "panel": panel,
@@ -175,7 +178,8 @@ def control_stage(
 def activity_stage(market: DataFrame, windows: DataFrame, params: StudyParams, stage: Stage) -> DataFrame:
     """Activity of every event's own window; matching needs no more, so panels wait for the selection."""
     window = next(w for w in params.windows if w.label == params.activity_window)
-    return stage(window_activity(window_buckets(market, windows, params.lookback), window), "event_activity")
+    sparse = window_buckets(market, windows, params.lookback, span_buckets=params.span)
+    return stage(window_activity(sparse, window), "event_activity")
 
 
 def contract_report(study: dict, params: StudyParams) -> DataFrame:

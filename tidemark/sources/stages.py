@@ -8,6 +8,7 @@ machine) may it be unset: then the stages of an application lie in a temporary f
 from __future__ import annotations
 
 import atexit
+import inspect
 import shutil
 import tempfile
 import uuid
@@ -16,8 +17,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# How a plan keeps an intermediate table: it gets the table and a name, and returns the kept table.
-Stage = Callable[[DataFrame, str], DataFrame]
+# How a plan keeps an intermediate table: it gets the table and a name, and returns the kept table. One that can lay the
+# table out by columns also takes ``partition_by``.
+Stage = Callable[..., DataFrame]
 
 
 @lru_cache
@@ -36,12 +38,25 @@ def stage_root(spark: SparkSession) -> str:
     return _local_root(spark.sparkContext.applicationId)
 
 
-def write_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
-    """Write ``df`` under a fresh folder and return it read back with the same schema."""
+def write_stage(df: DataFrame, name: str, root: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` under a fresh folder and return it read back with the same schema.
+
+    Partitions are balanced before they are written: a small one is one file, a large one several.
+    """
     spark = df.sparkSession
     path = f"{root or stage_root(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def stage_by(stage: Stage, df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Keep ``df`` laid out by ``columns`` if the stage can, else as it is."""
+    if "partition_by" in inspect.signature(stage).parameters:
+        return stage(df, name, partition_by=columns)
+    return stage(df, name)
 
 
 class StageFolder:
@@ -54,8 +69,8 @@ class StageFolder:
         self.spark = spark
         self.path = f"{(root or stage_root(spark)).rstrip('/')}/tidemark-run-{uuid.uuid4().hex}"
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        return write_stage(df, name, self.path)
+    def __call__(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        return write_stage(df, name, self.path, partition_by)
 
     def __enter__(self) -> StageFolder:
         return self
