@@ -165,3 +165,32 @@ def test_queries_agree_with_sql(spark, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns[:3] == ["event_id", "event_rank", "exchange"] and df.count() > 0
+
+
+def test_expectations_are_observed_while_a_table_is_written(spark):
+    """A failing table is written and reported; no expectation starts a job of its own; a lazy stage works too."""
+    from tidemark.operators import contracts as K
+
+    rows = spark.range(100).select(F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id")).alias("x"), (F.col("id") % 7).alias("rank"), F.lit("w").alias("window_label"))
+    wanted = [K.expect_no_null("x"), K.expect_rank_within("rank", 6), K.expect_full_window("rank", "w", 3), K.expect_single_row(["window_label"]), K.expect_count(100)]
+    expected = [("t", e.check, r.observed) for e, r in zip(wanted, K.check(rows, wanted).collect(), strict=True)]
+    writes = []
+
+    def written(df, name):
+        spark.sparkContext.setJobGroup("watched", name)
+        writes.append(name)
+        return write_stage(df, name)
+
+    for stage in (written, lambda df, name: df):
+        watched = K.Watched(stage)
+        kept = watched(rows, "t", wanted)
+        assert kept.count() == 100
+        report = watched.report(rows)
+        assert [(r.table, r["check"], r.observed) for r in report.collect()] == expected
+        assert not all(r.passed for r in report.collect())
+        with pytest.raises(RuntimeError, match="no_null:x: observed 10, expected 0"):
+            K.raise_on_failure(report)
+    assert writes == ["t"]
+    empty = K.Watched(write_stage)
+    empty(rows.limit(0), "t", wanted[:1])
+    assert empty.report(rows).first().observed == 0

@@ -1,14 +1,16 @@
-"""Expectations on tables, all evaluated in one aggregation, and the row-count formulas."""
+"""Expectations on tables, evaluated in one aggregation or while the table is written, and the row-count formulas."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.taxonomy import CHANGE_FIELDS, CHANGE_METRICS, ENTITY_METRICS, PAIR_METRICS
+from tidemark.sources.stages import Stage
 
 
 @dataclass(frozen=True)
@@ -70,6 +72,57 @@ def check(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame:
     )
 
 
+def expect_rank_within(column: str, most: int) -> Expectation:
+    """Ranks outside 1..most, null ones included."""
+    return Expectation(f"rank_within:{column}", F.count_if(~F.coalesce(F.col(column).between(1, most), F.lit(False))), 0)
+
+
+def expect_full_window(column: str, label: str, rows: int) -> Expectation:
+    """Profile rows of the widest window that do not stem from exactly ``rows`` panel rows: series that are not dense."""
+    wrong = (F.col("window_label") == label) & ~F.col(column).eqNullSafe(F.lit(rows))
+    return Expectation(f"full_window:{column}", F.count_if(wrong), 0)
+
+
+class Watched:
+    """A stage that evaluates expectations while it writes, so that they cost no pass of their own.
+
+    The aggregates sit on top of the table, in the tasks that write it, and a task counts once however often it is
+    repeated. A table that fails its expectations is written and reported like any other. Where a stage does not write
+    at once (or nothing was observed) the table is aggregated instead.
+    """
+
+    def __init__(self, stage: Stage):
+        self.stage = stage
+        self.seen: list[tuple[str, Expectation, int]] = []
+
+    def __call__(self, df: DataFrame, name: str, expectations: Sequence[Expectation] = ()) -> DataFrame:
+        if not expectations:
+            return self.stage(df, name)
+        watcher = Observation(f"{name}-{uuid.uuid4().hex}")
+        named = [e.observed.cast("long").alias(f"check_{i}") for i, e in enumerate(expectations)]
+        kept = self.stage(df.observe(watcher, F.count(F.lit(1)).alias("rows"), *named), name)
+        lazy = "CollectMetrics" in kept._jdf.queryExecution().analyzed().toString()
+        found = {} if lazy else watcher.get
+        if found:
+            self.seen += [(name, e, found[f"check_{i}"]) for i, e in enumerate(expectations)]
+        else:
+            rows = check(kept, expectations).collect()
+            self.seen += [(name, e, row["observed"]) for e, row in zip(expectations, rows, strict=True)]
+        return kept
+
+    def observed(self, table: str, name: str) -> int:
+        return next(value for at, e, value in self.seen if (at, e.check) == (table, name))
+
+    def report(self, df: DataFrame, more: Sequence[tuple[str, str, int, int]] = ()) -> DataFrame:
+        """``table, check, passed, observed, expected``; ``more``: (table, check, observed, expected) found in other ways.
+
+        ``df`` names the session.
+        """
+        rows = [(table, e.check, value, e.expected) for table, e, value in self.seen] + list(more)
+        listed = [(table, name, value == expected, value, expected) for table, name, value, expected in rows]
+        return df.sparkSession.createDataFrame(listed, "table string, check string, passed boolean, observed long, expected long")
+
+
 def expect_curated(df: DataFrame, required: Iterable[str]) -> list[str]:
     """Curated metric columns the table lacks; needs the schema only."""
     return [name for name in required if name not in df.columns]

@@ -106,10 +106,12 @@ def detection_stage(
 def profile_stage(
     market: DataFrame, windows: DataFrame, params: StudyParams, stage: Stage, name: str
 ) -> dict[str, DataFrame]:
-    """Panel and profiles of any windows, events and controls alike."""
+    """Panel and profiles of any windows, events and controls alike; a ``Watched`` stage checks them as well."""
+    expected = study_contracts(params).get(f"{name}_entity_profile", []) if isinstance(stage, contracts.Watched) else None
     dense = build_panel(market, windows, params.lookback, bucket_seconds=params.bucket_seconds, span_buckets=params.span)
     panel = stage(dense, f"{name}_panel")
-    entity = stage(entity_profile(panel, params.windows), f"{name}_entity_profile")
+    profiled = entity_profile(panel, params.windows)
+    entity = stage(profiled, f"{name}_entity_profile", *([expected] if expected else []))
     return {
         "panel": panel,
         "entity": entity,
@@ -182,27 +184,44 @@ def activity_stage(market: DataFrame, windows: DataFrame, params: StudyParams, s
     return stage(window_activity(sparse, window), "event_activity")
 
 
-def contract_report(study: dict, params: StudyParams) -> DataFrame:
-    """``table, check, passed, observed, expected``: what must hold of a study's tables, one aggregation per table.
+def study_contracts(params: StudyParams) -> dict[str, list[contracts.Expectation]]:
+    """What must hold of the tables of a study.
 
-    Row counts are not fixed (a venue may be absent from a window); keys, differences, samples and labels are.
+    Row counts are not fixed (a venue may be absent from a window); keys, differences, samples, labels and the
+    density of panels are.
     """
-    comparison = [
-        contracts.expect_no_null("event_id"),
-        contracts.expect_no_null("metric_group"),
-        contracts.expect_sample_count("normal_sample_count", params.controls_per_event),
-        contracts.expect_abs_diff("signed_diff_vs_mean", "absolute_diff_vs_mean"),
-    ]
-    controls = [contracts.expect_no_null("sample_id"), contracts.expect_no_null("activity_distance")]
-    selected = [contracts.expect_no_null("event_id"), contracts.expect_no_null("selection_order")]
-    reports = [
-        contracts.check(study[name], expectations).withColumn("table", F.lit(name))
-        for name, expectations in (("comparison", comparison), ("selected_controls", controls), ("selected_events", selected))
-    ]
-    per_event = study["selected_controls"].groupBy("event_id").count()
-    counts = [contracts.Expectation("controls_per_event", F.count_if(F.col("count") != params.controls_per_event), 0)]
-    reports.append(contracts.check(per_event, counts).withColumn("table", F.lit("selected_controls")))
-    return union_reports(reports).select("table", "check", "passed", "observed", "expected")
+    widest = max(params.windows, key=lambda w: w.last - w.first)
+    dense = [contracts.expect_no_null("window_id"), contracts.expect_full_window("seconds_observed", widest.label, params.lookback)]
+    return {
+        "selected_events": [
+            contracts.Expectation("rows", F.count(F.lit(1)), -1),
+            contracts.expect_no_null("event_id"),
+            contracts.expect_rank_within("selection_order", params.max_events),
+        ],
+        "selected_controls": [
+            contracts.Expectation("rows", F.count(F.lit(1)), -1),
+            contracts.expect_no_null("sample_id"),
+            contracts.expect_no_null("activity_distance"),
+            contracts.expect_rank_within("sample_rank", params.controls_per_event),
+        ],
+        "event_entity_profile": dense,
+        "control_entity_profile": dense,
+        "comparison": [
+            contracts.expect_no_null("event_id"),
+            contracts.expect_no_null("metric_group"),
+            contracts.expect_sample_count("normal_sample_count", params.controls_per_event),
+            contracts.expect_abs_diff("signed_diff_vs_mean", "absolute_diff_vs_mean"),
+        ],
+    }
+
+
+def contract_report(watched: contracts.Watched, events: DataFrame, params: StudyParams) -> DataFrame:
+    """``table, check, passed, observed, expected``, from what was observed while the tables were written."""
+    selected, controls = (watched.observed(name, "rows") for name in ("selected_events", "selected_controls"))
+    watched.seen = [row for row in watched.seen if row[1].check != "rows"]
+    # Ranks lie within 1..n and a control has one rank: n rows for each event then means n controls for each.
+    more = [("selected_controls", "controls_per_event", controls, params.controls_per_event * selected)]
+    return watched.report(events, more)
 
 
 def select_events(events: DataFrame, controls: DataFrame, max_events: int) -> DataFrame:
@@ -228,6 +247,7 @@ def run_study(
     Fails if fewer than ``min_events`` events could be selected; the status of all events says why.
     """
     width = params.bucket_seconds
+    watched, expected = contracts.Watched(stage), study_contracts(params)
     market = market_stage(ticks, quotes, params, stage)
     found = detection_stage(market["bars"], params, stage, diagnostics)
     events = found["events"]
@@ -237,8 +257,9 @@ def run_study(
         market["market"], market["bars"], found["candidates"], params, stage, spans=with_span(events, params)
     )
     controls = control_stage(events, own_activity, rated, params, stage)
-    selected = stage(select_events(events, controls, params.max_events), "selected_events")
-    kept = stage(controls.join(selected.select("event_id"), "event_id", "left_semi"), "selected_controls")
+    selected = watched(select_events(events, controls, params.max_events), "selected_events", expected["selected_events"])
+    taken = controls.join(selected.select("event_id"), "event_id", "left_semi")
+    kept = watched(taken, "selected_controls", expected["selected_controls"])
     if diagnostics is None:
         judged = events.select("event_id", F.lit(PASS).alias("quality_reason"))
     else:
@@ -247,11 +268,12 @@ def run_study(
     if min_events and (ready := selected.count()) < min_events:
         raise RuntimeError(f"{ready} events could be selected, {min_events} are needed: see the table processing_status")
     chosen = event_windows(selected, params.lookback, bucket_seconds=width)
-    own = profile_stage(market["market"], chosen, params, stage, "event")
+    own = profile_stage(market["market"], chosen, params, watched, "event")
     other = profile_stage(
-        market["market"], control_windows(kept, params.lookback, bucket_seconds=width), params, stage, "control"
+        market["market"], control_windows(kept, params.lookback, bucket_seconds=width), params, watched, "control"
     )
-    comparison = stage(union_reports(list(compare_profiles(own, other).values())), "comparison")
+    compared = union_reports(list(compare_profiles(own, other).values()))
+    comparison = watched(compared, "comparison", expected["comparison"])
     study = {
         **market,
         **found,
@@ -265,7 +287,7 @@ def run_study(
         "selected_controls": kept,
         "comparison": comparison,
     }
-    return study | {"contracts": contract_report(study, params)}
+    return study | {"contracts": contract_report(watched, events, params)}
 
 
 def finalize(
