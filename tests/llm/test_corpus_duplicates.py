@@ -175,7 +175,24 @@ def test_contamination_equals_brute_force(spark):
 
 
 def test_contamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(contamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", 0)
     d = spark.createDataFrame([(1, "x a b c d e f y"), (2, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "a b c d e f")], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.n_shared) for r in contamination.contaminated(d, b).collect()] == [(1, 7, 2)]
+
+
+def test_items_without_an_id_or_of_one_id_are_all_found(spark):
+    """Each row of the benchmark is an item of its own, in the operator and in the SQL."""
+    import duckdb
+
+    a, b, c = ("a1 a2 a3 a4 a5 a6 a7", "b1 b2 b3 b4 b5 b6 b7 b8", "c1 c2 c3 c4 c5 c6")
+    rows, wanted = [(1, f"x {a} y"), (2, f"{b} z"), (3, c), (4, f"{a} {b} {c}")], [(None, a), (7, b), (7, c), (7, c), (None, None)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(wanted, "item_id long, text string")
+    found = contamination.contaminated(docs, items)
+    assert sorted((r.doc_id, r.item_id or 0, r.n_item) for r in found.collect()) == [(1, 0, 3), (2, 7, 4), (3, 7, 2), (4, 0, 3), (4, 7, 2), (4, 7, 4)]
+    con = duckdb.connect()
+    for name, columns, listed in (("documents", "doc_id BIGINT, text VARCHAR", rows), ("benchmark", "item_id BIGINT, text VARCHAR", wanted)):
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", listed)
+    told = con.execute(f"SELECT doc_id, coalesce(item_id, 0), n_item FROM ({contamination.OP2_SQL}) ORDER BY ALL").fetchall()
+    assert told == [(1, 0, 3), (2, 7, 4), (3, 7, 2), (4, 0, 3), (4, 7, 2), (4, 7, 4)]

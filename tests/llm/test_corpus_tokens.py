@@ -141,6 +141,20 @@ def test_chat_round_trip(spark):
         assert row.formatted.count("### ") == 1 + sum(a[0] != b[0] for a, b in zip(expected[row.conv_id], expected[row.conv_id][1:]))
 
 
+def test_one_conversation_of_a_hundred_thousand_turns(spark):
+    """Time grows with the turns, not with their square."""
+    F = chat_format.F
+    n = 100_000
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("t<"), F.col("id").cast("string")).alias("text"),
+    )
+    done = chat_format.format_conversations(turns)
+    row = done.select(F.size(chat_format.read_turns(F.col("formatted"))).alias("n"), F.size("loss").alias("spans"), chat_format.read_loss(F.col("formatted"), F.col("loss")).alias("text")).first()
+    assert row.n == n and row.spans == sum(i % 3 > 0 for i in range(n))
+    assert row.text == "".join(f"t<{i}" for i in range(n) if i % 3)
+
+
 def test_chat_nulls_ties_and_empty_tables(spark):
     rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, None, None, None), (None, 0, "assistant", "x"), (None, 0, "assistant", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS formatted", "2 AS name")

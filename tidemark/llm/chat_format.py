@@ -1,7 +1,8 @@
 r"""Chat formatting with Spark expressions only.
 
 The turns of a conversation are collected as structs and sorted by turn; ties go by role and text, null turns come
-first. One array aggregation merges adjacent turns of a role into a block and notes where assistant texts lie:
+first. Adjacent turns of a role are merged into a block, and array aggregations note where assistant texts lie. These go
+over runs of ``RUN`` turns and then over the runs, so no growing array is copied once per turn:
 
     ### Assistant: first text<turn>second text</turn>\n
 
@@ -10,8 +11,8 @@ written ``\\``, ``<`` is ``\l`` and ``#`` is ``\h`` (in names ``:`` is ``\c``),
 and ``read_turns`` gets every turn back.
 
 Null texts are empty, null roles are empty names. A conversation is one row of the result, that without id too;
-repeated rows are turns of their own; an empty table gives an empty result; further columns are not read. What is
-gathered in one row is the conversation, which is the output itself.
+repeated rows are turns of their own; an empty table gives an empty result; further columns are not read; long texts
+are formatted whole. What is gathered in one row is the conversation, which is the output itself.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, PART = "### ", "</turn>\n", "<turn>"
 ASSISTANT = "assistant"
-STATE = "struct<pos:bigint,role:string,pieces:array<string>,loss:array<struct<start:bigint,length:bigint>>>"
+RUN = 256  # turns that one aggregation goes over
+SPANS = "array<struct<start:bigint,length:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -59,21 +61,51 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.struct(F.col("turn"), role.alias("role"), text.alias("text"), role_name(role).alias("name"), escape(text).alias("body")).alias("_turn"),
     )
     gathered = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
-    start = F.struct(F.lit(0), F.lit(None), F.array(), F.array()).cast(STATE)
 
-    def add(state: Column, turn: Column) -> Column:
-        same = F.coalesce(state["role"] == turn["role"], F.lit(False))
-        before = F.when(state["pos"] > 0, F.lit(CLOSE + OPEN)).otherwise(F.lit(OPEN))
+    def with_control(turn: Column, i: Column) -> Column:
+        same = (i > 0) & F.coalesce(F.get("_turns", i - 1)["role"] == turn["role"], F.lit(False))
+        before = F.when(i > 0, F.lit(CLOSE + OPEN)).otherwise(F.lit(OPEN))
         control = F.when(same, F.lit(PART)).otherwise(F.concat(before, turn["name"], F.lit(": ")))
-        begin, length = state["pos"] + F.length(control), F.length(turn["body"])
-        span = F.array(F.struct(begin.alias("start"), length.cast("long").alias("length")))
-        loss = F.when(turn["role"] == ASSISTANT, F.concat(state["loss"], span)).otherwise(state["loss"])
-        pieces = F.concat(state["pieces"], F.array(control, turn["body"]))
-        return F.struct(begin + length, turn["role"], pieces, loss).cast(STATE)
+        return F.struct(control.alias("control"), turn["body"].alias("body"), (turn["role"] == ASSISTANT).alias("learned"))
+
+    marked = gathered.select("conv_id", F.transform("_turns", with_control).alias("_turns"))
+    spelled = marked.select("conv_id", "_turns", runs_of(F.col("_turns")).alias("_runs"))
+    placed = spelled.select("conv_id", "_turns", F.transform("_runs", place_spans).alias("_placed"))
+    starts = F.aggregate(
+        "_placed",
+        F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<bigint>").alias("starts")),
+        lambda state, run: F.struct((state["next"] + run["length"]).alias("next"), F.concat(state["starts"], F.array(state["next"])).alias("starts")),
+    )["starts"]
+
+    def moved(run: Column, start: Column) -> Column:
+        return F.transform(run["loss"], lambda span: F.struct((span["start"] + start).alias("start"), span["length"].alias("length")))
+
+    pieces = F.flatten(F.transform("_turns", lambda turn: F.array(turn["control"], turn["body"])))
+    return placed.select(
+        "conv_id",
+        F.concat(F.array_join(pieces, ""), F.lit(CLOSE)).alias("formatted"),
+        F.flatten(F.zip_with("_placed", starts, moved)).alias("loss"),
+    )
 
-    formatted = gathered.select("conv_id", F.aggregate("_turns", start, add).alias("_state"))
-    whole = F.concat(F.array_join("_state.pieces", ""), F.lit(CLOSE))
-    return formatted.select("conv_id", whole.alias("formatted"), F.col("_state.loss").alias("loss"))
+
+def runs_of(items: Column) -> Column:
+    """An array in slices of ``RUN``."""
+    last = F.greatest(F.floor((F.size(items) - 1) / F.lit(RUN)), F.lit(-1)).cast("int")
+    numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: F.slice(items, k * RUN + 1, RUN))
+
+
+def place_spans(run: Column) -> Column:
+    """The length of a run of turns in the output, and the assistant's texts in it, counted from its begin."""
+    nothing = F.struct(F.lit(0).cast("long").alias("length"), F.array().cast(SPANS).alias("loss"))
+
+    def add(state: Column, turn: Column) -> Column:
+        begin, length = state["length"] + F.length(turn["control"]), F.length(turn["body"]).cast("long")
+        span = F.array(F.struct(begin.alias("start"), length.alias("length")))
+        loss = F.when(turn["learned"], F.concat(state["loss"], span)).otherwise(state["loss"])
+        return F.struct((begin + length).alias("length"), loss.alias("loss"))
+
+    return F.aggregate(run, nothing, add)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -90,8 +122,15 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped. The text is cut once per run of spans, and each span from its run's part."""
+
+    def texts_of(run: Column) -> Column:
+        start, last = F.get(run, F.lit(0))["start"], F.element_at(run, -1)
+        region = F.substr(formatted, start + 1, last["start"] + last["length"] - start)
+        cut = F.transform(F.array(region), lambda part: F.transform(run, lambda s: unescape(F.substr(part, s["start"] - start + 1, s["length"]))))
+        return F.array_join(F.get(cut, F.lit(0)), "")
+
+    return F.array_join(F.transform(runs_of(loss), texts_of), "")
 
 
 PROBE = r"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{0}' AS text FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)"
