@@ -1,8 +1,10 @@
-"""Substring dedup: words inside passages that occur more than once, by prefix-partitioned suffix trees.
+"""Substring dedup: words inside passages that occur more than once, by windows grouped under a shared block.
 
-A suffix starts at each word; trees are cut at the depth of ``window`` words, since only nodes that deep matter: the
-suffixes below such a node are the places of one repeated passage, and runs of neighbouring places are maximal repeats.
-Suffixes are told apart by 64-bit hashes of their words inside a group, and groups by a 64-bit hash of their prefix.
+The named method is prefix-partitioned suffix trees; this is a stand-in for its cut at one depth. A suffix starts at each
+word and only its first ``window`` words matter. Suffixes are partitioned by a block of words inside these (the least by
+hash, so not a prefix in the strict sense), and a 64-bit hash of the window's words, compared inside a group, stands for the
+node at that depth. No suffixes are sorted, no tree or common prefix lengths are built, and the lengths of maximal repeats
+are not found as such: they are the runs of neighbouring marked windows.
 
 1. Texts with equal word sequences form a class (128-bit digest); copies of a class repeat every window.
 2. Census of prefixes: each window is filed under its least block of ``BLOCK`` words, the same block wherever the same
@@ -17,7 +19,8 @@ Suffixes are told apart by 64-bit hashes of their words inside a group, and grou
 
 Null and empty texts, and texts with fewer words than the window, lose nothing. Classes do not use ids: rows with
 null or equal ids, and repeated rows, are handled like others (a row given twice repeats all its windows). Input columns
-named like a result are replaced. No row is dropped and no count is capped.
+named like a result are replaced. No row is dropped and no count is capped. Very long texts are read whole; a task holds a
+slice of about a megabyte of text, or one longer text, and some ten 8-byte values for each of its words.
 """
 
 from __future__ import annotations
