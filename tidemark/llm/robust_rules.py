@@ -1,17 +1,20 @@
 """Quality rules by robust multivariate outliers.
 
-Each text gives a vector of transformed statistics (``FEATURES``). For every language and source the minimum covariance
-determinant estimate of centre and scatter is found by concentration steps over all rows: from coordinate-wise medians
+Each text gives a vector of transformed statistics (``FEATURES``). For every language and source, every language and all rows
+together the minimum covariance determinant estimate of centre and scatter is found by concentration steps over all rows: from coordinate-wise medians
 and absolute deviations, the share ``core`` of rows with the least distances gives the next mean and covariance, for
 ``steps`` rounds or, without a number, until no group's border moves any more. Junk above the share 1 - ``core`` of a group
-enters the estimate and passes: the query takes half the rows, which holds against the most junk. A row is rejected where
+enters the estimate and passes: by default half the rows are taken, which holds against the most junk.
+
+An estimate from few rows is drawn towards the wider one: that of a language and source of n usable rows counts
+n / (n + ``prior``), the rest is its language's, which in turn is drawn towards that of all rows. So every row is judged for
+its language and source, whatever their size, and a verdict changes gradually as a group grows. A row is rejected where
 its squared Mahalanobis distance exceeds the ``quantile`` of chi-squared. ``FLOORS`` are added to the scatter's diagonal, so that a statistic that is constant in a group (no symbols at all) does not make every deviation
 an outlier. The steps are aggregations; one row of parameters per group is all that is joined back. It is broadcast up
 to ``BROADCAST_GROUPS`` groups, so that no row moves for its group; beyond, Spark joins by shuffling and splits large groups.
 
-Null texts have no words. Null languages and sources are groups like others; sources with fewer than ``least`` usable
-rows are pooled by language, small pools with each other; what is smaller still gives no verdict (kept unless a base
-rule fails). Repeated rows count each. Texts that fail a base rule do not shape the estimates. Columns of the input that
+Null texts have no words. Null languages and sources are groups like others. Only where no row of the table passes the
+base rules is there no estimate. Very long texts are counted whole. Repeated rows count each. Texts that fail a base rule do not shape the estimates. Columns of the input that
 are named like a result are replaced, all others but the text are carried. An empty table gives an empty result.
 """
 
@@ -33,7 +36,8 @@ from tidemark.sources.stages import write_stage
 FEATURES = ("f_size", "f_word", "f_symbol", "f_line", "f_repeat")
 FLOORS = (0.05, 0.002, 0.002, 0.05, 0.03)  # variances
 BROADCAST_GROUPS = 20_000  # of about 300 bytes each
-HALF = 0.5  # core of the query
+HALF = 0.5  # core
+PRIOR = 50  # usable rows at which a group's own estimate and the wider one count alike
 RANKS = 10_000  # accuracy of borders: their rank is wrong by at most this part of a group
 SETTLED = 1e-3  # relative change of a border that counts as none; above what RANKS leaves open
 MOST_STEPS = 100  # a guard: about 5 to 20 are taken
@@ -97,7 +101,10 @@ def distance(centre: Column, inverse: Column) -> Column:
 
 
 def inverted(moments: DataFrame, scale: float) -> DataFrame:
-    """(_group, centre, inverse, _border) of rows (_group, centre, products, _border), one per group."""
+    """(_group, centre, scatter, inverse, _border) of rows (_group, centre, products, _border), one per group.
+
+    ``scatter`` is the whole matrix row by row, without FLOORS.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(FEATURES)
@@ -107,18 +114,50 @@ def inverted(moments: DataFrame, scale: float) -> DataFrame:
             scatter = np.zeros((len(centre), size, size))
             for k, (i, j) in enumerate(PAIRS):
                 scatter[:, i, j] = scatter[:, j, i] = (products[:, k] - centre[:, i] * centre[:, j]) * scale
-            inverse = np.linalg.inv(scatter + np.diag(FLOORS))
-            flat = np.stack([inverse[:, i, j] * (1 if i == j else 2) for i, j in PAIRS], 1)
+            columns = [lists(centre), lists(scatter.reshape(len(scatter), -1)), lists(upper_inverse(scatter))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_group"), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(flat.tolist(), pa.list_(pa.float64())), batch.column("_border")],
-                names=["_group", "centre", "inverse", "_border"],
+                [batch.column("_group"), *columns, batch.column("_border")], names=["_group", "centre", "scatter", "inverse", "_border"]
             )
 
     return moments.select("_group", "centre", "products", "_border").mapInArrow(
-        run, "_group string, centre array<double>, inverse array<double>, _border double"
+        run, "_group string, centre array<double>, scatter array<double>, inverse array<double>, _border double"
     )
 
 
+def lists(rows: np.ndarray) -> pa.Array:
+    return pa.array(rows.tolist(), pa.list_(pa.float64()))
+
+
+def upper_inverse(scatter: np.ndarray) -> np.ndarray:
+    """Upper triangles of the inverses, off-diagonal entries doubled."""
+    inverse = np.linalg.inv(scatter + np.diag(FLOORS))
+    return np.stack([inverse[:, i, j] * (1 if i == j else 2) for i, j in PAIRS], 1)
+
+
+def drawn_together(labels: DataFrame, estimate: DataFrame, sizes: DataFrame, prior: float) -> DataFrame:
+    """(_group, centre, inverse) of each language and source: its own estimate, its language's and that of all rows weighed."""
+    known = estimate.join(sizes, "_group")
+    wide = labels.select("_group", "_language", F.lit(ALL).alias("_all"))
+    for level, key in enumerate(("_group", "_language", "_all")):
+        part = known.select(F.col("_group").alias("_key"), F.struct("centre", "scatter", "_rows").alias(f"level{level}"))
+        wide = wide.join(part, wide[key] == part["_key"], "left").drop("_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(FEATURES)
+        for batch in batches:
+            centres, scatters = np.zeros((batch.num_rows, size)), np.zeros((batch.num_rows, size, size))
+            for level in (2, 1, 0):
+                for i, found in enumerate(batch.column(f"level{level}").to_pylist()):
+                    if found is not None:
+                        own = 1.0 if level == 2 else found["_rows"] / (found["_rows"] + prior)
+                        centres[i] += own * (np.array(found["centre"]) - centres[i])
+                        scatters[i] += own * (np.array(found["scatter"]).reshape(size, size) - scatters[i])
+            yield pa.RecordBatch.from_arrays([batch.column("_group"), lists(centres), lists(upper_inverse(scatters))], names=["_group", "centre", "inverse"])
+
+    levels = wide.filter("level2 IS NOT NULL").select("_group", "level0", "level1", "level2")
+    return levels.mapInArrow(run, "_group string, centre array<double>, inverse array<double>")
+
+
 def sized(parameters: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(parameters) if small else parameters
 
@@ -144,23 +183,13 @@ def start(rows: DataFrame, small: bool) -> DataFrame:
     return spread.select("_group", "centre", F.array(*products).alias("products"), F.lit(None).cast("double").alias("_border"))
 
 
-def grouped(docs: DataFrame, least: int) -> DataFrame:
-    """``_group``: language and source; small sources pooled by language, small pools together; null if still small."""
-    usable = F.sum((~F.col("base_failed")).cast("long"))
-    sizes = docs.groupBy("lang", "source").agg(usable.alias("_rows"))
-    own = F.col("_rows") >= least
-    pools = sizes.filter(~own).groupBy("lang").agg(F.sum("_rows").alias("_pooled"))
-    rest = pools.filter(F.col("_pooled") < least).agg(F.sum("_pooled")).first()[0] or 0
-    joined = sizes.alias("s").join(pools.alias("p"), F.col("s.lang").eqNullSafe(F.col("p.lang")), "left")
-    name = F.to_json(F.struct(F.col("s.lang").alias("lang"), F.col("s.source").alias("source")))
-    pool = F.to_json(F.struct(F.col("s.lang").alias("lang"), F.lit(True).alias("pool")))
-    named = joined.select(
-        F.col("s.lang").alias("_l"),
-        F.col("s.source").alias("_s"),
-        F.when(own, name).when(F.col("_pooled") >= least, pool).when(F.lit(rest >= least), F.lit("rest")).alias("_group"),
-    )
-    same = docs["lang"].eqNullSafe(named["_l"]) & docs["source"].eqNullSafe(named["_s"])
-    return docs.join(named, same, "left").drop("_l", "_s")
+ALL = "all"
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """``_group`` (language and source) and ``_language``, as JSON texts; null languages and sources are labels too."""
+    name = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
+    return docs.withColumns({"_group": name, "_language": F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})})
 
 
 def few(rows: DataFrame, small: bool) -> DataFrame:
@@ -174,13 +203,14 @@ def settled(estimate: DataFrame, last: DataFrame) -> bool:
 
 
 def quality_rules(
-    docs: DataFrame, core: float = 0.75, quantile: float = 0.99999, steps: int | None = 3, least: int = 100
+    docs: DataFrame, core: float = HALF, quantile: float = 0.99999, steps: int | None = None, prior: float = PRIOR
 ) -> DataFrame:
-    """The columns of ``docs`` but the text, and COUNTS, base_failed, distance2 (null without a verdict) and kept."""
+    """The columns of ``docs`` but the text, and COUNTS, base_failed, distance2 (null without an estimate) and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = with_counts(docs.drop("base_failed", "distance2", "kept")).withColumn("base_failed", failed)
-    named = write_stage(grouped(write_stage(counted, "quality_counts"), least).withColumns(features()), "quality_vectors")
-    fit = named.filter(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", *FEATURES)
+    named = write_stage(labelled(counted).withColumns(features()), "quality_vectors")
+    usable = named.filter(~F.col("base_failed"))
+    fit = usable.select(F.explode(F.array("_group", "_language", F.lit(ALL))).alias("_group"), *FEATURES)
     factor = consistency(core, len(FEATURES))
     small = named.select("_group").distinct().count() <= BROADCAST_GROUPS
     estimate = write_stage(inverted(few(start(fit, small), small), 1.0), "quality_start")
@@ -194,15 +224,18 @@ def quality_rules(
     else:
         if steps is None:
             warnings.warn(f"borders still move after {MOST_STEPS} steps", stacklevel=2)
-    judged = named.join(sized(estimate, small), "_group", "left")
+    sizes = fit.groupBy("_group").agg(F.count("*").alias("_rows"))
+    labels = usable.select("_group", "_language").distinct()
+    final = write_stage(drawn_together(labels, estimate, sizes, prior), "quality_estimates")
+    judged = named.join(sized(final, small), "_group", "left")
     squared = distance(F.col("centre"), F.col("inverse"))
     limit = chi2_quantile(quantile, len(FEATURES))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))
     out = judged.withColumn("distance2", squared).withColumn("kept", verdict)
-    return out.drop("centre", "inverse", "_border", "_group", *FEATURES)
+    return out.drop("centre", "inverse", "_group", "_language", *FEATURES)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    ruled = quality_rules(docs, core=HALF, steps=None)
+    ruled = quality_rules(docs)
     return ruled.select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
