@@ -1461,18 +1461,28 @@ def _(w):
     )
 
 
+REPORT_KEYS = {"entity": "exchange lower(symbol) window_mode window_label", "pair": "symbol_key exchange_pair window_mode window_label", "change": "exchange lower(symbol) metric_name from_bucket to_bucket"}
+
+
+def unmatched_sql(name: str, keys: str) -> str:
+    key = f"concat_ws('|', event_id, {', '.join(keys.split())})"
+    return f"""SELECT '{name}' AS report, row_key, CASE WHEN bool_or(mine) THEN 'event_only' ELSE 'normal_only' END AS unmatched
+        FROM (SELECT {key} AS row_key, true AS mine FROM o_{name} UNION ALL SELECT {key}, false FROM c_{name})
+        GROUP BY 1, 2 HAVING bool_and(mine) OR NOT bool_or(mine)"""
+
+
 @register(
     "unmatched_keys",
-    kinds(s="event_id symbol_key exchange_pair window_mode window_label unmatched"),
+    kinds(s="report row_key unmatched"),
     COMPARED,
-    """(SELECT event_id, symbol_key, exchange_pair, window_mode, window_label,
-        CASE WHEN bool_or(mine) THEN 'event_only' ELSE 'normal_only' END AS unmatched
-        FROM (SELECT event_id, symbol_key, exchange_pair, window_mode, window_label, true AS mine FROM o_pair
-              UNION ALL SELECT event_id, symbol_key, exchange_pair, window_mode, window_label, false FROM c_pair)
-        GROUP BY 1, 2, 3, 4, 5 HAVING bool_and(mine) OR NOT bool_or(mine))""",
+    "(" + " UNION ALL ".join(unmatched_sql(name, keys) for name, keys in REPORT_KEYS.items()) + ")",
 )
 def _(w):
-    return compare.unmatched_keys(w.own["pair"], w.other["pair"], compare.REPORTS["pair"])
+    parts = []
+    for name, report in compare.REPORTS.items():
+        left = compare.unmatched_keys(w.own[name], w.other[name], report)
+        parts.append(left.select(F.lit(name).alias("report"), F.concat_ws("|", "event_id", *report.keys).alias("row_key"), "unmatched"))
+    return compare.union_reports(parts)
 
 
 ROWS_PER_EVENT = contracts.expected_comparison_rows(1, len(FINE.exchanges))
@@ -1862,14 +1872,39 @@ def _(w):
     return summaries.top_diff_reconcile(w.comparison, w.final["top_diffs"], FINE.top_n + 1)
 
 
+METADATA = ("window_id", "event_id", "direction")
+# Tables whose rows must stem from the same windows, or events, with the same direction.
+SAME_METADATA = {
+    "own_pair": ("o_entity", "o_pair", METADATA),
+    "own_change": ("o_entity", "o_change", METADATA),
+    "control_pair": ("c_entity", "c_pair", METADATA),
+    "control_change": ("c_entity", "c_change", METADATA),
+    "own_control": ("o_entity", "c_entity", METADATA[1:]),
+}
+
+
+def mismatch_sql(name: str, left: str, right: str, columns: tuple[str, ...]) -> str:
+    listed = ", ".join(columns)
+    sides = " UNION ALL ".join(
+        f"SELECT '{name}' AS tables, concat_ws('|', {listed}) AS row_key, '{side}' AS only_in FROM (SELECT {listed} FROM {one} EXCEPT SELECT {listed} FROM {other})"
+        for side, one, other in (("left", left, right), ("right", right, left))
+    )
+    return sides
+
+
 @register(
     "expect_same_metadata",
-    kinds(s="event_id only_in"),
-    STUDY,
-    """(SELECT event_id, 'left' AS only_in FROM evt WHERE event_id NOT IN (SELECT event_id FROM kept_controls))""",
+    kinds(s="tables row_key only_in"),
+    COMPARED,
+    "(" + " UNION ALL ".join(mismatch_sql(name, *parts) for name, parts in SAME_METADATA.items()) + ")",
 )
 def _(w):
-    return contracts.metadata_mismatches(w.own["entity"], w.other["entity"], ["event_id"])
+    tables = {f"{side}_{name}": table for side, held in (("o", w.own), ("c", w.other)) for name, table in held.items()}
+    found = []
+    for name, (left, right, columns) in SAME_METADATA.items():
+        differing = contracts.metadata_mismatches(tables[left], tables[right], columns)
+        found.append(differing.select(F.lit(name).alias("tables"), F.concat_ws("|", *columns).alias("row_key"), "only_in"))
+    return compare.union_reports(found)
 
 
 @register(
@@ -1888,9 +1923,22 @@ def _(w):
     )
 
 
-@register("expect_curated", kinds(s="metric_name", b="present"), EVENT_PROFILES, "(SELECT DISTINCT metric_name, true AS present FROM o_tiles)")
+CURATED = ", ".join(f"('{name}', '{source}')" for name, source in profiles.CHANGE_SOURCES.items())
+
+
+@register(
+    "expect_curated",
+    kinds(s="metric_name source", b="present", i="row_count"),
+    EVENT_PROFILES,
+    f"""(SELECT c.metric_name, c.source, count(t.metric_name) > 0 AS present, count(t.metric_name) AS row_count
+        FROM (VALUES {CURATED}) c(metric_name, source) LEFT JOIN o_change t USING (metric_name) GROUP BY 1, 2)""",
+)
 def _(w):
-    """Curated change metrics against those the profile rows really hold."""
+    """Each curated change metric: whether its source is a column of the profile and rows of it exist."""
     missing = contracts.expect_curated(w.own["entity"], profiles.CHANGE_SOURCES.values())
-    seen = w.own["change"].select("metric_name").distinct()
-    return seen.withColumn("present", F.lit(not missing))
+    curated = w.spark.createDataFrame(list(profiles.CHANGE_SOURCES.items()), "metric_name string, source string")
+    seen = w.own["change"].groupBy("metric_name").agg(F.count(F.lit(1)).alias("row_count"))
+    rows = F.coalesce("row_count", F.lit(0))
+    return curated.join(seen, "metric_name", "left").select(
+        "metric_name", "source", (~F.col("source").isin(*missing, "") & (rows > 0)).alias("present"), rows.alias("row_count")
+    )

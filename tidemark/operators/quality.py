@@ -73,17 +73,17 @@ def latency_profile(ticks: DataFrame) -> DataFrame:
 VALUES = ("price", "qty")
 
 
+STATS = ("lo", "hi", "total", "present", "nulls", "non_positive")
+
+
+def _stats(value: Column) -> dict[str, Column]:
+    counts = (F.min(value), F.max(value), F.sum(value), F.count(value), F.count_if(value.isNull()), F.count_if(value <= 0))
+    return dict(zip(STATS, counts, strict=True))
+
+
 def _measured(name: str) -> Column:
-    value = F.col(name).cast("double")
-    return F.struct(
-        F.lit(name).alias("column_name"),
-        F.min(value).alias("lo"),
-        F.max(value).alias("hi"),
-        F.sum(value).alias("total"),
-        F.count(value).alias("present"),
-        F.count_if(value.isNull()).alias("nulls"),
-        F.count_if(value <= 0).alias("non_positive"),
-    )
+    stats = _stats(F.col(name).cast("double"))
+    return F.struct(F.lit(name).alias("column_name"), *[column.alias(stat) for stat, column in stats.items()])
 
 
 def _value_levels(base: DataFrame) -> DataFrame:
@@ -314,33 +314,38 @@ def profile_ticks(
 ) -> dict[str, DataFrame]:
     """The data-quality report on ticks, in four passes over them.
 
-    One aggregate per bucket, venue, symbol and side is kept as a stage table: counts, categories, values, nulls, density,
-    gaps and the edges of the sequence check roll up from it. Latency quantiles, duplicates and the sequence check
+    One aggregate per bucket, venue, symbol and side is kept as a stage table, and the few rows it rolls up to per venue,
+    symbol and side: counts, categories, values, nulls, density, gaps and the edges of the sequence check come from these. Latency quantiles, duplicates and the sequence check
     take a pass each.
     """
     numbered = F.col("seq").cast("long")
+    counted = {f"nulls_{name}": column for name, column in zip(ticks.columns, _null_counts(ticks, ticks.columns), strict=True)}
+    for name in VALUES:
+        counted |= {f"{stat}_{name}": column for stat, column in _stats(F.col(name).cast("double")).items()}
     cells = stage(
         ticks.withColumn("bucket", bucket_index(F.col("ts_event"), bucket_seconds))
         .groupBy("bucket", *ENTITY, "side")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.array(*[_measured(name) for name in VALUES]).alias("measured"),
-            F.struct(*_null_counts(ticks, ticks.columns)).alias("nulls"),
             F.count(numbered).alias("numbered"),
             F.first(numbered, ignorenulls=True).alias("mark"),
+            *[column.alias(name) for name, column in counted.items()],
         ),
         "tick_cells",
     )
+    merged = [(F.min if name.startswith("lo_") else F.max if name.startswith("hi_") else F.sum)(name).alias(name) for name in counted]
+    base = stage(cells.groupBy(*ENTITY, "side").agg(F.sum("rows").alias("rows"), *merged), "tick_base")
+    measured = F.array(*[F.struct(F.lit(name).alias("column_name"), *[F.col(f"{stat}_{name}").alias(stat) for stat in STATS]) for name in VALUES])
     active = cells.groupBy("bucket", *ENTITY).agg(F.sum("rows").alias("trade_count"))
     marks = cells.filter(F.col("mark").isNotNull()).select(*ENTITY, F.col("numbered").alias("rows"), "mark")
     edges = stage(sequence_edges(marks, chunk_rows), "sequence_edges")
-    null_sums = cells.agg(*[F.sum(f"nulls.{name}").alias(name) for name in ticks.columns])
+    null_sums = base.agg(*[F.sum(f"nulls_{name}").alias(name) for name in ticks.columns])
     return {
-        "counts": _count_levels(cells.groupBy(*ENTITY).agg(F.sum("rows").alias("rows"))),
+        "counts": _count_levels(base),
         "latency": latency_profile(ticks),
-        "values": _value_levels(cells),
+        "values": _value_levels(base.withColumn("measured", measured)),
         "nulls": null_sums.unpivot([], ticks.columns, "column_name", "null_count"),
-        "categories": _category_levels(cells, "side"),
+        "categories": _category_levels(base, "side"),
         "duplicates": duplicate_profile(ticks),
         "sequence": seq_order_check(ticks, edges=edges),
         "density": _density(active),
