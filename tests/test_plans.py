@@ -17,7 +17,12 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The whole plan: long lists of aggregates are not cut short."""
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.debug.maxToStringFields")
 
 
 @pytest.fixture
