@@ -3,7 +3,7 @@
 import duckdb
 
 from registry import queries
-from tidemark.operators import contracts
+from tidemark.operators import contracts, summaries
 
 
 def test_domain_sql_counts_values_never_seen(spark):
@@ -17,3 +17,17 @@ def test_domain_sql_counts_values_never_seen(spark):
         table = spark.createDataFrame([(group,) for group in groups], "metric_group string")
         row = contracts.check(table, [contracts.expect_domain("metric_group", domain)]).first()
         assert con.execute(f"SELECT {queries.DOMAIN_OBSERVED} FROM comparison").fetchone() == (row["observed"],)
+
+
+def test_status_counts_sql_of_no_and_some_events(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE chosen (event_id VARCHAR, direction VARCHAR)")
+    controls = spark.createDataFrame([], "event_id string")
+    for directions in ([], ["UP"], ["UP", "DOWN", "UP"]):
+        con.execute("DELETE FROM chosen")
+        rows = [(f"e{i}", i, direction) for i, direction in enumerate(directions)]
+        for event_id, _, direction in rows:
+            con.execute("INSERT INTO chosen VALUES (?, ?)", [event_id, direction])
+        events = spark.createDataFrame(rows, "event_id string, event_rank int, direction string")
+        made = summaries.status_counts(summaries.status_join(events, controls)).count()
+        assert con.execute(f"SELECT {queries.STATUS_COUNTS} FROM chosen").fetchone() == (made,)
