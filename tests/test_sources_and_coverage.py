@@ -298,3 +298,28 @@ def test_the_tick_report_equals_its_single_profiles(spark):
     assert list(report) == list(single)
     for name, profile in single.items():
         assert sorted(map(repr, report[name].collect())) == sorted(map(repr, profile(ticks).collect())), name
+
+
+def test_quantiles_of_many_latencies_and_counts_are_order_statistics(spark):
+    n = 150_001
+    latency = F.pmod(F.col("id") * 7_919, F.lit(n)) * F.col("id") % 1_000_003
+    numbered = spark.range(0, n, 1, 6).select("id", latency.alias("l"))
+    ticks = numbered.select(
+        F.lit("a").alias("exchange"), F.lit("S").alias("symbol"), F.timestamp_micros(F.lit(0).cast("long")).alias("ts_event"), F.timestamp_micros("l").alias("ts_recv")
+    )
+    ordered = sorted(row.l for row in numbered.collect())
+    expected = [ordered[-(-n * percent // 100) - 1] / 1000.0 for percent in (50, 95, 99)]
+    made = Q.latency_profile(ticks).first()
+    assert [made.p50, made.p95, made.p99] == expected
+    active = numbered.select(
+        F.lit(None).cast("string").alias("exchange"), F.lit("S").alias("symbol"), F.col("id").alias("bucket"), F.col("l").alias("trade_count")
+    )
+    made = Q._density(active, lambda df, name: df.localCheckpoint()).first()
+    assert [made.p50 / 1000.0, made.p95 / 1000.0, made.p99 / 1000.0] == expected
+
+
+def test_latency_without_rows_or_receive_times_is_null(spark):
+    schema = "exchange string, symbol string, ts_event timestamp, ts_recv timestamp"
+    for rows in ([], [("a", "S", at("2026-04-23 00:00:00"), None)]):
+        made = Q.latency_profile(spark.createDataFrame(rows, schema)).collect()
+        assert [(row.avg_latency_ms, row.p50, row.p99) for row in made] == [(None, None, None)]

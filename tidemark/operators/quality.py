@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.timeaxis import bucket_date, bucket_index, floor_div
 from tidemark.operators.ordered import Step, summarise_steps
@@ -21,12 +22,47 @@ def _level(names: Sequence[str]) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("_", *kept), F.lit("")), F.lit("all"))
 
 
-def _quantiles(column: str) -> Column:
-    return F.percentile_approx(column, [0.5, 0.95, 0.99], ACCURACY)
+PERCENTS = {"p50": 50, "p95": 95, "p99": 99}
+CELLS = 64  # equi-depth cells of a sequence; each is cut further by its width where it holds too many rows
+
+
+def _with_cell(df: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
+    """``_cell`` of each row's value: a binary search of its ``edges``, the lower edges of ``cells`` cells."""
+    placed = df.withColumn("_cell", F.lit(0))
+    step = cells // 2
+    while step:
+        further = F.col(value) >= F.get("edges", F.col("_cell") + step)
+        placed = placed.withColumn("_cell", F.col("_cell") + F.when(further, step).otherwise(0))
+        step //= 2
+    return placed
+
 
+def exact_quantiles(counted: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(_key, p50, p95, p99): the least value of each key that so many percent of its rows do not exceed.
 
-def _unpack(values: str) -> list[Column]:
-    return [F.col(values)[index].alias(name) for index, name in enumerate(("p50", "p95", "p99"))]
+    ``counted`` has one row per key and value, with how many ``rows`` have it; ``_key`` is ``key_of(keys)``. Values are
+    cut into equi-depth cells by approximate edges and ranks are counted from cell to cell, so only the cells that hold a
+    quantile are put in order. The edges cut the work; the results do not depend on them.
+    """
+    present = counted.filter(F.col(value).isNotNull()).select(key_of(keys), value, "rows")
+    inner = F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], ACCURACY)
+    edges = present.groupBy("_key").agg(F.concat(F.array(F.min(value)), inner).alias("edges"))
+    placed = _with_cell(present.join(edges, "_key"), value).drop("edges")
+    along = Window.partitionBy("_key").orderBy("_cell")
+    cells = placed.groupBy("_key", "_cell").agg(F.sum("rows").alias("_in"))
+    cells = cells.withColumns({"_upto": F.sum("_in").over(along), "_all": F.sum("_in").over(Window.partitionBy("_key"))})
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), F.expr(f"(_all * {n} + 99) div 100").alias("_rank")) for name, n in PERCENTS.items()])
+    ranks = cells.select("*", F.inline(wanted)).filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_in")))
+    ranks = ranks.select("_key", "_cell", "_name", (F.col("_rank") - F.col("_upto") + F.col("_in")).alias("_rank"))
+    inside = Window.partitionBy("_key", "_cell", "_name").orderBy(value)
+    reached = placed.join(ranks, ["_key", "_cell"]).withColumn("_upto", F.sum("rows").over(inside))
+    found = reached.filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("rows")))
+    return found.groupBy("_key").agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in PERCENTS])
+
+
+def key_of(keys: Sequence[str]) -> Column:
+    """Keys as one struct, which is never null and so joins by plain equality."""
+    return (F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))).alias("_key")
 
 
 def _count_levels(base: DataFrame) -> DataFrame:
@@ -50,24 +86,28 @@ def count_profile(ticks: DataFrame) -> DataFrame:
     return _count_levels(ticks.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("rows")))
 
 
-def latency_profile(ticks: DataFrame) -> DataFrame:
-    """Time range and receive-minus-event latency in milliseconds."""
-    latency = (F.unix_micros("ts_recv") - F.unix_micros("ts_event")) / F.lit(1000.0)
-    return (
-        ticks.withColumn("latency_ms", latency)
-        .agg(
-            F.min("ts_event").alias("min_ts_event"),
-            F.max("ts_event").alias("max_ts_event"),
-            F.min("ts_recv").alias("min_ts_recv"),
-            F.max("ts_recv").alias("max_ts_recv"),
-            F.min("latency_ms").alias("min_latency_ms"),
-            F.max("latency_ms").alias("max_latency_ms"),
-            F.avg("latency_ms").alias("avg_latency_ms"),
-            _quantiles("latency_ms").alias("_q"),
-        )
-        .select("*", *_unpack("_q"))
-        .drop("_q")
+def latency_profile(ticks: DataFrame, stage: Stage = write_stage) -> DataFrame:
+    """Time range and receive-minus-event latency in milliseconds, with exact quantiles.
+
+    Rows are aggregated once, per latency (a table kept by ``stage``); everything else follows from these.
+    """
+    times = [ends(name).alias(f"{label}_{name}") for name in ("ts_event", "ts_recv") for label, ends in (("min", F.min), ("max", F.max))]
+    latency = F.unix_micros("ts_recv") - F.unix_micros("ts_event")
+    counted = stage(ticks.groupBy(latency.alias("latency")).agg(F.count(F.lit(1)).alias("rows"), *times), "latencies")
+    ms = F.col("latency") / F.lit(1000.0)
+    rows = F.when(F.col("latency").isNotNull(), F.col("rows"))
+    profile = counted.agg(
+        F.min("min_ts_event").alias("min_ts_event"),
+        F.max("max_ts_event").alias("max_ts_event"),
+        F.min("min_ts_recv").alias("min_ts_recv"),
+        F.max("max_ts_recv").alias("max_ts_recv"),
+        F.min(ms).alias("min_latency_ms"),
+        F.max(ms).alias("max_latency_ms"),
+        F.try_divide(F.sum(ms * rows), F.sum(rows)).alias("avg_latency_ms"),
     )
+    quantiles = exact_quantiles(counted, [], "latency")
+    joined = profile.withColumn("_key", key_of([])).join(quantiles, "_key", "left").drop("_key")
+    return joined.withColumns({name: F.col(name) / F.lit(1000.0) for name in PERCENTS})
 
 
 VALUES = ("price", "qty")
@@ -177,7 +217,6 @@ def duplicate_examples(ticks: DataFrame, keys: Sequence[str], n: int = 20) -> Da
     return _duplicates(ticks, keys).orderBy(F.col("row_count").desc(), *keys).limit(n)
 
 
-CELLS = 64  # equi-depth cells of a sequence; each is cut further by its width where it holds too many rows
 MARK_SECONDS = 60
 
 
@@ -214,12 +253,7 @@ def sequence_edges(marks: DataFrame, chunk_rows: int, cells: int = CELLS) -> Dat
 
 def _with_cells(numbered: DataFrame, edges: DataFrame, cells: int = CELLS) -> DataFrame:
     """``_cell`` and ``_part`` of each row's sequence number: a binary search of its key's edges, then equal widths."""
-    placed = numbered.join(edges, list(ENTITY), "left").withColumn("_cell", F.lit(0))
-    step = cells // 2
-    while step:
-        further = F.col("_seq") >= F.get("edges", F.col("_cell") + step)
-        placed = placed.withColumn("_cell", F.col("_cell") + F.when(further, step).otherwise(0))
-        step //= 2
+    placed = _with_cell(numbered.join(edges, list(ENTITY), "left"), "_seq", cells)
     low, high = F.get("edges", F.col("_cell")), F.get("edges", F.col("_cell") + 1)
     inner = F.col("cuts") * ((F.col("_seq").cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double")))
     part = F.when((F.col("cuts") > 1) & (F.col("_cell") > 0) & high.isNotNull() & (high > low), F.least(F.floor(inner), F.col("cuts") - 1))
@@ -259,26 +293,27 @@ def _active_buckets(ticks: DataFrame, bucket_seconds: float) -> DataFrame:
     )
 
 
-def _density(active: DataFrame) -> DataFrame:
-    return (
-        active.groupBy(*ENTITY)
-        .agg(
-            F.min("trade_count").alias("min_trade_count"),
-            F.max("trade_count").alias("max_trade_count"),
-            F.avg("trade_count").alias("avg_trade_count"),
-            _quantiles("trade_count").alias("_q"),
-            F.min("bucket").alias("min_bucket"),
-            F.max("bucket").alias("max_bucket"),
-            F.count(F.lit(1)).alias("active_bucket_count"),
-        )
-        .select("*", *_unpack("_q"))
-        .drop("_q")
+def _density(active: DataFrame, stage: Stage) -> DataFrame:
+    """One row per venue, symbol and trade count is kept; the profile, with its exact quantiles, follows from these."""
+    range_of = (F.min("bucket").alias("min_bucket"), F.max("bucket").alias("max_bucket"))
+    counted = stage(active.groupBy(*ENTITY, "trade_count").agg(F.count(F.lit(1)).alias("rows"), *range_of), "densities")
+    profile = counted.groupBy(*ENTITY).agg(
+        F.min("trade_count").alias("min_trade_count"),
+        F.max("trade_count").alias("max_trade_count"),
+        (F.sum(F.col("trade_count") * F.col("rows")) / F.sum("rows")).alias("avg_trade_count"),
+        F.min("min_bucket").alias("min_bucket"),
+        F.max("max_bucket").alias("max_bucket"),
+        F.sum("rows").alias("active_bucket_count"),
+    )
+    joined = profile.withColumn("_key", key_of(ENTITY)).join(exact_quantiles(counted, ENTITY, "trade_count"), "_key")
+    return joined.select(
+        *ENTITY, "min_trade_count", "max_trade_count", "avg_trade_count", "min_bucket", "max_bucket", "active_bucket_count", *PERCENTS
     )
 
 
-def density_profile(ticks: DataFrame, bucket_seconds: float = 1) -> DataFrame:
+def density_profile(ticks: DataFrame, bucket_seconds: float = 1, stage: Stage = write_stage) -> DataFrame:
     """Ticks per active bucket, per venue and symbol."""
-    return _density(_active_buckets(ticks, bucket_seconds))
+    return _density(_active_buckets(ticks, bucket_seconds), stage)
 
 
 def _gaps(active: DataFrame, thresholds: Sequence[int], chunk_buckets: int) -> DataFrame:
@@ -315,7 +350,7 @@ def profile_ticks(
     """The data-quality report on ticks, in four passes over them.
 
     One aggregate per bucket, venue, symbol and side is kept as a stage table, and the few rows it rolls up to per venue,
-    symbol and side: counts, categories, values, nulls, density, gaps and the edges of the sequence check come from these. Latency quantiles, duplicates and the sequence check
+    symbol and side: counts, categories, values, nulls, density, gaps and the edges of the sequence check come from these. Latencies, duplicates and the sequence check
     take a pass each.
     """
     numbered = F.col("seq").cast("long")
@@ -342,13 +377,13 @@ def profile_ticks(
     null_sums = base.agg(*[F.sum(f"nulls_{name}").alias(name) for name in ticks.columns])
     return {
         "counts": _count_levels(base),
-        "latency": latency_profile(ticks),
+        "latency": latency_profile(ticks, stage),
         "values": _value_levels(base.withColumn("measured", measured)),
         "nulls": null_sums.unpivot([], ticks.columns, "column_name", "null_count"),
         "categories": _category_levels(base, "side"),
         "duplicates": duplicate_profile(ticks),
         "sequence": seq_order_check(ticks, edges=edges),
-        "density": _density(active),
+        "density": _density(active, stage),
         "gaps": _gaps(active, GAP_LIMITS, 86_400),
     }
 
