@@ -299,3 +299,19 @@ def test_pipeline_run_agrees_with_its_stages(spark):
     judged = near_duplicates.near_duplicates(corpus_pipeline.identify_language(spark, docs, SF))
     assert {p.doc_id for p in pieces} <= {r.doc_id for r in judged.filter("kept").collect()}
     assert repeats.repeated_words(docs).count() == docs.count()
+
+
+def test_the_estimate_of_all_rows_joins_without_a_product_of_partitions(spark):
+    labels = spark.createDataFrame([("g", "l")], "_group string, _language string")
+    size = len(robust_rules.FEATURES)
+    known = [(key, [0.0] * size, [0.0] * size**2) for key in ("g", "l", robust_rules.ALL)]
+    estimate = spark.createDataFrame(known, "_group string, centre array<double>, scatter array<double>")
+    sizes = spark.createDataFrame([(row[0], 10) for row in known], "_group string, _rows long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawn = robust_rules.drawn_together(labels, estimate, sizes, 50)
+        assert "CartesianProduct" not in drawn._jdf.queryExecution().executedPlan().toString()
+        assert [row["_group"] for row in drawn.collect()] == ["g"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

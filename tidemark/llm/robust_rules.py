@@ -140,6 +140,8 @@ def drawn_together(labels: DataFrame, estimate: DataFrame, sizes: DataFrame, pri
     wide = labels.select("_group", "_language", F.lit(ALL).alias("_all"))
     for level, key in enumerate(("_group", "_language", "_all")):
         part = known.select(F.col("_group").alias("_key"), F.struct("centre", "scatter", "_rows").alias(f"level{level}"))
+        if key == "_all":  # one row; a constant key would else become a product of all partitions with all
+            part = F.broadcast(part.filter(F.col("_key") == ALL))
         wide = wide.join(part, wide[key] == part["_key"], "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
