@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from tidemark.llm import components, contamination, near_duplicates, repeats
+from tidemark.llm import components, contamination, near_duplicates, repeats, textarrays
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -196,3 +196,24 @@ def test_items_without_an_id_or_of_one_id_are_all_found(spark):
         con.executemany(f"INSERT INTO {name} VALUES (?, ?)", listed)
     told = con.execute(f"SELECT doc_id, coalesce(item_id, 0), n_item FROM ({contamination.OP2_SQL}) ORDER BY ALL").fetchall()
     assert told == [(1, 0, 3), (2, 7, 4), (3, 7, 2), (4, 0, 3), (4, 7, 2), (4, 7, 4)]
+
+
+def test_texts_of_pairs_travel_compressed_and_empty_ones_link_nothing(spark):
+    rnd = random.Random(8)
+    words = [" ".join(rnd.choice(["ash", "birch", "cedar", "elm", "fir"]) + str(rnd.randint(0, 400)) for _ in range(600)) for _ in range(2)]
+    docs = spark.createDataFrame([(1, words[0]), (2, words[0] + " x"), (3, words[1]), (4, None), (5, "")], "doc_id long, text string")
+    texts = near_duplicates.texts_of_nodes(docs, docs.select("doc_id")).toArrow().combine_chunks()
+    sent = {i: raw for i, raw in zip(texts["doc_id"].to_pylist(), texts["packed"].to_pylist(), strict=True)}
+    assert sum(map(len, sent.values())) < 0.6 * sum(texts["size"].to_pylist())
+    read = textarrays.unpacked(texts["packed"].combine_chunks())
+    assert dict(zip(texts["doc_id"].to_pylist(), read.to_pylist(), strict=True)) == {1: words[0], 2: words[0] + " x", 3: words[1], 4: "", 5: ""}
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (5, 4)], "a long, b long")
+    links = near_duplicates.confirmed(pairs, near_duplicates.texts_of_nodes(docs, docs.select("doc_id")), 5, 80)
+    assert [tuple(r) for r in links.collect()] == [(2, 1)]
+
+
+def test_a_worker_keeps_the_objects_of_one_operator():
+    textarrays.worker_cache("languages")["table"] = 1
+    textarrays.worker_cache()["powers"] = 2
+    assert textarrays.worker_cache() == {"powers": 2}
+    assert textarrays.worker_cache("languages") == {}

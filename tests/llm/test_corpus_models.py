@@ -1,6 +1,7 @@
 """Language ID, quality classifier, robust rules, page text and the pipeline: held-out accuracy, brute force, edges."""
 
 import base64
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -32,6 +33,19 @@ def test_text_vectors_equal_brute_force():
         assert (vector == expected).all()
 
 
+def test_many_short_texts_are_counted_in_small_steps():
+    rnd = np.random.default_rng(1)
+    texts = ["".join(map(chr, rnd.integers(97, 123, 9))) for _ in range(10_000)]
+    language_id.text_vectors(texts[:10], None, 0, 16)
+    tracemalloc.start()
+    vectors, _ = language_id.text_vectors(texts, None, 0, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # counts of 10,000 texts by 4,096 n-grams alone would be 328 MB
+    few, _ = language_id.text_vectors(texts[:50], None, 0, 16)
+    assert (vectors[:50] == few).all()
+
+
 def test_languages_on_held_out_documents(spark):
     found = language_id.op8_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = found.filter("held_out AND lang IS NOT NULL").collect()

@@ -26,6 +26,7 @@ from tidemark.llm.textarrays import slices, worker_cache
 
 DIMENSIONS, LETTERS = 1024, 3
 BLOCK = 4096  # n-grams multiplied at once
+CELLS = 2 << 20  # counts of texts by n-grams held at once; many short texts take their n-grams in smaller steps
 KNOWN_MOST = 40_000  # n-gram vectors that a worker keeps
 MOST_LANGUAGES = 2000
 UNDETERMINED = "und"
@@ -33,7 +34,7 @@ Profiles = tuple[list[str], np.ndarray]
 
 
 def letter_vector(point: int, dimensions: int) -> np.ndarray:
-    cache = worker_cache().setdefault(("letters", dimensions), {})
+    cache = worker_cache("languages").setdefault(("letters", dimensions), {})
     if point not in cache:
         if len(cache) > 20_000:
             cache.clear()
@@ -54,7 +55,7 @@ def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
 
 def gram_table(codes: np.ndarray, grams: np.ndarray, dimensions: int) -> np.ndarray:
     """Vectors of distinct n-grams, most of them from the worker's table."""
-    cache = worker_cache()
+    cache = worker_cache("languages")
     known, table, used = cache.get(("grams", dimensions), ({}, None, 0))
     if table is None or len(known) + len(codes) > KNOWN_MOST:
         known, table, used = {}, np.empty((KNOWN_MOST, dimensions), np.int8), 0
@@ -114,8 +115,9 @@ def text_vectors(
     if not len(owner):
         return total, lettered
     values = (grams[:, 0] << 42) | (grams[:, 1] << 21) | grams[:, 2]
-    for low in range(0, len(grams), BLOCK):
-        high = min(low + BLOCK, len(grams))
+    step = max(1, min(BLOCK, CELLS // rows))
+    for low in range(0, len(grams), step):
+        high = min(low + step, len(grams))
         part = (codes >= low) & (codes < high)
         counts = np.bincount(owner[part] * (high - low) + codes[part] - low, minlength=rows * (high - low))
         vectors = gram_table(values[low:high], grams[low:high], dimensions).astype(np.float32)

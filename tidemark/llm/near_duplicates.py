@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.shingles import minhash, shared, shingle_sets
 from tidemark.llm.stages import drop_stages
-from tidemark.llm.textarrays import U, mix, slices
+from tidemark.llm.textarrays import U, cuts, mix, packed, slices, unpacked
 from tidemark.sources.stages import write_stage
 
 CHUNKS, PER_CHUNK, BITS = 12, 6, 11
@@ -103,11 +103,21 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the wanted ids. Up to ``BROADCAST_IDS`` ids go to the texts, beyond that Spark moves both."""
+    """(doc_id, packed, size) of the wanted ids: compressed texts, since joins repeat them, and their bytes before.
+
+    Up to ``BROADCAST_IDS`` ids go to the texts, beyond that Spark moves both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1).fill_null("")
+            sizes = pa.compute.binary_length(text).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(text), sizes], names=["doc_id", "packed", "size"])
+
     ids = write_stage(wanted.distinct(), "wanted")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near, "doc_id", "left_semi")
-    return write_stage(texts, "linked_texts")
+    return write_stage(texts.mapInArrow(run, "doc_id long, packed binary, size long"), "linked_texts")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -116,16 +126,16 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v): pairs whose full shingle sets have the similarity."""
-    sides = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab"]
+    sides = [texts.select(F.col("doc_id").alias(x), F.col("packed").alias(f"t_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab"]
     # The pivot of many pairs is joined last: Spark splits that side and repeats its one text.
-    wide = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "t_a", "t_b")
+    wide = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "t_a", "t_b", F.expr("n_a + n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in slices(batch.column(2)):
+            for low, high in cuts(np.asarray(batch.column(4))):
                 part = batch.slice(low, high - low)
-                common, union = shared(part.column(2), part.column(3), width)
-                linked = pa.array(100 * common >= percent * union)
+                common, union = shared(unpacked(part.column(2)), unpacked(part.column(3)), width)
+                linked = pa.array((common > 0) & (100 * common >= percent * union))
                 kept = part.select(["a", "b"]).filter(linked)
                 yield pa.RecordBatch.from_arrays(kept.columns, names=["u", "v"])
 
@@ -180,13 +190,13 @@ def undecided_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
     one = nodes.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("symbols").alias("symbols"))
     texts = texts_of_nodes(docs, large.select(F.col("node").alias("doc_id")).union(ends_of(listed)))
     kept = texts.withColumnRenamed("doc_id", "node")
-    full = rows.join(one, "node").join(kept, "node").select("part", "bx", "by", "node", "query", "n_shingles", "symbols", "text")
+    full = rows.join(one, "node").join(kept, "node").select("part", "bx", "by", "node", "query", "n_shingles", "symbols", "packed")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, query = np.asarray(table.column("node")), np.asarray(table.column("query"))
         sizes = np.asarray(table.column("n_shingles"))
         symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        values, offsets = shingle_sets(table.column("text").combine_chunks(), width)
+        values, offsets = shingle_sets(unpacked(table.column("packed").combine_chunks()), width)
         right = np.flatnonzero(~query)
         links = []
         for i in np.flatnonzero(query).tolist():

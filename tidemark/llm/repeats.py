@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.stages import drop_stages
 from tidemark.llm.text_stats import keyed, per_text
-from tidemark.llm.textarrays import U, mix, odd_multipliers, run_hashes, slices, span_hashes, texts_of, word_spans
+from tidemark.llm.textarrays import U, mix, odd_multipliers, run_hashes, slices, span_hashes, texts_of, unpacked, word_spans
 from tidemark.sources.stages import write_stage
 
 BLOCK = 7
@@ -170,11 +170,6 @@ def suspects(classes: DataFrame) -> DataFrame:
     return entries.join(totals, "block").groupBy("d1", "d2").agg(F.collect_list(F.struct("block", "n")).alias("hits"))
 
 
-def unpacked(column: pa.Array) -> pa.Array:
-    opener = zstandard.ZstdDecompressor()
-    return pa.array([opener.decompress(raw.as_py()) for raw in column], pa.binary()).cast(pa.string())
-
-
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts are unpacked at once."""
     for batch in batches:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
@@ -20,10 +21,16 @@ BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def worker_cache() -> dict:
-    """Objects kept for the life of a Python worker (functions shipped by value share no globals between tasks)."""
+def worker_cache(owner: str = "words") -> dict:
+    """Objects kept in a Python worker between tasks (functions shipped by value share no globals between tasks).
+
+    One owner's at a time: Spark uses its workers again for other operators, which get the memory back.
+    """
     name = "_tidemark_llm_worker"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("held", {})
+    if owner not in held:
+        held.clear()
+    return held.setdefault(owner, {})
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +72,12 @@ class Texts:
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text each."""
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64))
+    yield from cuts(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64), most)
+
+
+def cuts(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` in all; a single row may be larger."""
+    ends = np.cumsum(sizes)
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
@@ -74,6 +86,17 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         start = stop
 
 
+def packed(column: pa.Array) -> pa.Array:
+    """Texts compressed one by one, for the way through joins: about a third of their bytes."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([pack.compress(text.as_buffer()) for text in column.fill_null("").cast(pa.binary())], pa.binary())
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    opener = zstandard.ZstdDecompressor()
+    return pa.array([opener.decompress(raw.as_py()) for raw in column], pa.binary()).cast(pa.string())
+
+
 def texts_of(column: pa.Array, lower: bool = False) -> Texts:
     column = column.fill_null("").cast(pa.large_string())
     n = len(column)
