@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,41 +19,59 @@ DELAY = "1 day"
 CLOSING = "~"  # venue of the row that closes a feed
 
 
-def deliver(w: Workspace, rows: DataFrame, position: str | Column, name: str, *, again: bool = False) -> tuple[str, int]:
-    """Deliver all rows in slices of ``position``; with ``again`` each slice comes a second time with the next one.
-
-    Returns the feed and the last position.
+def deliver(
+    w: Workspace,
+    rows: DataFrame,
+    position: str | Column,
+    name: str,
+    made: Callable[[str], DataFrame],
+    *,
+    again: bool = False,
+    closing: Callable[[int], dict[str, Column]] | None = None,
+) -> DataFrame:
+    """What the stream ``made`` of a feed gives when all rows are delivered in slices of ``position``, each drained before the next.
+
+    With ``again`` each slice comes a second time with the next one. ``closing`` has the changes that make a last row,
+    far ahead of the last position, which moves the watermark past everything before; it closes nothing of its own.
     """
     place = F.col(position) if isinstance(position, str) else position
-    path = fresh_path(w, name)
+    path, out, progress = (fresh_path(w, part) for part in (name, f"{name}_out", f"{name}_progress"))
     low, high = rows.agg(F.min(place), F.max(place)).first()
     edges = [low + (high + 1 - low) * i // SLICES for i in range(SLICES + 1)]
     for i in range(SLICES):
         feeds.publish(rows, path, place, [edges[max(0, i - 1)] if again else edges[i], edges[i + 1]])
-    return path, high
+        table = feeds.drain(made(path), out, progress)
+    if closing is None:
+        return table
+    rows.limit(1).withColumns({"exchange": F.lit(CLOSING)} | closing(high)).write.mode("append").parquet(path)
+    return feeds.drain(made(path), out, progress)
 
 
-def close(rows: DataFrame, path: str, changes: dict[str, Column]) -> None:
-    """A last row far ahead, which moves the watermark past everything before; it closes nothing of its own."""
-    rows.limit(1).withColumns({"exchange": F.lit(CLOSING)} | changes).write.mode("append").parquet(path)
+def far_ahead(position: str) -> Callable[[int], dict[str, Column]]:
+    return lambda last: {position: F.lit(last + 10_000).cast("long")}
 
 
 @register("dedupe_ticks_stream", TICK_COLUMNS, BASE, "raw_ticks")
 def _(w):
     ticks = bars.clean_ticks(w.ticks)
-    path, _ = deliver(w, ticks, F.unix_micros("ts_event"), "ticks", again=True)
-    stream = feeds.read_feed(w.spark, path, ticks.schema, files_per_batch=1)
-    return feeds.drain(operators.dedupe_ticks_stream(stream, DELAY), fresh_path(w, "deduped"), fresh_path(w, "progress"))
+
+    def made(path):
+        return operators.dedupe_ticks_stream(feeds.read_feed(w.spark, path, ticks.schema), DELAY)
+
+    return deliver(w, ticks, F.unix_micros("ts_event"), "ticks", made, again=True)
 
 
 @register("ohlcv_bars_stream", BAR_COLUMNS, FINE_BUCKETS, "bars")
 def _(w):
     ticks = bars.clean_ticks(w.ticks)
-    path, last = deliver(w, ticks, F.unix_micros("ts_event"), "ticks")
-    close(ticks, path, {"ts_event": F.timestamp_micros(F.lit(last)) + F.expr("INTERVAL 30 DAYS")})
-    stream = feeds.read_feed(w.spark, path, ticks.schema, files_per_batch=1)
-    made = operators.ohlcv_bars_stream(stream, FINE.bucket_seconds, DELAY)
-    return feeds.drain(made, fresh_path(w, "bars"), fresh_path(w, "progress"))
+
+    def made(path):
+        return operators.ohlcv_bars_stream(feeds.read_feed(w.spark, path, ticks.schema), FINE.bucket_seconds, DELAY)
+
+    def closing(last):
+        return {"ts_event": F.timestamp_micros(F.lit(last)) + F.expr("INTERVAL 30 DAYS")}
+
+    return deliver(w, ticks, F.unix_micros("ts_event"), "ticks", made, closing=closing)
 
 
 @register(
@@ -62,21 +82,23 @@ def _(w):
 )
 def _(w):
     rows = w.hourly_bars
-    path, last = deliver(w, rows, "bucket", "bars")
-    close(rows, path, {"bucket": F.lit(last + 10_000).cast("long")})
-    first, second = (feeds.read_feed(w.spark, path, rows.schema, files_per_batch=1) for _ in range(2))
-    found = operators.first_touch_stream(
-        first, second, HOURLY.threshold_pct, HOURLY.horizon, bucket_seconds=HOURLY.bucket_seconds, delay=DELAY
-    )
-    return feeds.drain(found, fresh_path(w, "touched"), fresh_path(w, "progress"))
+
+    def made(path):
+        first, second = (feeds.read_feed(w.spark, path, rows.schema) for _ in range(2))
+        return operators.first_touch_stream(
+            first, second, HOURLY.threshold_pct, HOURLY.horizon, bucket_seconds=HOURLY.bucket_seconds, delay=DELAY
+        )
+
+    return deliver(w, rows, "bucket", "bars", made, closing=far_ahead("bucket"))
 
 
 @register("cluster_chained_stream", EVENT_COLUMNS, hourly_clusters("ev"), "ev")
 def _(w):
     rows = w.hourly_candidates.filter("not is_ambiguous")
-    path, last = deliver(w, rows, "start_bucket", "candidates")
-    close(rows, path, {"start_bucket": F.lit(last + 10_000).cast("long")})
-    stream = feeds.read_feed(w.spark, path, rows.schema, files_per_batch=1)
-    chained = operators.cluster_chained_stream(stream, HOURLY.horizon, bucket_seconds=HOURLY.bucket_seconds, delay=DELAY)
-    table = feeds.drain(chained, fresh_path(w, "clusters"), fresh_path(w, "progress"))
+
+    def made(path):
+        stream = feeds.read_feed(w.spark, path, rows.schema)
+        return operators.cluster_chained_stream(stream, HOURLY.horizon, bucket_seconds=HOURLY.bucket_seconds, delay=DELAY)
+
+    table = deliver(w, rows, "start_bucket", "candidates", made, closing=far_ahead("start_bucket"))
     return clusters.number_clusters(table, bucket_seconds=HOURLY.bucket_seconds)

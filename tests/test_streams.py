@@ -181,3 +181,20 @@ def test_ticks_to_touches_through_tables(spark, folder):
     found = operators.first_touch_stream(first, second, 4.0, 6, bucket_seconds=10, delay="1 hour")
     found = feeds.drain(found, folder("touch"), folder("checkpoint"))
     assert values(found, *TOUCH) == values(moves.first_touch(batch, 4.0, 6), *TOUCH)
+
+
+def test_a_delivery_of_many_files_is_written_at_once_and_read_whole(spark, folder):
+    rows, feed, out, checkpoint = some_ticks(), folder("ticks"), folder("bars"), folder("checkpoint")
+    ticks = spark.createDataFrame(rows, TICK).repartition(8, "seq")  # each file reaches over the whole slice
+    first = int(tick(0, 0)[0].timestamp())
+    position = F.unix_seconds("ts_event")
+    for low in range(first, first + 900, 300):
+        before = len(ticks.sparkSession.read.parquet(feed).inputFiles()) if low > first else 0
+        feeds.publish(ticks.filter(position < first + 900), feed, position, [low, low + 300])
+        assert len(spark.read.parquet(feed).inputFiles()) - before > 1
+        stream = feeds.read_feed(spark, feed, ticks.schema)
+        feeds.drain(operators.ohlcv_bars_stream(stream, 10, "30 seconds"), out, checkpoint)
+    feeds.publish(spark.createDataFrame([CLOSING], TICK), feed, position, [0, 2**40])
+    found = feeds.drain(operators.ohlcv_bars_stream(feeds.read_feed(spark, feed, ticks.schema), 10, "30 seconds"), out, checkpoint)
+    batch = bars.ohlcv_bars(ticks.filter(position < first + 900), 10)
+    assert values(found, *batch.columns) == values(batch, *batch.columns)

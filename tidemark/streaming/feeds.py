@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+FILES_MOST = 100  # of a delivery; fewer than a batch reads by default
+
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1_000) -> DataFrame:
     """A stream of the Parquet files of a folder, oldest first; the schema is given, since the folder may be empty."""
@@ -31,8 +33,12 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def publish(rows: DataFrame, path: str, position: Column, edges: Iterable[int]) -> None:
-    """Add ``rows`` to a feed in slices [edge, next edge) of ``position``, one delivery each, earliest first."""
+def publish(rows: DataFrame, path: str, position: Column, edges: Iterable[int], files: int = FILES_MOST) -> None:
+    """Add ``rows`` to a feed in slices [edge, next edge) of ``position``, one delivery each, earliest first.
+
+    A delivery is written by up to ``files`` tasks at once, and its files are in no order. Drain each before the next
+    one comes, so that a delivery is read whole, in one batch, and none of its rows counts as late.
+    """
     edges = list(edges)
     for low, high in zip(edges, edges[1:]):
-        rows.filter((position >= low) & (position < high)).coalesce(1).write.mode("append").parquet(path)
+        rows.filter((position >= low) & (position < high)).coalesce(files).write.mode("append").parquet(path)
