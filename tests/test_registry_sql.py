@@ -31,3 +31,24 @@ def test_status_counts_sql_of_no_and_some_events(spark):
         events = spark.createDataFrame(rows, "event_id string, event_rank int, direction string")
         made = summaries.status_counts(summaries.status_join(events, controls)).count()
         assert con.execute(f"SELECT {queries.STATUS_COUNTS} FROM chosen").fetchone() == (made,)
+
+
+def test_distances_need_no_profiles_of_all_events(spark):
+    from registry.queries import QUERIES
+    from helpers import values
+    from registry.settings import FINE
+    from registry.workspace import Workspace
+    from tidemark.operators.controls import event_activity
+    from tidemark.sources.stages import write_stage
+
+    written = []
+
+    def stage(df, name, partition_by=()):
+        written.append(name)
+        return write_stage(df, name, partition_by=partition_by)
+
+    w = Workspace(spark, "/root/testdata/sf0.001", stage)
+    QUERIES["q_activity_join"].run(w).collect()
+    assert "event_activity" in written and not any("profile" in name or "panel" in name for name in written)
+    profiled = event_activity(w.own["entity"], FINE.activity_window)
+    assert values(w.own_activity, *profiled.columns) == values(profiled, *profiled.columns)
