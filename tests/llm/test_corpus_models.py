@@ -329,3 +329,31 @@ def test_the_estimate_of_all_rows_joins_without_a_product_of_partitions(spark):
         assert [row["_group"] for row in drawn.collect()] == ["g"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_round_takes_exact_borders_from_counts_and_sums(spark, monkeypatch):
+    """Quantile sketches of many groups sort all rows in every round, and are wrong beyond their accuracy."""
+    kept, write = {}, robust_rules.write_stage
+    monkeypatch.setattr(robust_rules, "write_stage", lambda df, name: kept.setdefault(name, (df, write(df, name)))[1])
+    text = "transform(sequence(1, 50 + cast(pow(id * 7919 % 40009, 0.6) AS int)), x -> concat('w', x * (id % 331 + 3), repeat('x', cast(id * x % 13 AS int))))"
+    docs = spark.range(0, 40_000, 1, 8).selectExpr("id AS doc_id", f"array_join({text}, if(id % 3 = 0, ' ', ' # ')) AS text", "'en' AS lang", "concat('s', id % 2) AS source")
+    copies = spark.range(300).selectExpr("-1 - id AS doc_id", "concat('z ', repeat('one two # ', 1), array_join(transform(sequence(1, 80), x -> 'q' || x), ' ')) AS text", "'xx' AS lang", "'c' AS source")
+    robust_rules.quality_rules(docs.unionByName(copies), steps=2)
+    vectors = [(r["_group"], r["_language"], [r[f] for f in robust_rules.FEATURES]) for r in kept["quality_vectors"][1].filter("NOT base_failed").collect()]
+    x = np.array([row[2] for row in vectors])
+    members = {}
+    for i, row in enumerate(vectors):
+        for key in (row[0], row[1], robust_rules.ALL):
+            members.setdefault(key, []).append(i)
+    for name, before in (("quality_step0", "quality_start"), ("quality_step1", "quality_step0")):
+        plan = kept[name][0]._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+        last, found = ({r["_group"]: r for r in kept[stage][1].collect()} for stage in (before, name))
+        assert set(found) == set(members) and len(members[robust_rules.ALL]) > 30_000
+        for key, own in members.items():
+            gaps = x[own] - np.array(last[key].centre)
+            inverse = np.linalg.inv(np.array(last[key].scatter).reshape(5, 5) + np.diag(robust_rules.FLOORS))
+            d = np.einsum("ij,jk,ik->i", gaps, inverse, gaps)
+            border = np.sort(d)[(len(d) + 1) // 2 - 1]
+            assert found[key]["_border"] == pytest.approx(border, rel=1e-9, abs=1e-9), (name, key)
+            assert np.allclose(found[key].centre, x[own][d <= border * (1 + 1e-12) + 1e-12].mean(axis=0), rtol=1e-9, atol=1e-12)
